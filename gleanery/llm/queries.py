@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from gleanery.llm.decontamination import OP9_SQL, op9_decontamination
+from gleanery.llm.language import op4_language
 from gleanery.llm.mixing import OP10_SQL, op10_mixing
+from gleanery.llm.winnowing import op5_fingerprints
 
 QUERIES = {
+    "op4_language": op4_language,
+    "op5_fingerprints": op5_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
