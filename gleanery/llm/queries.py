@@ -6,11 +6,13 @@ from gleanery.llm.archives import OP7_SQL, op7_warc
 from gleanery.llm.decontamination import OP9_SQL, op9_decontamination
 from gleanery.llm.language import op4_language
 from gleanery.llm.mixing import OP10_SQL, op10_mixing
+from gleanery.llm.suffix_tree import op6_suffix_tree
 from gleanery.llm.winnowing import op5_fingerprints
 
 QUERIES = {
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
