@@ -5,12 +5,14 @@ from __future__ import annotations
 from gleanery.llm.archives import OP7_SQL, op7_warc
 from gleanery.llm.decontamination import OP9_SQL, op9_decontamination
 from gleanery.llm.language import op4_language
+from gleanery.llm.line_dedup import op1_line_dedup
 from gleanery.llm.mixing import OP10_SQL, op10_mixing
 from gleanery.llm.ngram_join import op3_ngram_join
 from gleanery.llm.suffix_tree import op6_suffix_tree
 from gleanery.llm.winnowing import op5_fingerprints
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
