@@ -31,7 +31,7 @@ from gleanery.llm.common import chunks, map_batches, read, shared_path
 
 MIN_REVISIT = 100
 #: Raw payload bytes that a file aims at, and the bounds of what the dictionary is trained on.
-FILE_BYTES, DICT_BYTES, DICT_SAMPLES, SAMPLE_CHARS = 32 << 20, 16 << 10, 400, 4_000
+FILE_BYTES, DICT_BYTES, DICT_SAMPLES, SAMPLE_CHARS = 32 << 20, 16 << 10, 200, 2_000
 LEVEL = 3
 #: Fixed values of the formats: the dictionary's and another skippable frame's magic number, the frame magic, the revisit profile.
 DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -172,15 +172,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("n_bytes", F.length("payload").cast("long"))
-    light = rows.select("page_id", "digest", "n_bytes")
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63))))
+    light = rows.select("page_id", "key", "digest", "n_bytes")
     firsts = light.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    kinds = light.select("page_id", "digest").distinct().join(firsts, "digest", "left")
-    kinds = kinds.select(F.col("page_id").alias("k_id"), F.col("digest").alias("k_digest"), F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    kinds = light.select("page_id", "key", "digest").distinct().join(firsts, "digest", "left")
+    kinds = kinds.select("key", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
-    samples = rows.select(F.xxhash64("page_id").alias("h"), F.substring("payload", 1, SAMPLE_CHARS).alias("s")).orderBy("h", "s").limit(DICT_SAMPLES).collect()
-    dictionary = trained_dictionary([bytes(r["s"]) for r in samples])
-    dealt = rows.repartition(files, "page_id", "digest").join(kinds, F.col("page_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")))
+    order = F.xxhash64("page_id")
+    last = [r[0] for r in rows.select(order.alias("h")).orderBy("h").limit(DICT_SAMPLES).collect()][-1:]
+    samples = rows.where(order <= F.lit(last[0])).select(F.substring("payload", 1, SAMPLE_CHARS)).limit(DICT_SAMPLES).collect() if last else []
+    dictionary = trained_dictionary(sorted(bytes(r[0]) for r in samples))
+    # one shuffle of payloads, by a key that no group of copies shares; the join keeps to it
+    dealt = rows.repartition(files, "key", "digest").join(kinds, ["key", "digest"])
     records = dealt.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.lower(F.hex("digest")).alias("digest"), "n_bytes", "refers_to")
 
     def encode(batches):
