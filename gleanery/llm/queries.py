@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gleanery.llm.archives import OP7_SQL, op7_warc
 from gleanery.llm.decontamination import OP9_SQL, op9_decontamination
+from gleanery.llm.extraction import op8_extraction
 from gleanery.llm.language import op4_language
 from gleanery.llm.line_dedup import op1_line_dedup
 from gleanery.llm.mixing import OP10_SQL, op10_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_warc": op7_warc,
+    "op8_extraction": op8_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
