@@ -6,6 +6,7 @@ from gleanery.llm.archives import OP7_SQL, op7_warc
 from gleanery.llm.decontamination import OP9_SQL, op9_decontamination
 from gleanery.llm.extraction import op8_extraction
 from gleanery.llm.language import op4_language
+from gleanery.llm.licenses import op2_licenses
 from gleanery.llm.line_dedup import op1_line_dedup
 from gleanery.llm.mixing import OP10_SQL, op10_mixing
 from gleanery.llm.ngram_join import op3_ngram_join
@@ -14,6 +15,7 @@ from gleanery.llm.winnowing import op5_fingerprints
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_licenses": op2_licenses,
     "op3_ngram_join": op3_ngram_join,
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
