@@ -15,8 +15,8 @@ contexts are states too. Distributions are smoothed by absolute discounting towa
 the suffix's, down to the root, which is the additively smoothed word distribution; a
 token is scored in the state of its longest suffix.
 
-Word counts are exact over all training texts. Words of at least `MIN_SHARE` of the tokens
-(so 1 / MIN_SHARE words at most) are broadcast; counts of all other words are joined, whose
+Word counts are exact over all training texts. Words of at least `WORD_SHARE` of the tokens
+(so 1 / WORD_SHARE words at most) are broadcast; counts of all other words are joined, whose
 keys cannot be hot.
 
 Defined cases: a null or empty text is one end token; without training texts N and V are
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import GOLDEN, as_bytes, chunks, map_batches, mixed, read, staged, word_hashes
 from gleanery.llm.language import held_out
 
-DEPTH, MIN_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 1e-6, 20.0, 0.5, 0.1
+DEPTH, MIN_SHARE, WORD_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2e-6, 1e-6, 20.0, 0.5, 0.1
 #: Tokens of a block in which candidates are sought; a block's counts are numpy arrays.
-BLOCK_TOKENS, FLUSH_WORDS, TEXT_BYTES = 4_000_000, 200_000, 2 << 20
+BLOCK_TOKENS, FLUSH_WORDS, TEXT_BYTES = 1_500_000, 200_000, 2 << 20
 #: The candidates' filter has 2 ** FILTER_BITS bits, whatever their number.
 FILTER_BITS = 25
 #: The end of a text is a token no word can equal, as it is white space.
@@ -72,24 +73,21 @@ def placed(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndar
     return flat, np.fromiter(map(len, tokens), np.int64, len(tokens)), tokens
 
 
-def ngrams(place: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngrams(place: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n = 1 .. depth + 1: the hash of the n-gram that ends at each token, and whether it is one of known words of one text."""
     known = place >= 0
     h = hashes[place]
-    offset = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = [(mixed(h), known)]
+    offset = (np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).clip(max=depth).astype(np.int8)
+    yield mixed(h), known
     gram, ok = h, known
-    with np.errstate(over="ignore"):
-        for n in range(2, depth + 2):
-            # the n-gram that ends at i: the (n-1)-gram that ends at i, with the word n - 1 places before
-            ahead = np.zeros_like(h)
-            ahead[n - 1 :] = h[: len(h) - n + 1]
-            before = np.zeros_like(known)
-            before[n - 1 :] = known[: len(h) - n + 1]
-            gram = gram * GOLDEN + ahead
-            ok = ok & before & (offset >= n - 1)
-            out.append((mixed(gram + np.uint64(n)), ok))
-    return out
+    for n in range(2, depth + 2):
+        # the n-gram that ends at i: the (n-1)-gram that ends at i, with the word n - 1 places before
+        with np.errstate(over="ignore"):
+            gram = gram * GOLDEN
+            gram[n - 1 :] += h[: len(h) - n + 1]
+            ok = ok & (offset >= n - 1)
+            ok[n - 1 :] &= known[: len(h) - n + 1]
+            yield mixed(gram + np.uint64(n)), ok
 
 
 def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +128,7 @@ class Tree:
         known = place >= 0
         base = np.where(known, root[place], 1.0)
         p = base.copy()
-        grams = ngrams(place, sizes, vocabulary.hashes, len(self.contexts))
+        grams = list(ngrams(place, sizes, vocabulary.hashes, len(self.contexts)))
         alive = np.ones(len(place), bool)
         for d, ((keys, rest), (pairs, mass)) in enumerate(zip(self.contexts, self.grams, strict=True), start=1):
             h, ok = grams[d - 1]  # the d words that end at i - 1 are the context of i
@@ -174,17 +172,17 @@ def frequent_ngrams(texts: DataFrame, vocabulary, total: int, depth: int) -> dic
     def candidates(batches):
         for place, sizes in blocks(batches):
             local = max(1, math.ceil(least * len(place) / max(total, 1)))
-            grams = ngrams(place, sizes, vocabulary.value.hashes, depth)
-            for n in range(2, depth + 2):
-                h, ok = grams[n - 1]
+            before = None
+            for n, (h, ok) in enumerate(ngrams(place, sizes, vocabulary.value.hashes, depth), start=1):
+                shorter, before = before, h
                 at = np.flatnonzero(ok)
-                if not len(at):
+                if n == 1 or not len(at):
                     continue
                 values, first, count = np.unique(h[at], return_index=True, return_counts=True)
                 often = count >= local
                 i = at[first[often]]
                 # the context ends one token earlier; the suffix n-gram drops the first word
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), pa.array(values[often].view(np.int64)), pa.array(grams[n - 2][0][i - 1].view(np.int64)), pa.array(grams[n - 2][0][i].view(np.int64))], names=["n", "h", "context", "suffix"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), pa.array(values[often].view(np.int64)), pa.array(shorter[i - 1].view(np.int64)), pa.array(shorter[i].view(np.int64))], names=["n", "h", "context", "suffix"])
 
     # fewer tasks for small inputs, so that a block is large enough to tell frequent n-grams from others
     found = map_batches(texts.coalesce(max(1, total // BLOCK_TOKENS)), candidates, "n int, h bigint, context bigint, suffix bigint")
@@ -209,7 +207,9 @@ def frequent_ngrams(texts: DataFrame, vocabulary, total: int, depth: int) -> dic
 
         for batch in chunks(batches, 0, TEXT_BYTES):
             place, sizes, _ = placed(as_bytes(batch.column(0)), vocabulary.value.places)
-            for n, (h, ok) in enumerate(ngrams(place, sizes, vocabulary.value.hashes, depth)[1:], start=2):
+            for n, (h, ok) in enumerate(ngrams(place, sizes, vocabulary.value.hashes, depth), start=1):
+                if n == 1:
+                    continue
                 h = h[ok]
                 at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 h = h[(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
@@ -272,7 +272,7 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH):
     texts = train.select(text_col)
     counts = staged(word_counts(texts), "pst-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counts.where(F.col("n") >= max(2.0, MIN_SHARE * total)).toPandas().sort_values("word")
+    often = counts.where(F.col("n") >= max(2.0, WORD_SHARE * total)).toPandas().sort_values("word")
     vocabulary = Vocabulary([bytes(w) for w in often["word"]], often["n"].tolist(), int(total), int(distinct))
     shared = train.sparkSession.sparkContext.broadcast(vocabulary)
     tree = grown(vocabulary, frequent_ngrams(texts, shared, int(total), depth), depth) if len(often) else Tree()
@@ -309,7 +309,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, counts: DataFrame
     parts = map_batches(keyed, work, PART_SCHEMA)
     total = vocabulary.total
     floor = max(total + PSEUDO * (vocabulary.distinct + 1), PSEUDO)
-    rare_counts = counts.where(F.col("n") < max(2.0, MIN_SHARE * total)).select("word", F.col("n").alias("c"))
+    rare_counts = counts.where(F.col("n") < max(2.0, WORD_SHARE * total)).select("word", F.col("n").alias("c"))
     joined = parts.join(rare_counts, "word", "left")
     term = F.col("times") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + PSEUDO) / F.lit(floor))
     known = F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))
