@@ -1 +1 @@
-"""See the package docstring."""
+"""Relational operators: DataFrames in, DataFrame out; no actions."""
