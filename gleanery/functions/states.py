@@ -44,7 +44,8 @@ def retry_after(elapsed_seconds: Column, cooldown: int = 1800) -> Column:
 
 
 def progress(current: Column, total: Column) -> Column:
-    return F.coalesce(F.least(F.lit(100), F.round(F.try_divide(current * 100.0, total)).cast("int")), F.lit(0))
+    part = F.round(F.try_divide(current * 100.0, total)).cast("int")
+    return F.when(part.isNull(), 0).otherwise(F.least(F.lit(100), part))
 
 
 def phase_progress(phase: Column, order: list[str]) -> Column:

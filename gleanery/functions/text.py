@@ -109,4 +109,4 @@ def lead_summary(c: Column, limit: int = 300, cut: int = 4000) -> Column:
 
 def split_list(c: Column, separator: str = r"\|") -> Column:
     """Trimmed, non-blank, distinct parts in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != ""))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +61,16 @@ def numbered_ids(df: DataFrame, day: str, order: str) -> Column:
     return F.concat(F.lit(f"article-{day}-"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("string"))
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where none is set and the master is local."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        shared = "file:///tmp/checkpoints/gleanery"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

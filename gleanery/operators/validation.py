@@ -13,7 +13,7 @@ def sitemap_reason(status: Column, body: Column) -> Column:
     head = F.lower(F.left(body, F.lit(1000)))
     low = F.lower(F.trim(body))
     closed = (F.contains(low, F.lit("</urlset>")) | F.contains(low, F.lit("</sitemapindex>")) | low.rlike(r"<(urlset|sitemapindex)\b[^>]*/>"))
-    return F.when(status != 200, F.concat(F.lit("http_"), status.cast("string"))).when(F.contains(head, F.lit("<html")), "html_not_xml").when(~F.startswith(low, F.lit("<")), "xml_parse_error").when(~low.rlike(r"<(urlset|sitemapindex)\b"), "not_sitemap_xml").when(~closed, "xml_parse_error").otherwise("ok")
+    return F.when(status.isNull(), "missing").when(status != 200, F.concat(F.lit("http_"), status.cast("string"))).when(F.contains(head, F.lit("<html")), "html_not_xml").when(~F.startswith(low, F.lit("<")), "xml_parse_error").when(~low.rlike(r"<(urlset|sitemapindex)\b"), "not_sitemap_xml").when(~closed, "xml_parse_error").otherwise("ok")
 
 
 def sitemap_score(body: Column, url: Column, base: Column) -> Column:
@@ -25,7 +25,7 @@ def feed_reason(url: Column, status: Column, body: Column) -> Column:
     low = F.lower(F.coalesce(body, F.lit("")))
     entries = F.regexp_count(low, F.lit(r"<(item|entry)\b"))
     closed = low.rlike(r"</(rss|feed|rdf:rdf)\s*>")
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "missing").when(status != 200, F.concat(F.lit("http_"), status.cast("string"))).when(~closed, "feed_parse_error").when(entries == 0, "no_entries").otherwise("ok")
+    return F.when((F.coalesce(F.trim(url), F.lit("")) == "") | status.isNull(), "missing").when(status != 200, F.concat(F.lit("http_"), status.cast("string"))).when(~closed, "feed_parse_error").when(entries == 0, "no_entries").otherwise("ok")
 
 
 def best_sitemap(df: DataFrame, group: str) -> DataFrame:
