@@ -38,7 +38,7 @@ LEVEL = 6
 CACHED_BLOCKS = 20_000
 
 #: The vocabulary of license notices (lower case).
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "rights reserved", "creative commons")
+TRIGGERS = ("licen", "released under", "distributed under", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "rights reserved", "creative commons")
 
 #: Published license texts and the notices they ask for, without names and years.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
