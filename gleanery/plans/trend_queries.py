@@ -134,3 +134,17 @@ def windows(spark, sf):
     bounds = [(START, END), (START, None), (None, dt.date(2024, 1, 10)), (None, None)]
     rows = [(i, *dates.trend_window(a, b, dt.date(2024, 12, 5))) for i, (a, b) in enumerate(bounds, start=1)]
     return spark.createDataFrame(rows, "kind int, low date, high date, days int")
+
+
+@query("m4_sized_topics", "SELECT ord, CAST(CASE WHEN n >= 40 THEN topic ELSE -1 END AS INTEGER) AS topic FROM (SELECT ord, topic, count(*) OVER (PARTITION BY topic) AS n FROM topics)", TOPICS)
+def sized_topics(spark, sf):
+    from gleanery.operators import models
+
+    return models.sized_topics(topic_articles(spark, sf), "topic", 40).select("ord", "topic")
+
+
+@query("m3_embeddings", "SELECT a.ord, e.embedding IS NOT NULL AS embedded FROM articles a LEFT JOIN embeddings e ON a.ord = e.vec_id", ARTICLES)
+def embeddings(spark, sf):
+    from gleanery.operators import models
+
+    return models.embedded(fixtures.articles(spark, sf), fixtures.table(spark, sf, "embeddings"), "ord").select("ord", F.col("embedding").isNotNull().alias("embedded"))

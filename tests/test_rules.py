@@ -101,3 +101,20 @@ def test_weekly_stream_equals_batch(spark, tmp_path):
     out = weekly.run_once(spark, src, rows.schema, f"file://{tmp_path}/state")
     key = lambda d: sorted(map(tuple, d.select("week", "publication", "n").collect()))
     assert key(out) == key(weekly.counts(weekly.deduplicated(rows)))
+
+
+def test_summary_seam_drops_failures(spark):
+    from gleanery.operators import models
+
+    df = spark.createDataFrame([(1, "One. Two."), (2, "bad"), (3, None)], "id int, content string")
+
+    def factory():
+        def model(t):
+            if t == "bad":
+                raise ValueError
+            return t.upper()
+
+        return model
+
+    assert [tuple(r) for r in models.summarized(df, factory=factory).select("id", "summary").collect()] == [(1, "ONE. TWO.")]
+    assert {r["id"]: r["summary"] for r in models.summarized(df).collect()} == {1: "One. Two.", 2: "bad"}
