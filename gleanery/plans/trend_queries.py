@@ -136,7 +136,11 @@ def windows(spark, sf):
     return spark.createDataFrame(rows, "kind int, low date, high date, days int")
 
 
-@query("m4_sized_topics", "SELECT ord, CAST(CASE WHEN n >= 40 THEN topic ELSE -1 END AS INTEGER) AS topic FROM (SELECT ord, topic, count(*) OVER (PARTITION BY topic) AS n FROM topics)", TOPICS)
+SIZED = """sized AS (SELECT ord, topic, count(*) OVER (PARTITION BY topic) AS n FROM topics),
+rare AS (SELECT count(*) FILTER (WHERE n < 40 OR topic = -1) / CAST(count(*) AS DOUBLE) > 0.75 AND count(*) >= 20 AS retry FROM sized)"""
+
+
+@query("m4_sized_topics", "SELECT ord, CAST(CASE WHEN topic <> -1 AND n >= CASE WHEN (SELECT retry FROM rare) THEN 2 ELSE 40 END THEN topic ELSE -1 END AS INTEGER) AS topic FROM sized", TOPICS, SIZED)
 def sized_topics(spark, sf):
     from gleanery.operators import models
 
