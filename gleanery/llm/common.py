@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Rows handled at once at most.
+MOST_ROWS = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +71,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = CH
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+            end = min(start + MOST_ROWS, max(start + 1, int(np.searchsorted(sizes, base + limit, side="right"))))
             yield batch.slice(start, end - start)
             start = end
 
@@ -151,3 +153,99 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
+
+
+#: Slots of a table are dealt in so many ranges, each filled by one task.
+RANGES = 16
+
+
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits of the slot numbers in column 0 (below 2 ** bits). Executors fill ranges of it; the driver gets 2 ** (bits - 3) bytes, whatever the rows."""
+    return filled(slots.select(F.col(slots.columns[0]).cast("long").alias("slot"), F.lit(1).alias("value")), bits, True)
+
+
+def byte_table(rows: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each of 2 ** bits slots, from rows (slot, value) with each slot once; 0 elsewhere."""
+    return filled(rows.select(F.col("slot").cast("long").alias("slot"), F.col("value").cast("int").alias("value")), bits, False)
+
+
+def filled(rows: DataFrame, bits: int, pack: bool) -> np.ndarray:
+    size = (1 << bits) // RANGES
+
+    def fill(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot, value = np.asarray(b.column("slot")), np.asarray(b.column("value"))
+            for r in np.unique(slot // size).tolist():
+                own = slot // size == r
+                part = parts.setdefault(r, np.zeros(size, bool if pack else np.uint8))
+                part[slot[own] - r * size] = value[own]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([(np.packbits(p) if pack else p).tobytes() for p in parts.values()], pa.binary())], names=["range", "bytes"])
+
+    each = rows.distinct() if pack else rows
+    whole = np.zeros((1 << bits) >> (3 if pack else 0), np.uint8)
+    step = len(whole) // RANGES
+    for r in map_batches(each.repartition(RANGES, F.floor(F.col("slot") / size)), fill, "range bigint, bytes binary").collect():  # RANGES rows
+        whole[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(r["bytes"], np.uint8)
+    return whole
+
+
+def in_bitmap(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+#: What a byte adds to a word's hash: 0 for white space, which ends words; A-Z count as a-z.
+BYTE_VALUES = np.array([0 if b == 0x20 or 0x09 <= b <= 0x0D else (b + 32 if 0x41 <= b <= 0x5A else b) + 1 for b in range(256)], np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of GOLDEN and of its inverse modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((int(GOLDEN), pow(int(GOLDEN), -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                _POWERS[i] = np.cumprod(x)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Words:
+    """The white-space-separated words of a column of texts as arrays, without an object per word.
+
+    h: 64-bit hashes of the lower-cased (A-Z) words; owner: the text of each word; start: its first byte in data;
+    bounds: where each text starts, and where the last ends."""
+
+    def __init__(self, column: pa.Array):
+        import pyarrow.compute as pc
+
+        if column.null_count:
+            column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        _, offsets, data = column.buffers()
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        self.data, self.bounds = whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+        n = len(self.data)
+        self.h, self.start = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if n:
+            value = BYTE_VALUES[self.data]
+            inside = value != 0
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            edges = self.bounds[:-1][self.bounds[:-1] < n]
+            begins[edges] = inside[edges]
+            self.start = np.flatnonzero(begins)
+            up, down = powers(n)
+            with np.errstate(over="ignore"):
+                total = np.cumsum(value * up)
+                # a word's sum ends where the next word starts, as white space adds nothing
+                before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
+                self.h = mixed((np.append(before[1:], total[-1]) - before) * down[self.start]) if len(self.start) else self.h
+        self.owner = np.searchsorted(self.bounds[1:], self.start, side="right")
+
+    def lines(self) -> np.ndarray:
+        """The line (from 0) of its text that each word is in."""
+        breaks = np.flatnonzero(self.data == 10)
+        return np.searchsorted(breaks, self.start) - np.searchsorted(breaks, self.bounds[:-1])[self.owner]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, as_bytes, chunks, components, map_batches, mixed, read, staged, word_hashes
+from gleanery.llm.common import GOLDEN, MOST_ROWS, Words, bitmap, byte_table, chunks, components, in_bitmap, map_batches, mixed, read, staged
 
 #: Words of a shingle and percent of similarity: the contract's, and the default of stages.
 K, PERCENT = 4, 85
@@ -45,18 +45,32 @@ TABLE_BITS, FILTER_BITS, BLOCK_SHINGLES, COMBINED = 24, 25, 2_000_000, 12
 NO_ID = -(1 << 63)
 
 
-def shingles(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of the ASCII-lower-cased text."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    n = min(k, len(h))
-    with np.errstate(over="ignore"):
-        gram = np.zeros(len(h) - n + 1, np.uint64)
-        for i in range(n):
-            gram = gram * GOLDEN + h[i : len(h) - n + 1 + i]
-        return np.unique(mixed(gram + np.uint64(n)))
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text of a column the sorted distinct hashes (52 bits, then 12 zeros) of its k-word shingles."""
+    out = []
+    for at in range(0, len(column), MOST_ROWS):
+        part = column.slice(at, MOST_ROWS)
+        words = Words(part)
+        n = len(words.h)
+        sizes = np.bincount(words.owner, minlength=len(part))
+        gram, whole = np.zeros(max(0, n - k + 1), np.uint64), np.zeros(0, bool)
+        with np.errstate(over="ignore"):
+            for i in range(k if n >= k else 0):
+                gram = gram * GOLDEN + words.h[i : n - k + 1 + i]
+            owner = words.owner[: len(gram)]
+            whole = owner == words.owner[k - 1 :] if len(gram) else whole
+            grams, owners = [mixed(gram[whole] + np.uint64(k))], [owner[whole]]
+            first = np.cumsum(sizes) - sizes
+            for t in np.flatnonzero((sizes > 0) & (sizes < k)).tolist():  # the whole text is the shingle
+                short = np.zeros(1, np.uint64)
+                for h in words.h[first[t] : first[t] + sizes[t]]:
+                    short = short * GOLDEN + h
+                grams.append(mixed(short + np.uint64(sizes[t])))
+                owners.append(np.array([t]))
+        key = np.sort((np.concatenate(owners).astype(np.uint64) << np.uint64(52)) | (np.concatenate(grams) >> np.uint64(12)))
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        out += np.split(key << np.uint64(12), np.searchsorted(key >> np.uint64(52), np.arange(1, len(part))))
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -91,7 +105,7 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slots), pa.array(count[often])], names=["id", "n", "k1", "k2", "slot", "times"])
 
         for batch in chunks(batches, "text"):
-            sets = [shingles(t, k) for t in as_bytes(batch.column("text"))]
+            sets = shingle_sets(batch.column("text"), k)
             keys = [set_key(s) for s in sets]
             rows = [batch.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names=["id", "n", "k1", "k2", "slot", "times"])
@@ -109,10 +123,8 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
 
 def class_table(scanned: DataFrame) -> np.ndarray:
     """A byte per slot: 0 for rare shingles, else by the logarithm of their count."""
-    counted = scanned.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).where("times >= 8").toPandas()  # 2 ** TABLE_BITS rows at most
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[counted["slot"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(counted["times"].to_numpy(np.float64))).astype(np.uint8)
-    return table
+    counted = scanned.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).where("times >= 8")
+    return byte_table(counted.select("slot", F.least(F.lit(255), F.floor(4 * F.log2("times"))).alias("value")), TABLE_BITS)
 
 
 def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, float]:
@@ -144,15 +156,14 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
         wanted = None if alone is None else alone.value
         for batch in chunks(batches, "text"):
             seen, out = set(), []
-            for doc_id, t in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                s = shingles(t, k)
+            for doc_id, s in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
                 if len(s) < 2 or (x := set_key(s)) in seen:
                     continue
                 seen.add(x)
                 keys, place, kind, wide, middle = keys_of(s)
                 if wanted is not None:
                     at = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    keep = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                    keep = in_bitmap(wanted, at)
                     keys, place, kind = keys[keep], place[keep], kind[keep]
                 out.append((keys, np.full(len(keys), doc_id), np.full(len(keys), len(s)), place, kind, np.full(len(keys), wide), np.full(len(keys), int(middle * 1e6))))
             if not out:
@@ -166,39 +177,26 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
     return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, kind tinyint, wide boolean, middle int")
 
 
-def bit_filter(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Packed bits of distinct slot numbers (column 0, ints below 2 ** bits: 2 ** bits rows at most)."""
-    filled = np.zeros(1 << bits, bool)
-    filled[slots.distinct().toPandas().iloc[:, 0].to_numpy(np.int64)] = True
-    return np.packbits(filled)
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are linked. Texts of documents that may be in a pair are shuffled, no others."""
     spark = docs.sparkSession
     slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS).cast("int")
-    passes = spark.sparkContext.broadcast(bit_filter(pairs.select(slot("a").alias("s")).unionByName(pairs.select(slot("b").alias("s")))))
+    passes = spark.sparkContext.broadcast(bitmap(pairs.select(slot("a").alias("s")).unionByName(pairs.select(slot("b").alias("s"))), FILTER_BITS))
 
     def some(batches):
         wanted = passes.value
         for batch in batches:
             at = np.asarray(batch.column("slot")).astype(np.int64)
-            keep = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = in_bitmap(wanted, at)
             yield batch.select(["id", "text"]).filter(pa.array(keep))
 
     texts = map_batches(docs.select("id", F.col("text").cast("binary").alias("text"), slot("id").alias("slot")), some, "id bigint, text binary")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
-        last: tuple = (None, None)
-        for batch in chunks(batches, "tb"):
-            rows = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if last[0] != b:
-                    last = (b, shingles(tb, k))
-                if linked(shingles(ta, k), last[1], percent):
-                    rows.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
+        for batch in chunks(chunks(batches, "tb"), "ta"):
+            both = zip(shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in both], pa.bool_()))
 
     return map_batches(both.select("a", "b", "ta", "tb"), check, "a bigint, b bigint")
 
@@ -213,7 +211,7 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     heads = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head"))
     same = sets.where("n > 0").join(heads, ["k1", "k2"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     shared = keyed(source, table, k, percent).groupBy("key").count().where("count > 1")
-    alone = spark.sparkContext.broadcast(bit_filter(shared.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int"))))
+    alone = spark.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("key", 64 - FILTER_BITS)), FILTER_BITS))
     index = staged(keyed(source, table, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
 
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
