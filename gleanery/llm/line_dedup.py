@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import GOLDEN, as_bytes, chunks, extended, map_batches, mixed, read, staged, with_columns, word_hashes
+from gleanery.llm.common import GOLDEN, Words, as_bytes, bitmap, byte_table, chunks, extended, in_bitmap, map_batches, mixed, read, staged, with_columns
 
 MIN_TOKENS, PERCENT = 5, 80
 TABLE_BITS, FILTER_BITS, SEEN, FLUSH = 24, 25, 200_000, 4_000_000
@@ -44,42 +44,57 @@ NO_ID = -(1 << 63)
 
 
 class Lines:
-    """The lines of some documents as arrays; h holds the hashes of all their words, line after line."""
-
-    def __init__(self, ids: list[int], texts: list[bytes | None]):
-        words, sizes, docs, numbers = [], [], [], []
-        for i, text in zip(ids, texts, strict=True):
-            for n, line in enumerate((text or b"").lower().split(b"\n")):
-                w = set(line.split())
-                if len(w) >= MIN_TOKENS:
-                    words += w
-                    sizes.append(len(w))
-                    docs.append(i)
-                    numbers.append(n)
-        self.h, self.sizes = word_hashes(words), np.array(sizes, np.int64)
-        self.docs, self.numbers = np.array(docs, np.int64), np.array(numbers, np.int64)
+    """The distinct words of the lines of some texts as arrays, line after line, in the order of tokens.
+
+    A token is a word's class (TABLE_BITS of its hash say which) and 39 more bits of its hash; words that fall
+    together only add candidates. token, line (index); text, number and size of each line."""
+
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        words = Words(column)
+        numbers = words.lines()
+        new = np.ones(len(words.h), bool)
+        new[1:] = (words.owner[1:] != words.owner[:-1]) | (numbers[1:] != numbers[:-1])
+        index = np.cumsum(new) - 1
+        classes = table[(words.h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64) if table is not None else np.uint64(0)
+        token = (classes << np.uint64(39)) | (words.h & np.uint64((1 << 39) - 1))
+        parts = []
+        for low in range(0, int(index[-1]) + 1 if len(index) else 0, 1 << 18):  # an index needs 18 bits
+            own = slice(*np.searchsorted(index, [low, low + (1 << 18)]))
+            key = np.sort(((index[own] - low).astype(np.uint64) << np.uint64(46)) | token[own])
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            parts.append((key & np.uint64((1 << 46) - 1), (key >> np.uint64(46)).astype(np.int64) + low))
+        token, line = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        first = np.flatnonzero(new)
+        size = np.bincount(line, minlength=len(first))
+        keep = size >= MIN_TOKENS
+        at = np.cumsum(keep) - 1
+        kept = keep[line]
+        self.token, self.line = token[kept], at[line[kept]]
+        self.texts, self.numbers, self.sizes = words.owner[first][keep], numbers[first][keep], size[keep]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def sketches(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.h & np.uint64(63)), self.starts)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.token & np.uint64(63)), self.starts)
 
     def keys(self) -> list[bytes]:
+        h = self.token & np.uint64((1 << 39) - 1)
         with np.errstate(over="ignore"):
-            pair = np.stack([np.add.reduceat(self.h, self.starts), np.add.reduceat(mixed(self.h * GOLDEN + np.uint64(1)), self.starts)], axis=1)
+            pair = np.stack([np.add.reduceat(mixed(h), self.starts), np.add.reduceat(mixed(h * GOLDEN + np.uint64(1)), self.starts)], axis=1)
         return [r.tobytes() for r in pair]
 
 
-def sketch(line: bytes) -> int:
-    h = word_hashes(list(set(line.lower().split())))
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))).view(np.int64)) if len(h) else 0
+def slots_of(token: np.ndarray) -> np.ndarray:
+    """The filter slot of a token."""
+    return (mixed(token) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def needed(n: int) -> int:
-    return -(-PERCENT * n // 100)
+def sketch(line: bytes) -> int:
+    h = np.unique(Words(pa.array([line], pa.binary())).h & np.uint64((1 << 39) - 1))
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))).view(np.int64)) if len(h) else 0
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """A byte per slot of token hashes: 0 where one line at most has it, else 4 log2 of the lines."""
+    """A byte per slot of word hashes: 0 where one word of the documents at most is, else 4 log2 of their number."""
 
     def work(batches):
         held, n = [], 0
@@ -89,9 +104,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values), pa.array(count.astype(np.int64))], names=["slot", "times"])
 
         for batch in chunks(batches, "text"):
-            lines = Lines(batch.column("id").to_pylist(), as_bytes(batch.column("text")))
-            held.append((lines.h >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
-            n += len(lines.h)
+            held.append((Words(batch.column("text")).h >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
+            n += len(held[-1])
             if n > FLUSH:
                 yield out()
                 held, n = [], 0
@@ -99,10 +113,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             yield out()
 
     counted = map_batches(docs, work, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).where("times > 1")
-    counted = counted.select("slot", F.least(F.lit(127), (F.log2("times") * 4)).cast("tinyint").alias("class")).toPandas()  # 2 ** TABLE_BITS rows at most
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[counted["slot"].to_numpy(np.int64)] = counted["class"].to_numpy(np.uint8)
-    return table
+    return byte_table(counted.select("slot", F.floor(F.least(F.lit(127), 4 * F.log2("times"))).alias("value")), TABLE_BITS)
 
 
 INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, guest boolean"
@@ -113,28 +124,23 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
     """Prefix rows; rows without a token tell lines equal to an earlier one of the same task. only: bits of wanted tokens."""
 
     def prefixes(lines: Lines, use: np.ndarray):
-        """Of the lines marked in use: (line, token, place, size class of a split token or -1)."""
-        own = np.repeat(np.arange(len(lines.sizes)), lines.sizes)
-        keep = use[own]
-        h, own = lines.h[keep], own[keep]
-        c = table.value[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        order = np.lexsort(((c.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)), own))
-        h, own, c = h[order], own[order], c[order]
-        counts = np.where(use, lines.sizes, 0)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-        n = lines.sizes[own]
-        keep = (place < n + (-PERCENT * n // 100) + 1) & (c > 0)
-        return own[keep], h[keep], place[keep], c[keep] >= SPLIT_CLASS
+        """Of the lines marked in use: (line, token, place, whether the token is split)."""
+        place = np.arange(len(lines.token)) - np.repeat(lines.starts, lines.sizes)
+        n = lines.sizes[lines.line]
+        c = lines.token >> np.uint64(39)
+        keep = (place < n + (-PERCENT * n // 100) + 1) & (c > 0) & use[lines.line]
+        return lines.line[keep], lines.token[keep], place[keep], c[keep] >= SPLIT_CLASS
 
     def work(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in chunks(batches, "text"):
-            lines = Lines(batch.column("id").to_pylist(), as_bytes(batch.column("text")))
+            lines = Lines(batch.column("text"), table.value)
             if not len(lines.sizes):
                 continue
+            docs_of = np.asarray(batch.column("id"))[lines.texts]
             sketches = lines.sketches().view(np.int64)
             use, later = np.ones(len(lines.sizes), bool), []
-            for i, (key, at) in enumerate(zip(lines.keys(), zip(lines.docs.tolist(), lines.numbers.tolist(), strict=True), strict=True)):
+            for i, (key, at) in enumerate(zip(lines.keys(), zip(docs_of.tolist(), lines.numbers.tolist(), strict=True), strict=True)):
                 known = seen.get(key)
                 if known is None or at < known:
                     seen[key] = at
@@ -160,10 +166,9 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
                 token = np.concatenate([own_key, guest_key])
                 own, place, guest = np.concatenate([own, own[again]]), np.concatenate([place, place[again]]), np.concatenate([guest, np.ones(len(again), bool)])
             if only is not None:
-                at = (token >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                keep = (only.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                keep = in_bitmap(only.value, slots_of(token))
                 own, token, place, guest = own[keep], token[keep], place[keep], guest[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(lines.docs[own]), pa.array(lines.numbers[own].astype(np.int32)), pa.array(lines.sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketches[own]), pa.array(guest)], names=INDEX_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(docs_of[own]), pa.array(lines.numbers[own].astype(np.int32)), pa.array(lines.sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketches[own]), pa.array(guest)], names=INDEX_NAMES)
 
     return map_batches(docs, work, INDEX)
 
@@ -245,12 +250,6 @@ def line_slots(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
         return (mixed(doc.view(np.uint64) * GOLDEN + line.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def packed(slots: DataFrame) -> np.ndarray:
-    filled = np.zeros(1 << FILTER_BITS, bool)
-    filled[slots.distinct().toPandas().iloc[:, 0].to_numpy(np.int64)] = True  # 2 ** FILTER_BITS rows at most
-    return np.packbits(filled)
-
-
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the pairs (doc, line, to_doc, to_line) whose lines match."""
 
@@ -259,7 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             both = [line_slots(np.asarray(b.column(d)), np.asarray(b.column(n))) for d, n in (("doc", "line"), ("to_doc", "to_line"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)).astype(np.int32))], names=["slot"])
 
-    wanted = docs.sparkSession.sparkContext.broadcast(packed(map_batches(pairs.select("doc", "line", "to_doc", "to_line"), slots, "slot int")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(map_batches(pairs.select("doc", "line", "to_doc", "to_line"), slots, "slot int"), FILTER_BITS))
 
     def some(batches):
         for batch in chunks(batches, "text"):
@@ -267,13 +266,13 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 lines = (text or b"").split(b"\n")
                 at = line_slots(np.full(len(lines), i, np.int64), np.arange(len(lines)))
-                for n in np.flatnonzero(wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist():
+                for n in np.flatnonzero(in_bitmap(wanted.value, at)).tolist():
                     ids.append(i)
                     numbers.append(n)
                     found.append(lines[n])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], names=["doc", "line", "words"])
 
-    lines = map_batches(docs, some, "doc bigint, line int, words binary")
+    lines = staged(map_batches(docs, some, "doc bigint, line int, words binary"), "line-texts")
     both = pairs.join(lines, ["doc", "line"]).join(lines.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_doc", "to_line"])
 
     def check(batches):
@@ -304,7 +303,12 @@ def later_matches(docs: DataFrame) -> DataFrame:
     removed = best.select("doc", "line", "sketch").join(sure, ["doc", "line"], "left_semi")
     if not rest.isEmpty():
         tokens = near.join(rest, ["doc", "line"], "left_semi").select("token")
-        only = spark.sparkContext.broadcast(packed(tokens.select(F.shiftrightunsigned("token", 64 - FILTER_BITS).cast("int").alias("slot"))))
+
+        def slots(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(slots_of(np.asarray(b.column(0)).view(np.uint64)))], names=["slot"])
+
+        only = spark.sparkContext.broadcast(bitmap(map_batches(tokens, slots, "slot bigint"), FILTER_BITS))
         part = staged(indexed(docs, table, only).where("token is not null"), "line-index")
         x = part.join(rest, ["doc", "line"], "left_semi")
         y = part.select("token", *[F.col(c).alias(f"to_{c}") for c in INDEX_NAMES[1:]])
