@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, as_bytes, chunks, map_batches, mixed, read, staged, word_hashes
+from gleanery.llm.common import GOLDEN, as_bytes, bitmap, chunks, in_bitmap, map_batches, mixed, read, staged, word_hashes
 from gleanery.llm.language import held_out
 
 DEPTH, MIN_SHARE, WORD_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2e-6, 1e-6, 20.0, 0.5, 0.1
@@ -187,11 +187,8 @@ def frequent_ngrams(texts: DataFrame, vocabulary, total: int, depth: int) -> dic
     # fewer tasks for small inputs, so that a block is large enough to tell frequent n-grams from others
     found = map_batches(texts.coalesce(max(1, total // BLOCK_TOKENS)), candidates, "n int, h bigint, context bigint, suffix bigint")
     found = staged(found.groupBy("n", "h").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "pst-candidates")
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")
-    filled = found.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy()  # 2 ** FILTER_BITS at most
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[filled] = True
-    passes = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    passes = texts.sparkSession.sparkContext.broadcast(bitmap(found.select(slot), FILTER_BITS))
 
     def exact(batches):
         wanted = passes.value
@@ -212,7 +209,7 @@ def frequent_ngrams(texts: DataFrame, vocabulary, total: int, depth: int) -> dic
                     continue
                 h = h[ok]
                 at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                h = h[(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+                h = h[in_bitmap(wanted, at)]
                 held[n].append(h)
                 n_held += len(h)
             if n_held > BLOCK_TOKENS:
