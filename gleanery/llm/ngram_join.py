@@ -127,6 +127,11 @@ def class_table(scanned: DataFrame) -> np.ndarray:
     return byte_table(counted.select("slot", F.least(F.lit(255), F.floor(4 * F.log2("times"))).alias("value")), TABLE_BITS)
 
 
+def place_of(classes, hashes) -> np.ndarray:
+    """Where shingles stand in the global order, as comparable longs (hashes that fall together only loosen bounds)."""
+    return ((classes.astype(np.uint64) << np.uint64(55)) | (hashes >> np.uint64(9))).view(np.int64)
+
+
 def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, float]:
     """The extended prefix in global order, its classes, the plain prefix's length, and the set's part of frequent shingles."""
     classes = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -136,7 +141,10 @@ def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame:
-    """Index rows (key, id, n, place, wide, middle); without `alone`, only the keys, to find those of one document."""
+    """Index rows (key, id, n, place, kind, wide, middle, most, last); without `alone`, only the keys, to find those of one document.
+
+    last is where the extended prefix ends in the global order. Its rare shingles that no other prefix has are not
+    in any set whose prefix ends later, so such a set shares at most `most` shingles with this one."""
 
     def keys_of(s: np.ndarray):
         e, classes, plain, middle = prefix(s, table.value, percent)
@@ -150,7 +158,7 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
                 parts.append((mixed(e[a] * GOLDEN + e[b]), a, 1))
             single = often[often < plain]
             parts.append((mixed(e[single] + np.uint64(1)), single, 2))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts]), wide, middle
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts]), wide, middle, int(place_of(classes[-1:], e[-1:])[0])
 
     def work(batches):
         wanted = None if alone is None else alone.value
@@ -160,21 +168,24 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
                 if len(s) < 2 or (x := set_key(s)) in seen:
                     continue
                 seen.add(x)
-                keys, place, kind, wide, middle = keys_of(s)
+                keys, place, kind, wide, middle, last = keys_of(s)
+                most = len(s)
                 if wanted is not None:
                     at = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                     keep = in_bitmap(wanted, at)
+                    most -= int(np.count_nonzero(~keep & (kind == 0)))
                     keys, place, kind = keys[keep], place[keep], kind[keep]
-                out.append((keys, np.full(len(keys), doc_id), np.full(len(keys), len(s)), place, kind, np.full(len(keys), wide), np.full(len(keys), int(middle * 1e6))))
+                full = lambda x: np.full(len(keys), x)  # noqa: B023, E731
+                out.append((keys, full(doc_id), full(len(s)), place, kind, full(wide), full(int(middle * 1e6)), full(most), full(last)))
             if not out:
                 continue
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             if wanted is None:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64))], names=["key"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5]), pa.array(cols[6].astype(np.int32))], names=["key", "id", "n", "place", "kind", "wide", "middle"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5]), pa.array(cols[6].astype(np.int32)), pa.array(cols[7], pa.int64()), pa.array(cols[8], pa.int64())], names=["key", "id", "n", "place", "kind", "wide", "middle", "most", "last"])
 
-    return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, kind tinyint, wide boolean, middle int")
+    return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, kind tinyint, wide boolean, middle int, most bigint, last bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -215,20 +226,27 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     index = staged(keyed(source, table, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
 
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    leaders = index.groupBy("key").agg(F.count("*").alias("members"), F.max_by("id", "middle").alias("central"), F.max_by("n", "middle").alias("cn"), F.max_by("wide", "middle").alias("cw"), F.min("id").alias("least"), F.min_by("n", "id").alias("ln"), F.min_by("wide", "id").alias("lw")).where("members > 1")
+
+    def may_link(n, most, last, wide, n2, most2, last2, wide2):
+        """Length bound, the bound by shingles that only the earlier prefix has, and the rule for wide documents' keys."""
+        shared = F.when(F.col(last) < F.col(last2), F.col(most)).when(F.col(last) > F.col(last2), F.col(most2)).otherwise(F.greatest(most, most2))
+        return size(F.col(n), F.col(n2)) & ((100 + percent) * shared >= percent * (F.col(n) + F.col(n2))) & ((F.col("kind") < 2) | F.col(wide) | F.col(wide2))
+
+    member = F.struct("middle", "id", "n", "most", "last", "wide")
+    leaders = index.groupBy("key").agg(F.count("*").alias("members"), F.max(member).alias("c"), F.min(F.struct("id", "n", "most", "last", "wide")).alias("l")).where("members > 1")
     met = index.join(leaders, "key")
-    kept = lambda i, n, w: met.where((F.col("id") != F.col(i)) & size(F.col("n"), F.col(n)) & ((F.col("kind") < 2) | F.col("wide") | F.col(w))).select(F.greatest("id", i).alias("a"), F.least("id", i).alias("b"))
-    stars = staged(kept("central", "cn", "cw").unionByName(kept("least", "ln", "lw")).distinct(), "ngram-pairs")
+    kept = lambda s: met.where((F.col("id") != F.col(f"{s}.id")) & may_link("n", "most", "last", "wide", f"{s}.n", f"{s}.most", f"{s}.last", f"{s}.wide")).select(F.greatest("id", f"{s}.id").alias("a"), F.least("id", f"{s}.id").alias("b"))
+    stars = staged(kept("c").unionByName(kept("l")).distinct(), "ngram-pairs")
     links = staged(verified(source, stars, k, percent), "ngram-links")
 
     found = staged(components(spark, links), "ngram-components")
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = staged(grouped.join(open_keys, "key", "left_semi"), "ngram-rest")
-    cols = ("key", "id", "n", "place", "kind", "wide", "component")
+    cols = ("key", "id", "n", "place", "kind", "wide", "most", "last", "component")
     x, y = rest.select(*cols), rest.select("key", *[F.col(c).alias(f"{c}_y") for c in cols[1:]])
     bound = F.least("place", "place_y") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_y") - F.col("place_y") - 1)
-    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & size(F.col("n"), F.col("n_y")) & ((F.col("kind") < 2) | F.col("wide") | F.col("wide_y")) & ((F.col("kind") == 1) | ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y")))))
+    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((F.col("kind") == 1) | ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y")))))
     across = staged(across.select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
     more = verified(source, across, k, percent)
 
