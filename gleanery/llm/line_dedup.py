@@ -7,7 +7,7 @@ PERCENT / 100 with it, whether that one is itself removed or not.
 Tokens are ordered by rarity (in how many lines they are, from a table of fixed size, then by
 hash). Two matching lines of n words share one of their first n - ceil(t n) + 1; those are
 indexed, without tokens that one line alone has. Within a token, the length filter, the
-positional filter and a 64-bit parity sketch of the sets (its bits that differ are never more
+positional filter and a 128-bit parity sketch of the sets (its bits that differ are never more
 than the words that differ) leave candidates, which are verified on the lines themselves.
 
 A line needs one earlier match, not all. So for each line and token the candidate with the
@@ -73,8 +73,11 @@ class Lines:
         self.texts, self.numbers, self.sizes = words.owner[first][keep], numbers[first][keep], size[keep]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def sketches(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.token & np.uint64(63)), self.starts)
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two words of the parity sketch of each line: a word flips one of 128 bits."""
+        bit = np.uint64(1) << (self.token & np.uint64(63))
+        high = (self.token & np.uint64(64)) != 0
+        return tuple(np.bitwise_xor.reduceat(np.where(high == side, bit, np.uint64(0)), self.starts).view(np.int64) for side in (False, True))
 
     def keys(self) -> list[bytes]:
         h = self.token & np.uint64((1 << 39) - 1)
@@ -89,7 +92,9 @@ def slots_of(token: np.ndarray) -> np.ndarray:
 
 
 def sketch(line: bytes) -> int:
+    """The first word of a line's parity sketch."""
     h = np.unique(Words(pa.array([line], pa.binary())).h & np.uint64((1 << 39) - 1))
+    h = h[(h & np.uint64(64)) == 0]
     return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))).view(np.int64)) if len(h) else 0
 
 
@@ -116,7 +121,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return byte_table(counted.select("slot", F.floor(F.least(F.lit(127), 4 * F.log2("times"))).alias("value")), TABLE_BITS)
 
 
-INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, guest boolean"
+INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, sketch2 bigint, guest boolean"
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
@@ -138,7 +143,7 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if not len(lines.sizes):
                 continue
             docs_of = np.asarray(batch.column("id"))[lines.texts]
-            sketches = lines.sketches().view(np.int64)
+            sketches, seconds = lines.sketches()
             use, later = np.ones(len(lines.sizes), bool), []
             for i, (key, at) in enumerate(zip(lines.keys(), zip(docs_of.tolist(), lines.numbers.tolist(), strict=True), strict=True)):
                 known = seen.get(key)
@@ -154,7 +159,7 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if later and only is None:
                 d, n, s, z = zip(*later, strict=True)
                 nulls = pa.nulls(len(later), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.int32()), nulls, pa.array(s, pa.int64()), pa.nulls(len(later), pa.bool_())], names=INDEX_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.int32()), nulls, pa.array(s, pa.int64()), pa.nulls(len(later), pa.int64()), pa.nulls(len(later), pa.bool_())], names=INDEX_NAMES)
             own, token, place, split = prefixes(lines, use)
             guest = np.zeros(len(own), bool)
             if split.any():
@@ -168,17 +173,21 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if only is not None:
                 keep = in_bitmap(only.value, slots_of(token))
                 own, token, place, guest = own[keep], token[keep], place[keep], guest[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(docs_of[own]), pa.array(lines.numbers[own].astype(np.int32)), pa.array(lines.sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketches[own]), pa.array(guest)], names=INDEX_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(docs_of[own]), pa.array(lines.numbers[own].astype(np.int32)), pa.array(lines.sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketches[own]), pa.array(seconds[own]), pa.array(guest)], names=INDEX_NAMES)
 
     return map_batches(docs, work, INDEX)
 
 
-def passing(n, m, i, j, s, t) -> np.ndarray:
+def apart_of(s, t, s2, t2) -> np.ndarray:
+    return np.bitwise_count(s ^ t).astype(np.int64) + np.bitwise_count(s2 ^ t2)
+
+
+def passing(n, m, i, j, s, t, s2, t2) -> np.ndarray:
     """Length, positional and sketch filters for arrays of pairs."""
     need = -(-PERCENT * (n + m) // (100 + PERCENT))
     ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1) >= need)
     at = np.flatnonzero(ok)
-    ok[at] = np.bitwise_count(s[at] ^ t[at]) <= (n + m - 2 * need)[at]
+    ok[at] = apart_of(s[at], t[at], s2[at], t2[at]) <= (n + m - 2 * need)[at]
     return ok
 
 
@@ -220,19 +229,19 @@ def candidates(rows: DataFrame) -> DataFrame:
                 zero = pa.array(np.zeros(t.num_rows, np.int32))
                 yield pa.RecordBatch.from_arrays([none, *(t.column(c) for c in ("doc", "line", "size", "sketch")), none, pa.nulls(t.num_rows, pa.int32()), zero, zero], names=CANDIDATE_NAMES)
                 continue
-            token, doc, line, n, i, s, guest = (np.asarray(t.column(c)) for c in INDEX_NAMES)
-            n, i, s = n.astype(np.int64), i.astype(np.int64), s.view(np.uint64)
+            token, doc, line, n, i, s, s2, guest = (np.asarray(t.column(c)) for c in INDEX_NAMES)
+            n, i, s, s2 = n.astype(np.int64), i.astype(np.int64), s.view(np.uint64), s2.view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
             best, apart, others = np.full(len(token), -1), np.full(len(token), 1 << 20), np.zeros(len(token), np.int64)
             active, lag = np.flatnonzero(place >= 1), 1
             while len(active):
                 back = active - lag
-                ok = passing(n[active], n[back], i[active], i[back], s[active], s[back])
+                ok = passing(n[active], n[back], i[active], i[back], s[active], s[back], s2[active], s2[back])
                 at, to = active[ok], back[ok]
                 ok = ~(guest[at] & guest[to]) & ((doc[at] != doc[to]) | (line[at] != line[to]))
                 at, to = at[ok], to[ok]
-                gap = np.bitwise_count(s[at] ^ s[to]).astype(np.int64)
+                gap = apart_of(s[at], s[to], s2[at], s2[to])
                 others[at] += 1
                 near = gap <= apart[at]
                 best[at[near]], apart[at[near]] = to[near], gap[near]
@@ -315,7 +324,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
         need = F.ceil(PERCENT * (F.col("size") + F.col("to_size")) / (100 + PERCENT))
         earlier = F.struct("to_doc", "to_line") < F.struct("doc", "line")
         fits = (100 * F.least("size", "to_size") >= PERCENT * F.greatest("size", "to_size")) & (1 + F.least("place", "to_place") + F.least(F.col("size") - F.col("place") - 1, F.col("to_size") - F.col("to_place") - 1) >= need)
-        close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("to_sketch"))) <= F.col("size") + F.col("to_size") - 2 * need
+        close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("to_sketch"))) + F.bit_count(F.col("sketch2").bitwiseXOR(F.col("to_sketch2"))) <= F.col("size") + F.col("to_size") - 2 * need
         pairs = x.join(y, "token").where(earlier & ~(F.col("guest") & F.col("to_guest")) & fits & close).select("doc", "line", "to_doc", "to_line", "sketch").distinct()
         pairs = staged(pairs.join(best.select("doc", "line", "to_doc", "to_line"), ["doc", "line", "to_doc", "to_line"], "left_anti"), "line-pairs")
         removed = removed.unionByName(pairs.select("doc", "line", "sketch").distinct().join(verified(docs, pairs), ["doc", "line"], "left_semi"))
@@ -326,8 +335,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with text_col without its removed lines, and n_lines, n_removed (lines) and removed_share (of its words)."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     removed = later_matches(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")))
+    removed = staged(removed, "line-removed")
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(removed.select(slot("doc")), FILTER_BITS))
+    kept = docs.withColumns({"__key": key, "__slot": slot(key)})
+
+    def part(hit: bool):
+        """Documents that may have removed lines, which are joined with them, and the others, which are not moved."""
+
+        def pick(batches):
+            for batch in batches:
+                at = np.asarray(batch.column("__slot")).astype(np.int64)
+                yield batch.filter(pa.array(in_bitmap(wanted.value, at) == hit))
+
+        return map_batches(kept, pick, kept.schema)
+
     lists = removed.groupBy("doc").agg(F.collect_list(F.struct("line", "sketch")).alias("__removed"))
-    joined = docs.withColumn("__key", key).join(lists, F.col("__key") == F.col("doc"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__removed")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    joined = part(True).join(lists, F.col("__key") == F.col("doc"), "left").select(*own, "__removed")
+    joined = joined.unionByName(part(False).select(*own, F.lit(None).cast(lists.schema["__removed"].dataType).alias("__removed")))
     extra = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("removed_share", T.DoubleType())]
     schema = extended(docs, extra)
 
