@@ -143,8 +143,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """The bounded sample: TRAIN_DOCS rows of TRAIN_CHARS code points, first by a hash of the id."""
-    picked = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(lang_col).cast("string").alias("l"), F.substring(text_col, 1, TRAIN_CHARS).alias("t"))
-    return [(r["l"], r["t"]) for r in picked.orderBy("h", "l", "t").limit(TRAIN_DOCS).collect()]
+    picked = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).withColumn("h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    last = [r[0] for r in picked.select("h").orderBy("h").limit(TRAIN_DOCS).collect()][-1:]  # the texts of the picked rows alone are read then
+    if not last:
+        return []
+    rows = picked.where(F.col("h") <= last[0]).select("h", F.col(lang_col).cast("string").alias("l"), F.substring(text_col, 1, TRAIN_CHARS).alias("t"))
+    return [(r["l"], r["t"]) for r in rows.orderBy("h", "l", "t").limit(TRAIN_DOCS).collect()]
 
 
 class Labeller:

@@ -331,11 +331,11 @@ def test_decontamination_blocks_and_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()] + [(900, "two words"), (901, ""), (902, None)]
     docs += [(5000, "so Two, words! again two words"), (5001, None), (5002, "")]
     want = decontamination.brute_force(docs, items)
-    for size in (32 << 20, 2000):
+    for size in (32 << 20, 5000):
         out = decontamination.annotate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=size)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["hit_items"]), hashlib.sha256(",".join(sorted(map(str, r["hit_items"]))).encode()).hexdigest(), r["n_hit"] > 0) for r in out.collect()}
         assert got == want
-    kept = decontamination.decontaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=2000)
+    kept = decontamination.decontaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=5000)
     assert kept.columns == ["doc_id", "text"] and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
     assert decontamination.annotate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).where("n_hit > 0").count() == 0
 
