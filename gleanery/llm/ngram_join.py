@@ -18,7 +18,8 @@ with the largest part of frequent shingles) and with the smallest id, the links
 turned into components, and only pairs across components remain for the last round. Equal
 sets are one class from the start.
 
-The frequent class comes from a table of fixed size (2 ** TABLE_BITS slots) filled with what
+Rare shingles known to be in several documents (of a sample of twice each prefix) come after the
+others. The frequent class comes from a table of fixed size (2 ** TABLE_BITS slots) filled with what
 blocks of documents hold at least twice; keys that one document alone has are dropped with a
 bit filter of fixed size. Both change the cost only, as any global order is valid.
 
@@ -41,7 +42,7 @@ from gleanery.llm.common import GOLDEN, MOST_ROWS, Words, bitmap, byte_table, ch
 #: Words of a shingle and percent of similarity: the contract's, and the default of stages.
 K, PERCENT = 4, 85
 STAGE_K, STAGE_PERCENT = 5, 80
-TABLE_BITS, FILTER_BITS, BLOCK_SHINGLES, COMBINED = 24, 25, 2_000_000, 12
+TABLE_BITS, FILTER_BITS, COMMON_BITS, SAMPLED, BLOCK_SHINGLES, COMBINED = 24, 25, 27, 2, 2_000_000, 12
 NO_ID = -(1 << 63)
 
 
@@ -132,23 +133,50 @@ def place_of(classes, hashes) -> np.ndarray:
     return ((classes.astype(np.uint64) << np.uint64(55)) | (hashes >> np.uint64(9))).view(np.int64)
 
 
-def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """The extended prefix in global order, its classes, the plain prefix's length, and the set's part of frequent shingles."""
-    classes = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+def prefix(s: np.ndarray, table: np.ndarray, percent: int, common: np.ndarray | None = None, factor: int = 1) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """The extended prefix in global order, its classes, the plain prefix's length, and the set's part of frequent shingles.
+
+    Classes: 0 rare, 1 rare but known to be in several documents (the bits in common), above 1 frequent."""
+    classes = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint8)
+    often = classes > 0
+    classes = np.where(often, np.minimum(classes, 253) + np.uint8(2), in_bitmap(common, slot_of(s, COMMON_BITS)) if common is not None else 0).astype(np.uint8)
     plain = len(s) - needed(len(s), percent) + 1
-    order = np.lexsort((s, classes))[: plain + 1]
-    return s[order], classes[order], plain, float((classes > 0).mean())
+    order = np.lexsort((s, classes))[: factor * (plain + 1)]
+    return s[order], classes[order], plain, float(often.mean())
+
+
+def slot_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sampled(docs: DataFrame, table, k: int, percent: int) -> DataFrame:
+    """(key): the first rare shingles of each document by hash, twice its extended prefix, to learn which are in several."""
+
+    def work(batches):
+        for batch in chunks(batches, "text"):
+            seen, out = set(), []
+            for s in shingle_sets(batch.column("text"), k):
+                if len(s) < 2 or (x := set_key(s)) in seen:
+                    continue
+                seen.add(x)
+                e, classes, _, _ = prefix(s, table.value, percent, factor=SAMPLED)
+                out.append(e[classes == 0])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["key"])
+
+    return map_batches(docs, work, "key bigint")
 
 
-def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame:
-    """Index rows (key, id, n, place, kind, wide, middle, most, last); without `alone`, only the keys, to find those of one document.
+def keyed(docs: DataFrame, table, common, k: int, percent: int, alone=None) -> DataFrame:
+    """Index rows (key, id, n, place, before, kind, wide, middle, most, last); without `alone`, only the keys, to find those of one document.
 
+    before is how many of the prefix's shingles ahead of the key's may be in other prefixes;
     last is where the extended prefix ends in the global order. Its rare shingles that no other prefix has are not
     in any set whose prefix ends later, so such a set shares at most `most` shingles with this one."""
 
     def keys_of(s: np.ndarray):
-        e, classes, plain, middle = prefix(s, table.value, percent)
-        rare = classes == 0
+        e, classes, plain, middle = prefix(s, table.value, percent, common.value)
+        rare = classes < 2
         often = np.flatnonzero(~rare)
         wide = len(often) > COMBINED
         parts = [(e[rare], np.flatnonzero(rare), 0)]
@@ -158,7 +186,7 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
                 parts.append((mixed(e[a] * GOLDEN + e[b]), a, 1))
             single = often[often < plain]
             parts.append((mixed(e[single] + np.uint64(1)), single, 2))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts]), wide, middle, int(place_of(classes[-1:], e[-1:])[0])
+        return len(e), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts]), wide, middle, int(place_of(classes[-1:], e[-1:])[0])
 
     def work(batches):
         wanted = None if alone is None else alone.value
@@ -168,24 +196,26 @@ def keyed(docs: DataFrame, table, k: int, percent: int, alone=None) -> DataFrame
                 if len(s) < 2 or (x := set_key(s)) in seen:
                     continue
                 seen.add(x)
-                keys, place, kind, wide, middle, last = keys_of(s)
-                most = len(s)
+                size, keys, place, kind, wide, middle, last = keys_of(s)
+                most, before = len(s), place
                 if wanted is not None:
-                    at = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    keep = in_bitmap(wanted, at)
-                    most -= int(np.count_nonzero(~keep & (kind == 0)))
+                    keep = in_bitmap(wanted, slot_of(keys, FILTER_BITS))
+                    own = np.zeros(size + 1, np.int64)  # places of shingles that no other prefix has
+                    own[place[~keep & (kind == 0)] + 1] = 1
+                    most -= int(own.sum())
+                    before = (place - np.cumsum(own)[place])[keep]
                     keys, place, kind = keys[keep], place[keep], kind[keep]
                 full = lambda x: np.full(len(keys), x)  # noqa: B023, E731
-                out.append((keys, full(doc_id), full(len(s)), place, kind, full(wide), full(int(middle * 1e6)), full(most), full(last)))
+                out.append((keys, full(doc_id), full(len(s)), place, before, kind, full(wide), full(int(middle * 1e6)), full(most), full(last)))
             if not out:
                 continue
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             if wanted is None:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64))], names=["key"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5]), pa.array(cols[6].astype(np.int32)), pa.array(cols[7], pa.int64()), pa.array(cols[8], pa.int64())], names=["key", "id", "n", "place", "kind", "wide", "middle", "most", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32)), pa.array(cols[5]), pa.array(cols[6]), pa.array(cols[7].astype(np.int32)), pa.array(cols[8], pa.int64()), pa.array(cols[9], pa.int64())], names=["key", "id", "n", "place", "before", "kind", "wide", "middle", "most", "last"])
 
-    return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, kind tinyint, wide boolean, middle int, most bigint, last bigint")
+    return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, before int, kind tinyint, wide boolean, middle int, most bigint, last bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -221,9 +251,11 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     table = spark.sparkContext.broadcast(class_table(scanned))
     heads = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head"))
     same = sets.where("n > 0").join(heads, ["k1", "k2"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    shared = keyed(source, table, k, percent).groupBy("key").count().where("count > 1")
+    several = sampled(source, table, k, percent).groupBy("key").count().where("count > 1")
+    common = spark.sparkContext.broadcast(bitmap(several.select(F.shiftrightunsigned("key", 64 - COMMON_BITS)), COMMON_BITS))
+    shared = keyed(source, table, common, k, percent).groupBy("key").count().where("count > 1")
     alone = spark.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("key", 64 - FILTER_BITS)), FILTER_BITS))
-    index = staged(keyed(source, table, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
+    index = staged(keyed(source, table, common, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
 
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -243,10 +275,11 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = staged(grouped.join(open_keys, "key", "left_semi"), "ngram-rest")
-    cols = ("key", "id", "n", "place", "kind", "wide", "most", "last", "component")
+    cols = ("key", "id", "n", "place", "before", "kind", "wide", "most", "last", "component")
     x, y = rest.select(*cols), rest.select("key", *[F.col(c).alias(f"{c}_y") for c in cols[1:]])
-    bound = F.least("place", "place_y") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_y") - F.col("place_y") - 1)
-    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((F.col("kind") == 1) | ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y")))))
+    # what stands ahead of the key in both, the key, and what follows it
+    bound = F.least("before", "before_y") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_y") - F.col("place_y") - 1)
+    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y"))))
     across = staged(across.select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
     more = verified(source, across, k, percent)
 
