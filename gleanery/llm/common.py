@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows handled at once at most.
 MOST_ROWS = 4096
 
@@ -93,8 +95,23 @@ def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(extra.values()), names=[n for n, _ in kept] + list(extra))
 
 
+#: Rows of an Arrow batch, where the session keeps Spark's default of 10,000: rows hold whole texts here.
+BATCH_ROWS = 1_000
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with small batches; a worker gives its memory back after each task, as idle workers stay alive."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library cannot trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 #: Fixed odd multiplier of the rolling hashes (64-bit golden ratio).

@@ -91,11 +91,18 @@ def slots_of(token: np.ndarray) -> np.ndarray:
     return (mixed(token) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def sketch(line: bytes) -> int:
-    """The first word of a line's parity sketch."""
-    h = np.unique(Words(pa.array([line], pa.binary())).h & np.uint64((1 << 39) - 1))
-    h = h[(h & np.uint64(64)) == 0]
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))).view(np.int64)) if len(h) else 0
+def first_sketches(lines: list[bytes]) -> np.ndarray:
+    """The first word of the parity sketch of each line."""
+    words = Words(pa.array(lines, pa.binary()))
+    token = words.h & np.uint64((1 << 39) - 1)
+    order = np.lexsort((token, words.owner))
+    owner, token = words.owner[order], token[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+    keep = new & ((token & np.uint64(64)) == 0)
+    out = np.zeros(len(lines), np.uint64)
+    np.bitwise_xor.at(out, owner[keep], np.uint64(1) << (token[keep] & np.uint64(63)))
+    return out.view(np.int64)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -121,12 +128,31 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return byte_table(counted.select("slot", F.floor(F.least(F.lit(127), 4 * F.log2("times"))).alias("value")), TABLE_BITS)
 
 
+#: An index row without its token; rows travel packed, as one binary column, to the comparison of groups.
+ROW = np.dtype([("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("sketch", "<i8"), ("sketch2", "<i8"), ("guest", "u1")])
+#: Index rows compared at once (more where a group is larger).
+GROUP_ROWS = 200_000
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * ROW.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, ROW, len(column), first) if len(column) else np.empty(0, ROW)
+
+
 INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, sketch2 bigint, guest boolean"
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
 def indexed(docs: DataFrame, table, only=None) -> DataFrame:
-    """Prefix rows; rows without a token tell lines equal to an earlier one of the same task. only: bits of wanted tokens."""
+    """Prefix rows, packed; rows without a token tell lines equal to an earlier one of the same task.
+
+    only: bits of wanted tokens; then the rows have columns of their own, and equal lines are left out."""
 
     def prefixes(lines: Lines, use: np.ndarray):
         """Of the lines marked in use: (line, token, place, whether the token is split)."""
@@ -157,9 +183,9 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             if later and only is None:
-                d, n, s, z = zip(*later, strict=True)
-                nulls = pa.nulls(len(later), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.int32()), nulls, pa.array(s, pa.int64()), pa.nulls(len(later), pa.int64()), pa.nulls(len(later), pa.bool_())], names=INDEX_NAMES)
+                rows = np.zeros(len(later), ROW)
+                rows["doc"], rows["line"], rows["sketch"], rows["size"] = zip(*later, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.int64()), packed(rows)], names=["token", "row"])
             own, token, place, split = prefixes(lines, use)
             guest = np.zeros(len(own), bool)
             if split.any():
@@ -173,9 +199,16 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if only is not None:
                 keep = in_bitmap(only.value, slots_of(token))
                 own, token, place, guest = own[keep], token[keep], place[keep], guest[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(docs_of[own]), pa.array(lines.numbers[own].astype(np.int32)), pa.array(lines.sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketches[own]), pa.array(seconds[own]), pa.array(guest)], names=INDEX_NAMES)
+            rows = np.zeros(len(own), ROW)
+            for name, x in zip(ROW.names, (docs_of[own], lines.numbers[own], lines.sizes[own], place, sketches[own], seconds[own], guest), strict=True):
+                rows[name] = x
+            key = pa.array(token.view(np.int64))
+            if only is None:
+                yield pa.RecordBatch.from_arrays([key, packed(rows)], names=["token", "row"])
+            else:
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(rows[n]) for n in ROW.names[:-1]), pa.array(rows["guest"] != 0)], names=INDEX_NAMES)
 
-    return map_batches(docs, work, INDEX)
+    return map_batches(docs, work, "token bigint, row binary" if only is None else INDEX)
 
 
 def apart_of(s, t, s2, t2) -> np.ndarray:
@@ -198,39 +231,40 @@ CANDIDATE_NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
 def candidates(rows: DataFrame) -> DataFrame:
     """For each line and token, the earlier line with the least differing bits (the earliest of equals), and how many others pass.
 
-    Rows come sorted by token, document and line; pairs of all groups of a batch are compared by lag."""
+    Rows come sorted by token; pairs of all groups of some rows are compared by their distance in the order of lines."""
 
     def groups(batches):
-        held = []
+        """(tokens, rows) of whole groups, GROUP_ROWS rows or one group at least."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
             without = batch.filter(pc.is_null(batch.column("token")))
             if without.num_rows:
-                yield without
+                yield None, unpacked(without.column("row"))
                 batch = batch.filter(pc.is_valid(batch.column("token")))
             if not batch.num_rows:
                 continue
-            token = np.asarray(batch.column("token"))
-            cut = int(np.searchsorted(token == token[-1], True)) if token[0] != token[-1] else 0
-            if cut:
-                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            elif held and held[-1].column("token")[-1].as_py() != token[0]:
-                yield pa.Table.from_batches(held)
-                held = [batch]
+            token, rows = np.asarray(batch.column("token")), unpacked(batch.column("row"))
+            cut = int(np.searchsorted(token, token[-1]))  # where the last group starts
+            if n + cut >= GROUP_ROWS and (cut or held[-1][0][-1] != token[0]):
+                yield tuple(np.concatenate(x) for x in zip(*held, (token[:cut], rows[:cut]), strict=True))
+                held, n = [(token[cut:], rows[cut:])], len(token) - cut
             else:
-                held.append(batch)
+                held.append((token, rows))
+                n += len(token)
         if held:
-            yield pa.Table.from_batches(held)
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def work(batches):
-        for t in groups(batches):
-            if isinstance(t, pa.RecordBatch):  # lines already decided
-                none = pa.nulls(t.num_rows, pa.int64())
-                zero = pa.array(np.zeros(t.num_rows, np.int32))
-                yield pa.RecordBatch.from_arrays([none, *(t.column(c) for c in ("doc", "line", "size", "sketch")), none, pa.nulls(t.num_rows, pa.int32()), zero, zero], names=CANDIDATE_NAMES)
+        for token, rows in groups(batches):
+            if token is None:  # lines already decided
+                none, zero = pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int32))
+                yield pa.RecordBatch.from_arrays([none, *(pa.array(rows[c].copy()) for c in ("doc", "line", "size", "sketch")), none, pa.nulls(len(rows), pa.int32()), zero, zero], names=CANDIDATE_NAMES)
                 continue
-            token, doc, line, n, i, s, s2, guest = (np.asarray(t.column(c)) for c in INDEX_NAMES)
-            n, i, s, s2 = n.astype(np.int64), i.astype(np.int64), s.view(np.uint64), s2.view(np.uint64)
+            order = np.lexsort((rows["line"], rows["doc"], token))
+            token, rows = token[order], rows[order]
+            doc, line, guest = rows["doc"].copy(), rows["line"].copy(), rows["guest"] != 0
+            n, i, s, s2 = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["sketch"].copy().view(np.uint64), rows["sketch2"].copy().view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
             best, apart, others = np.full(len(token), -1), np.full(len(token), 1 << 20), np.zeros(len(token), np.int64)
@@ -271,15 +305,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def some(batches):
         for batch in chunks(batches, "text"):
-            ids, numbers, found = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                lines = (text or b"").split(b"\n")
-                at = line_slots(np.full(len(lines), i, np.int64), np.arange(len(lines)))
-                for n in np.flatnonzero(in_bitmap(wanted.value, at)).tolist():
-                    ids.append(i)
-                    numbers.append(n)
-                    found.append(lines[n])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], names=["doc", "line", "words"])
+            ids, texts = np.asarray(batch.column("id")), as_bytes(batch.column("text"))
+            counts = np.array([t.count(b"\n") + 1 if t else 1 for t in texts])
+            owner = np.repeat(np.arange(len(texts)), counts)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = np.flatnonzero(in_bitmap(wanted.value, line_slots(ids[owner], number)))
+            found, last, parts = [], -1, []
+            for o, n in zip(owner[hit].tolist(), number[hit].tolist(), strict=True):
+                if o != last:
+                    last, parts = o, (texts[o] or b"").split(b"\n")
+                found.append(parts[n])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(found, pa.binary())], names=["doc", "line", "words"])
 
     lines = staged(map_batches(docs, some, "doc bigint, line int, words binary"), "line-texts")
     both = pairs.join(lines, ["doc", "line"]).join(lines.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_doc", "to_line"])
@@ -301,7 +337,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(rarity(docs))
     # rows without a token are dealt by their document: one null key would gather them in a task
     rows = indexed(docs, table)
-    rows = rows.repartition(F.coalesce("token", F.xxhash64("doc", "line"))).sortWithinPartitions("token", "doc", "line")
+    rows = rows.repartition(F.coalesce("token", F.xxhash64("row"))).sortWithinPartitions("token")
     found = staged(candidates(rows), "line-candidates")
     equal = found.where("token is null").select("doc", "line", "sketch")
     near = found.where("token is not null")
@@ -359,14 +395,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches):
         for batch in chunks(batches, text_col):
-            texts, counts, gone, share = [], [], [], []
-            for text, removed in zip(as_bytes(batch.column(text_col)), batch.column("__removed").to_pylist(), strict=True):
-                lines = text.split(b"\n") if text else []
-                out = {r["line"] for r in removed or [] if r["line"] < len(lines) and sketch(lines[r["line"]]) == r["sketch"]}
-                texts.append(b"\n".join(x for n, x in enumerate(lines) if n not in out) if out else text)
-                counts.append(len(lines))
-                gone.append(len(out))
-                share.append(sum(len(lines[n].split()) for n in out) / max(1, len(text.split())) if out else 0.0)
+            raw = as_bytes(batch.column(text_col))
+            split = [t.split(b"\n") if t else [] for t in raw]
+            told = [(i, r["line"], r["sketch"]) for i, rs in enumerate(batch.column("__removed").to_pylist()) for r in rs or [] if r["line"] < len(split[i])]
+            own = first_sketches([split[i][n] for i, n, _ in told])
+            out: list[set[int]] = [set() for _ in raw]
+            for (i, n, want), got in zip(told, own.tolist(), strict=True):
+                if got == want:
+                    out[i].add(n)
+            texts = [b"\n".join(x for n, x in enumerate(p) if n not in o) if o else t for t, p, o in zip(raw, split, out, strict=True)]
+            counts, gone = [len(p) for p in split], [len(o) for o in out]
+            share = [sum(len(p[n].split()) for n in o) / max(1, sum(len(x.split()) for x in p)) if o else 0.0 for p, o in zip(split, out, strict=True)]
             names = [n for n in batch.schema.names if n != "__removed"]
             changed = pa.array(texts, pa.binary()).cast(pa.string())
             columns = {n: changed if n == text_col else batch.column(n) for n in names}
