@@ -216,9 +216,9 @@ def apart_of(s, t, s2, t2) -> np.ndarray:
 
 
 def passing(n, m, i, j, s, t, s2, t2) -> np.ndarray:
-    """Length, positional and sketch filters for arrays of pairs."""
+    """Positional and sketch filters for arrays of pairs that the length filter has passed."""
     need = -(-PERCENT * (n + m) // (100 + PERCENT))
-    ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1) >= need)
+    ok = 1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1) >= need
     at = np.flatnonzero(ok)
     ok[at] = apart_of(s[at], t[at], s2[at], t2[at]) <= (n + m - 2 * need)[at]
     return ok
@@ -229,9 +229,10 @@ CANDIDATE_NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """For each line and token, the earlier line with the least differing bits (the earliest of equals), and how many others pass.
+    """For each line and token, an earlier line with the least differing bits, and how many others pass.
 
-    Rows come sorted by token; pairs of all groups of some rows are compared by their distance in the order of lines."""
+    Rows come sorted by token. Within a group they are put in order of size, and rows of all groups are compared
+    with those 1, 2, ... places before them, as long as the length filter lets a row's distance grow."""
 
     def groups(batches):
         """(tokens, rows) of whole groups, GROUP_ROWS rows or one group at least."""
@@ -261,26 +262,31 @@ def candidates(rows: DataFrame) -> DataFrame:
                 none, zero = pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int32))
                 yield pa.RecordBatch.from_arrays([none, *(pa.array(rows[c].copy()) for c in ("doc", "line", "size", "sketch")), none, pa.nulls(len(rows), pa.int32()), zero, zero], names=CANDIDATE_NAMES)
                 continue
-            order = np.lexsort((rows["line"], rows["doc"], token))
+            order = np.lexsort((rows["size"], token))
             token, rows = token[order], rows[order]
             doc, line, guest = rows["doc"].copy(), rows["line"].copy(), rows["guest"] != 0
             n, i, s, s2 = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["sketch"].copy().view(np.uint64), rows["sketch2"].copy().view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
             best, apart, others = np.full(len(token), -1), np.full(len(token), 1 << 20), np.zeros(len(token), np.int64)
-            active, lag = np.flatnonzero(place >= 1), 1
-            while len(active):
+            active, lag = np.arange(len(token)), 0
+            while True:
+                lag += 1
+                active = active[place[active] >= lag]
+                active = active[100 * n[active - lag] >= PERCENT * n[active]]
+                if not len(active):
+                    break
                 back = active - lag
                 ok = passing(n[active], n[back], i[active], i[back], s[active], s[back], s2[active], s2[back])
                 at, to = active[ok], back[ok]
                 ok = ~(guest[at] & guest[to]) & ((doc[at] != doc[to]) | (line[at] != line[to]))
                 at, to = at[ok], to[ok]
                 gap = apart_of(s[at], s[to], s2[at], s2[to])
-                others[at] += 1
-                near = gap <= apart[at]
-                best[at[near]], apart[at[near]] = to[near], gap[near]
-                lag += 1
-                active = active[place[active] >= lag]
+                later = (doc[at] > doc[to]) | ((doc[at] == doc[to]) & (line[at] > line[to]))
+                for x, y, g in ((at[later], to[later], gap[later]), (to[~later], at[~later], gap[~later])):  # each row once in x
+                    others[x] += 1
+                    near = g < apart[x]
+                    best[x[near]], apart[x[near]] = y[near], g[near]
             x = np.flatnonzero(best >= 0)
             y = best[x]
             yield pa.RecordBatch.from_arrays([pa.array(token[x]), pa.array(doc[x]), pa.array(line[x]), pa.array(n[x].astype(np.int32)), pa.array(s[x].view(np.int64)), pa.array(doc[y]), pa.array(line[y]), pa.array(apart[x].astype(np.int32)), pa.array((others[x] - 1).astype(np.int32))], names=CANDIDATE_NAMES)
