@@ -191,11 +191,12 @@ def keyed(docs: DataFrame, table, common, k: int, percent: int, alone=None) -> D
     def work(batches):
         wanted = None if alone is None else alone.value
         for batch in chunks(batches, "text"):
-            seen, out = set(), []
+            # equal sets are indexed under their smallest id, as the head of all equal sets may be any of them
+            least, out = {}, []
             for doc_id, s in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
-                if len(s) < 2 or (x := set_key(s)) in seen:
-                    continue
-                seen.add(x)
+                if len(s) > 1 and ((x := set_key(s)) not in least or doc_id < least[x][0]):
+                    least[x] = (doc_id, s)
+            for doc_id, s in least.values():
                 size, keys, place, kind, wide, middle, last = keys_of(s)
                 most, before = len(s), place
                 if wanted is not None:

@@ -97,6 +97,16 @@ def test_ngram_join_wide_documents(spark):
     assert got == ngram_join.brute_force(rows)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_ngram_join_copies_in_any_order(spark, descending):
+    """Copies that are met before the one with the smallest id keep the class's links to near copies."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in (5, 7, 9)] + [(20, " ".join([*words[:-1], "other"])), (21, " ".join(f"v{i}" for i in range(60)))]
+    docs = spark.createDataFrame(sorted(rows, reverse=descending), "doc_id bigint, text string").coalesce(1)
+    assert {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join_components(docs).collect()} == ngram_join.brute_force(rows)
+    assert sorted(r["doc_id"] for r in ngram_join.deduplicated(docs).collect()) == [5, 21]
+
+
 def test_ngram_join_cases(spark, odd):
     out = ngram_join.join_components(odd)
     rows = {r["id"]: r for r in out.collect()}
