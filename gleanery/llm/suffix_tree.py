@@ -1,19 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words and one end per text. A state of the tree is a context
-of up to `DEPTH` preceding words. Which contexts and next words are counted is decided by
-relative frequency (`MIN_SHARE` of all n-grams), so the tree has at most DEPTH / MIN_SHARE
-entries whatever the corpus; that bound is what makes it safe to broadcast. Frequent
-n-grams are found exactly in two passes over all training texts: what reaches MIN_SHARE in
-the whole reaches it in some block of tokens, so the blocks' frequent n-grams are the
-candidates, and the second pass counts all candidates everywhere. A filter of fixed size
-keeps most other n-grams out of the second pass's shuffle.
+of up to `DEPTH` preceding words. All n-grams of at least `LEAST` = 2 occurrences in all
+training texts are counted exactly, level by level, as an n-gram that is repeated has
+repeated parts; counts, probabilities and gains are distributed tables that grow with the corpus.
 
 A context is retained where its next-word distribution diverges from that of its suffix:
 count * KL(P(.|context) || P(.|suffix)) of at least `MIN_GAIN` nats; suffixes of retained
-contexts are states too. Distributions are smoothed by absolute discounting towards
-the suffix's, down to the root, which is the additively smoothed word distribution; a
-token is scored in the state of its longest suffix.
+contexts are states too. This test alone prunes. Distributions are smoothed by absolute
+discounting towards the suffix's, down to the root, which is the additively smoothed word
+distribution; a token is scored in the state of its longest suffix.
+
+A text's score is a sum over its n-grams: log10 of the left-over mass of each retained context
+it holds, and for each counted n-gram of such a context log10 of p / (left-over mass * suffix's p).
+So one join scores all of them. N-grams of at least `MIN_SHARE` of the tokens, which would be
+hot keys, are broadcast instead (1 / MIN_SHARE for each length at most); filters of fixed size
+keep most n-grams without a value out of the shuffles, which changes the cost only.
 
 Word counts are exact over all training texts. Words of at least `WORD_SHARE` of the tokens
 (so 1 / WORD_SHARE words at most) are broadcast; counts of all other words are joined, whose
@@ -25,7 +27,7 @@ Defined cases: a null or empty text is one end token; without training texts N a
 
 from __future__ import annotations
 
-import math
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, as_bytes, bitmap, chunks, in_bitmap, map_batches, mixed, read, staged, word_hashes
+from gleanery.llm.common import GOLDEN, as_bytes, bitmap, chunks, drop_staged, in_bitmap, map_batches, mixed, read, staged, word_hashes
 from gleanery.llm.language import held_out
 
-DEPTH, MIN_SHARE, WORD_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2e-6, 1e-6, 20.0, 0.5, 0.1
-#: Tokens of a block in which candidates are sought; a block's counts are numpy arrays.
+DEPTH, LEAST, MIN_SHARE, WORD_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 2e-6, 1e-6, 20.0, 0.5, 0.1
+#: N-grams of a block, counted before the shuffle as numpy arrays.
 BLOCK_TOKENS, FLUSH_WORDS, TEXT_BYTES = 1_500_000, 200_000, 2 << 20
-#: The candidates' filter has 2 ** FILTER_BITS bits, whatever their number.
-FILTER_BITS = 25
+#: A filter has 2 ** FILTER_BITS bits, whatever the number of n-grams.
+FILTER_BITS = 27
 #: The end of a text is a token no word can equal, as it is white space.
 END = b"\n"
 
@@ -73,21 +75,35 @@ def placed(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndar
     return flat, np.fromiter(map(len, tokens), np.int64, len(tokens)), tokens
 
 
-def ngrams(place: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 .. depth + 1: the hash of the n-gram that ends at each token, and whether it is one of known words of one text."""
-    known = place >= 0
-    h = hashes[place]
-    offset = (np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).clip(max=depth).astype(np.int8)
-    yield mixed(h), known
-    gram, ok = h, known
+def hashed(place: np.ndarray, tokens: list[list[bytes]], vocabulary: Vocabulary) -> np.ndarray:
+    """The hash of every token, in the vocabulary or not."""
+    h = vocabulary.hashes[place]
+    rare = np.flatnonzero(place < 0)
+    if len(rare):
+        flat = [w for t in tokens for w in t]
+        h[rare] = word_hashes([flat[i] for i in rare.tolist()])
+    return h
+
+
+def ngrams(h: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 .. depth + 1: the hash of the n-gram that ends at each token, and whether it lies in one text."""
+    offset = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).clip(max=depth).astype(np.int8)
+    yield mixed(h), np.ones(len(h), bool)
+    gram = h
     for n in range(2, depth + 2):
         # the n-gram that ends at i: the (n-1)-gram that ends at i, with the word n - 1 places before
         with np.errstate(over="ignore"):
             gram = gram * GOLDEN
-            gram[n - 1 :] += h[: len(h) - n + 1]
-            ok = ok & (offset >= n - 1)
-            ok[n - 1 :] &= known[: len(h) - n + 1]
-            yield mixed(gram + np.uint64(n)), ok
+            gram[n - 1 :] += h[: max(0, len(h) - n + 1)]
+            yield mixed(gram + np.uint64(n)), offset >= n - 1
+
+
+def slot_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def filter_of(rows: DataFrame) -> np.ndarray:
+    return bitmap(rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS)), FILTER_BITS)
 
 
 def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,152 +131,104 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Sorted arrays per depth d = 1 .. DEPTH: context hashes and left-over mass, n-gram hashes and kept mass."""
+    """What is frequent, as sorted arrays per depth d = 1 .. DEPTH: contexts and log10 of their left-over mass, n-grams
+    and log10 of p / (left-over mass * suffix's p). All else is the table cold (h, v), with a filter of its hashes."""
 
     def __init__(self):
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.cold: DataFrame | None = None
+        self.passes: np.ndarray | None = None
+
+    def score(self, place: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token without and with the frequent contexts and n-grams; for words outside the
+        vocabulary (whose root term is joined later) the first is 0 and the second the contexts' factor alone."""
+        base = np.log10(np.where(place >= 0, vocabulary.root()[place], 1.0))
+        deep = base.copy()
+        grams = list(ngrams(vocabulary.hashes[place] if h is None else h, sizes, len(self.contexts)))
+        for d, ((keys, rest), (pairs, gain)) in enumerate(zip(self.contexts, self.grams, strict=True), start=1):
+            at = np.flatnonzero(grams[d][1])  # the d words that end at i - 1 are the context of i
+            where, found = looked_up(keys, grams[d - 1][0][at - 1])
+            deep[at[found]] += rest[where[found]]
+            where, found = looked_up(pairs, grams[d][0][at])
+            deep[at[found]] += gain[where[found]]
+        return base, deep
+
+
+def repeated(texts: DataFrame, vocabulary, n: int, passes) -> DataFrame:
+    """(h, context, suffix, c) of the n-grams that occur LEAST times; passes has the bits of the repeated (n-1)-grams."""
 
-    def score(self, place: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token without and with contexts; for words outside the vocabulary
-        (whose root term is joined later) the first is 0 and the second the contexts' factor alone."""
-        root = vocabulary.root()
-        known = place >= 0
-        base = np.where(known, root[place], 1.0)
-        p = base.copy()
-        grams = list(ngrams(place, sizes, vocabulary.hashes, len(self.contexts)))
-        alive = np.ones(len(place), bool)
-        for d, ((keys, rest), (pairs, mass)) in enumerate(zip(self.contexts, self.grams, strict=True), start=1):
-            h, ok = grams[d - 1]  # the d words that end at i - 1 are the context of i
-            alive = alive & np.concatenate(([False], ok[:-1]))
-            inside = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= d
-            alive &= inside
-            at = np.flatnonzero(alive)
-            if not len(at) or not len(keys):
-                break
-            where, found = looked_up(keys, h[at - 1])
-            alive[at[~found]] = False
-            at, where = at[found], where[found]
-            gram, whole = grams[d]
-            place_in, hit = looked_up(pairs, gram[at])
-            kept = np.where(hit & whole[at], mass[place_in] if len(mass) else 0.0, 0.0)
-            p[at] = kept + rest[where] * p[at]
-        return np.log10(base), np.log10(p)
-
-
-def frequent_ngrams(texts: DataFrame, vocabulary, total: int, depth: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """n -> (hash, count, hash of the context, hash of the suffix n-gram), sorted by hash, of n-grams of MIN_SHARE of the tokens."""
-    least = max(2.0, MIN_SHARE * total)
-
-    def blocks(batches):
-        """Blocks of BLOCK_TOKENS tokens; what is left at the end joins the last one."""
-        held, n, ready = [], 0, None
-        for batch in chunks(batches, 0, TEXT_BYTES):
-            place, sizes, _ = placed(as_bytes(batch.column(0)), vocabulary.value.places)
-            held.append((place.astype(np.int32), sizes))
-            n += len(place)
-            if n >= BLOCK_TOKENS:
-                if ready:
-                    yield joined(ready)
-                ready, held, n = held, [], 0
-        if (ready or []) + held:
-            yield joined((ready or []) + held)
-
-    def joined(parts):
-        return np.concatenate([p for p, _ in parts]).astype(np.int64), np.concatenate([s for _, s in parts])
-
-    def candidates(batches):
-        for place, sizes in blocks(batches):
-            local = max(1, math.ceil(least * len(place) / max(total, 1)))
-            before = None
-            for n, (h, ok) in enumerate(ngrams(place, sizes, vocabulary.value.hashes, depth), start=1):
-                shorter, before = before, h
-                at = np.flatnonzero(ok)
-                if n == 1 or not len(at):
-                    continue
-                values, first, count = np.unique(h[at], return_index=True, return_counts=True)
-                often = count >= local
-                i = at[first[often]]
-                # the context ends one token earlier; the suffix n-gram drops the first word
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), pa.array(values[often].view(np.int64)), pa.array(shorter[i - 1].view(np.int64)), pa.array(shorter[i].view(np.int64))], names=["n", "h", "context", "suffix"])
-
-    # fewer tasks for small inputs, so that a block is large enough to tell frequent n-grams from others
-    found = map_batches(texts.coalesce(max(1, total // BLOCK_TOKENS)), candidates, "n int, h bigint, context bigint, suffix bigint")
-    found = staged(found.groupBy("n", "h").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "pst-candidates")
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    passes = texts.sparkSession.sparkContext.broadcast(bitmap(found.select(slot), FILTER_BITS))
-
-    def exact(batches):
-        wanted = passes.value
-        held: list[list[np.ndarray]] = [[] for _ in range(depth + 2)]
-        n_held = 0
+    def work(batches):
+        held, size = [], 0
 
         def out():
-            for n, parts in enumerate(held):
-                if parts:
-                    values, count = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), n, np.int32)), pa.array(values.view(np.int64)), pa.array(count.astype(np.int64))], names=["n", "h", "c"])
-                    parts.clear()
+            gram, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+            values, first, count = np.unique(gram, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (values, context[first], suffix[first])] + [pa.array(count.astype(np.int64))], names=["h", "context", "suffix", "c"])
 
         for batch in chunks(batches, 0, TEXT_BYTES):
-            place, sizes, _ = placed(as_bytes(batch.column(0)), vocabulary.value.places)
-            for n, (h, ok) in enumerate(ngrams(place, sizes, vocabulary.value.hashes, depth), start=1):
-                if n == 1:
-                    continue
-                h = h[ok]
-                at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                h = h[in_bitmap(wanted, at)]
-                held[n].append(h)
-                n_held += len(h)
-            if n_held > BLOCK_TOKENS:
-                yield from out()
-                n_held = 0
-        yield from out()
-
-    counted = map_batches(texts, exact, "n int, h bigint, c bigint").groupBy("n", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    rows = counted.join(found, ["n", "h"]).toPandas()  # 1 / MIN_SHARE rows for each n at most
-    result = {}
-    for n in range(2, depth + 2):
-        own = rows[rows["n"] == n]
-        order = np.argsort(own["h"].to_numpy(np.int64).view(np.uint64))
-        h, context, suffix = (own[c].to_numpy(np.int64)[order].view(np.uint64) for c in ("h", "context", "suffix"))
-        result[n] = (h, own["c"].to_numpy(np.int64)[order], context, suffix)
-    return result
-
-
-def grown(vocabulary: Vocabulary, frequent: dict, depth: int) -> Tree:
-    """Discount, test the divergences, and keep the retained contexts and their suffixes."""
-    tree = Tree()
-    word = mixed(vocabulary.hashes[:-1])
-    order = np.argsort(word)
-    context_keys, context_counts = word[order], vocabulary.counts[:-1][order]
-    root = vocabulary.root()[:-1][order]
-    below_keys, below_p = context_keys, root  # P(gram's last word | the gram's suffix context)
-    levels = []
+            place, sizes, tokens = placed(as_bytes(batch.column(0)), vocabulary.value.places)
+            *_, (shorter, _), (gram, inside) = ngrams(hashed(place, tokens, vocabulary.value), sizes, n - 1)
+            often = in_bitmap(passes.value, slot_of(shorter))
+            # the context ends one token earlier; the suffix n-gram drops the first word
+            i = np.flatnonzero(inside[1:] & often[1:] & often[:-1]) + 1
+            held.append((gram[i], shorter[i - 1], shorter[i]))
+            size += len(i)
+            if size > BLOCK_TOKENS:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    rows = map_batches(texts, work, "h bigint, context bigint, suffix bigint, c bigint")
+    return staged(rows.groupBy("h").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= LEAST), "pst-ngrams")
+
+
+def grown(texts: DataFrame, vocabulary, counts: DataFrame, depth: int) -> Tree:
+    """Count, discount, test the divergences, and keep the values of the retained contexts and their suffixes."""
+    spark, total, distinct = texts.sparkSession, vocabulary.value.total, vocabulary.value.distinct
+
+    def word_keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(word_hashes(b.column("word").to_pylist())).view(np.int64)), b.column("n")], names=["h", "c"])
+
+    words = map_batches(counts.where(F.col("n") >= LEAST), word_keys, "h bigint, c bigint")
+    below = staged(words.withColumn("p", (F.col("c") + PSEUDO) / F.lit(total + PSEUDO * (distinct + 1))), "pst-words")
+    levels, passing = [], []
+    for d in range(1, depth + 1):
+        passes = spark.sparkContext.broadcast(filter_of(below))
+        grams = repeated(texts, vocabulary, d + 1, passes)
+        passing.append(passes)
+        states = grams.groupBy("context").agg(F.sum("c").alias("s"), F.count("*").alias("k")).join(below.select(F.col("h").alias("context"), F.col("c").alias("whole")), "context")
+        states = states.select("context", "whole", (1 - (F.col("s") - DISCOUNT * F.col("k")) / F.col("whole")).alias("rest"))
+        # P(last word | suffix of the context), then P(last word | context)
+        level = grams.join(below.select(F.col("h").alias("suffix"), F.col("p").alias("lower")), "suffix").join(states, "context")
+        levels.append(staged(level.withColumn("p", (F.col("c") - DISCOUNT) / F.col("whole") + F.col("rest") * F.col("lower")), "pst-level"))
+        drop_staged(spark, grams)
+        below = levels[-1].select("h", "c", "p")
+    values, longer = None, None
+    for d in range(depth, 0, -1):
+        level = levels[d - 1]
+        kept = level.groupBy("context").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("lower"))).alias("gain")).where(F.col("gain") >= MIN_GAIN).select("context")
+        if longer is not None:  # suffixes of retained contexts
+            kept = kept.unionByName(level.join(longer.select(F.col("context").alias("h")), "h", "left_semi").select(F.col("suffix").alias("context"))).distinct()
+        longer = staged(kept, "pst-retained")
+        inside = staged(level.join(longer, "context", "left_semi"), "pst-inside")
+        own = inside.select(F.lit(d).alias("d"), F.lit(False).alias("state"), "h", (F.log10(F.col("p") / F.col("lower")) - F.log10("rest")).alias("v"), "c")
+        of = inside.groupBy("context").agg(F.first("rest").alias("rest"), F.first("whole").alias("c")).select(F.lit(d).alias("d"), F.lit(True).alias("state"), F.col("context").alias("h"), F.log10("rest").alias("v"), "c")
+        values = own.unionByName(of) if values is None else values.unionByName(own).unionByName(of)
+    tree, least = Tree(), max(LEAST, MIN_SHARE * total)
+    hot = values.where(F.col("c") >= least).toPandas()  # 1 / MIN_SHARE rows for each d and state at most
     for d in range(1, depth + 1):
-        h, c, context, suffix = frequent[d + 1]
-        at, ok = looked_up(context_keys, context)
-        h, c, at, suffix = h[ok], c[ok], at[ok], suffix[ok]
-        whole = context_counts[at]
-        mass = (c - DISCOUNT) / whole
-        rest = 1.0 - np.bincount(at, mass, len(context_keys))
-        where, there = looked_up(below_keys, suffix)
-        lower = np.where(there, below_p[where] if len(below_p) else 0.0, 1e-9)
-        p = mass + rest[at] * lower
-        gain = np.bincount(at, c * np.log(np.maximum(p, 1e-300) / np.maximum(lower, 1e-300)), len(context_keys))
-        levels.append({"context": context_keys, "rest": rest, "gain": gain, "gram": h, "at": at, "mass": mass, "suffix": suffix})
-        below_keys, below_p = h, p
-        # contexts of the next depth are this depth's n-grams
-        context_keys, context_counts = h, c.astype(np.float64)
-    retained = [x["gain"] >= MIN_GAIN for x in levels]
-    for d in range(depth - 1, 0, -1):  # suffixes of retained contexts: depth d + 1's contexts are depth d's n-grams
-        deep = np.flatnonzero(retained[d])
-        up, ok = looked_up(levels[d - 1]["context"] if d == 1 else levels[d - 2]["gram"], levels[d - 1]["suffix"][deep])
-        retained[d - 1][up[ok]] = True
-    for x, keep in zip(levels, retained, strict=True):
-        grams = keep[x["at"]]
-        tree.contexts.append((x["context"][keep], x["rest"][keep]))
-        tree.grams.append((x["gram"][grams], x["mass"][grams]))
+        for state, arrays in ((True, tree.contexts), (False, tree.grams)):
+            own = hot[(hot["d"] == d) & (hot["state"] == state)]
+            h = own["h"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(h)
+            arrays.append((h[order], own["v"].to_numpy(np.float64)[order]))
+    tree.cold = staged(values.where(F.col("c") < least).groupBy("h").agg(F.sum("v").alias("v")), "pst-values")
+    tree.passes = filter_of(tree.cold)
+    for x in passing:
+        x.unpersist()
     return tree
 
 
@@ -272,27 +240,30 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH):
     often = counts.where(F.col("n") >= max(2.0, WORD_SHARE * total)).toPandas().sort_values("word")
     vocabulary = Vocabulary([bytes(w) for w in often["word"]], often["n"].tolist(), int(total), int(distinct))
     shared = train.sparkSession.sparkContext.broadcast(vocabulary)
-    tree = grown(vocabulary, frequent_ngrams(texts, shared, int(total), depth), depth) if len(often) else Tree()
+    tree = grown(texts, shared, counts, depth) if len(often) else Tree()
     return vocabulary, tree, counts
 
 
-PART_SCHEMA = "row bigint, id bigint, out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint"
+PART_SCHEMA = "row bigint, id bigint, out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint, h bigint"
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, tree))
+    light = copy.copy(tree)
+    light.cold = None
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, light))
 
     def work(batches):
         voc, model = shared.value
         for batch in chunks(batches, "text", TEXT_BYTES):
             rows, ids, out = (batch.column(c).to_pylist() for c in ("row", "id", "out"))
             place, sizes, tokens = placed(as_bytes(batch.column("text")), voc.places)
-            base, deep = model.score(place, sizes, voc)
+            h = hashed(place, tokens, voc)
+            base, deep = model.score(place, sizes, voc, h)
             owner = np.repeat(np.arange(len(rows)), sizes)
             sums = [np.bincount(owner, x, len(rows)) for x in (place >= 0, base, deep)]
             none = pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), none, pa.nulls(len(rows), pa.int64())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), none, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=NAMES)
             rare = Counter()
             starts = np.cumsum(sizes) - sizes
             for i in np.flatnonzero(place < 0).tolist():
@@ -300,17 +271,28 @@ def score(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, counts: DataFrame
                 rare[rows[o], tokens[o][i - starts[o]]] += 1
             if rare:
                 n, nulls = len(rare), lambda t: pa.nulls(len(rare), t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rare], pa.int64()), *(nulls(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rare], pa.int64()), *(nulls(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64()), nulls(pa.int64())], names=NAMES)
+            number = np.asarray(rows, np.int64)[owner]
+            for gram, inside in ngrams(h, sizes, len(model.contexts)) if model.passes is not None else ():
+                at = np.flatnonzero(inside)
+                at = at[in_bitmap(model.passes, slot_of(gram[at]))]
+                if len(at):
+                    nulls = lambda t: pa.nulls(len(at), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(number[at]), *(nulls(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())), pa.array(gram[at].view(np.int64))], names=NAMES)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("out"), F.col(text_col).alias("text"))
-    parts = map_batches(keyed, work, PART_SCHEMA)
+    parts = staged(map_batches(keyed, work, PART_SCHEMA), "pst-parts")
     total = vocabulary.total
     floor = max(total + PSEUDO * (vocabulary.distinct + 1), PSEUDO)
     rare_counts = counts.where(F.col("n") < max(2.0, WORD_SHARE * total)).select("word", F.col("n").alias("c"))
-    joined = parts.join(rare_counts, "word", "left")
+    joined = parts.where("h is null").join(rare_counts, "word", "left")
     term = F.col("times") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + PSEUDO) / F.lit(floor))
     known = F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))
-    rows = joined.groupBy("row").agg(F.max("id").alias("doc_id"), F.max("out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(F.coalesce("base", term)).alias("base_score"), F.sum(F.coalesce("score", term)).alias("score"))
+    terms = joined.select("row", "id", "out", "n_tokens", known.alias("known"), F.coalesce("base", term).alias("base"), F.coalesce("score", term).alias("score"))
+    if tree.cold is not None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "bigint"), ("out", "boolean"), ("n_tokens", "bigint"), ("known", "bigint"), ("base", "double"))]
+        terms = terms.unionByName(parts.where("h is not null").select("row", "h").join(tree.cold, "h").groupBy("row").agg(F.sum("v").alias("score")).select("row", *none, "score"))
+    rows = terms.groupBy("row").agg(F.max("id").alias("doc_id"), F.max("out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -245,6 +245,42 @@ def test_suffix_tree_distributions_sum_to_one(spark):
     assert any(len(c[0]) for c in tree.contexts)
 
 
+@pytest.mark.parametrize("share", [1e-9, 1e-2, 1.0])
+def test_suffix_tree_matches_brute_force_at_any_share(spark, monkeypatch, share):
+    """N-grams of two occurrences count, whatever part of the corpus they are: broadcast, in part or all joined."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "a b", "b c d", "b x c"], k=60) + [f"u{i % 12}", f"v{i % 12}", f"z{i}"]) for i in range(30)]
+    monkeypatch.setattr(suffix_tree, "MIN_SHARE", share)
+    monkeypatch.setattr(suffix_tree, "WORD_SHARE", share / 10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, *suffix_tree.fit(docs)).collect()}
+    tokens = [[*t.split(), "\n"] for t in texts]
+    c = Counter(tuple(t[i : i + n]) for t in tokens for n in range(1, 5) for i in range(len(t) - n + 1))
+    total = sum(n for g, n in c.items() if len(g) == 1)
+    follow, gain = defaultdict(list), Counter()
+    for g, n in c.items():
+        if len(g) > 1 and n > 1:
+            follow[g[:-1]].append(n)
+
+    def p(context, w, states=None):
+        if not context:
+            return (c[(w,)] + 0.1) / (total + 0.1 * (sum(len(g) == 1 for g in c) + 1))
+        if context not in follow or (states is not None and context not in states):
+            return p(context[1:], w, states)
+        n, whole = c[(*context, w)], c[context]
+        rest = 1 - sum(x - 0.5 for x in follow[context]) / whole
+        return ((n - 0.5) / whole if n > 1 else 0) + rest * p(context[1:], w, states)
+
+    for g, n in c.items():
+        if len(g) > 1 and n > 1:
+            gain[g[:-1]] += n * math.log(p(g[:-1], g[-1]) / p(g[1:-1], g[-1]))
+    states = {x[i:] for x, v in gain.items() if v >= suffix_tree.MIN_GAIN for i in range(len(x))}
+    assert any(c[x] < 5 for x in states) and any(len(x) == 3 for x in states)
+    for i, t in enumerate(tokens):
+        want = sum(math.log10(p(tuple(t[max(0, j - 3) : j]), w, states)) for j, w in enumerate(t))
+        assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
+
+
 def test_suffix_tree_cases(spark, odd):
     docs = odd.withColumn("held_out", F.lit(False))
     voc, tree, counts = suffix_tree.fit(docs)
