@@ -32,8 +32,8 @@ from gleanery.llm.common import as_bytes, chunks, extended, map_batches, read, w
 GAP = 2
 #: Templates of fewer words must match exactly; longer ones may differ in this part of their words.
 SHORT, SLACK = 16, 0.1
-#: Templates confirmed at most for one block and round, best reduction first, and the least reduction.
-RANKED, LEAST_REDUCTION = 6, 0.05
+#: Long templates confirmed at most for one block and round, best reduction first.
+RANKED = 6
 LEVEL = 6
 CACHED_BLOCKS = 20_000
 
@@ -101,13 +101,18 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def allowed(size: int) -> int:
+    """Words of a template that may be missing or extra."""
+    return 0 if size < SHORT else int(SLACK * size)
+
+
 class Scanner:
     def __init__(self):
         self.templates = [(name, words_of(text), text) for name, text in [*TEMPLATES, *NOTICES]]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for _, w, _ in self.templates]
-        # templates that share a pair of words with a block can shorten it; others are not tried
+        # templates are tried where a block has as many of their pairs of words as the differences allowed must leave
         self.by_pair: dict[tuple[str, str], set[int]] = {}
         for n, (_, w, _) in enumerate(self.templates):
             for pair in zip(w, w[1:], strict=False):
@@ -118,9 +123,15 @@ class Scanner:
         """(reduction of the block's compressed size, template), largest first, ties by the longer template."""
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        near = {n for pair in set(zip(words, words[1:], strict=False)) for n in self.by_pair.get(pair, ())}
-        sizes = [((alone - len(self.given[n].compress(data))) / alone, n) for n in near]
-        return sorted((x for x in sizes if x[0] >= LEAST_REDUCTION), key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
+        pairs = set(zip(words, words[1:], strict=False))
+        near = {n for pair in pairs for n in self.by_pair.get(pair, ())}
+        sizes = [((alone - len(self.given[n].compress(data))) / alone, n) for n in near if self.may_hold(pairs, n)]
+        return sorted(sizes, key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
+
+    def may_hold(self, pairs: set[tuple[str, str]], n: int) -> bool:
+        """Whether a block of these pairs can hold template n: a missing or extra word breaks two of its pairs at most."""
+        wanted = self.templates[n][1]
+        return sum(p in pairs for p in zip(wanted, wanted[1:], strict=False)) >= len(wanted) - 1 - 2 * allowed(len(wanted))
 
     def differences(self, words: list[str], n: int) -> tuple[int, int, int, int] | None:
         """(missing, extra, first, end) of template n where most of its word pairs line up in the block."""
@@ -156,7 +167,7 @@ class Scanner:
                     continue
                 missing, extra, first, end = found
                 size = len(self.templates[n][1])
-                if missing + extra <= (0 if size < SHORT else SLACK * size):
+                if missing + extra <= allowed(size):
                     rank = (size < SHORT, missing + extra, -size if size < SHORT else 0, -reduction, -size, self.templates[n][0])
                     if best is None or rank < best[0]:
                         best = (rank, (self.templates[n][0], reduction, missing, extra), first, end)

@@ -409,6 +409,16 @@ def test_license_scan_matches_plain_search(spark):
         assert got[r["doc_id"]] == ",".join(sorted({v for k, v in plain.items() if k in r["text"]}))
 
 
+@pytest.mark.parametrize("around", [40, 200, 1000, 5000])
+def test_license_inside_long_lines(around):
+    """What surrounds a notice or a license text in its line does not hide it."""
+    rng = random.Random(around)
+    other = lambda: " ".join(rng.choice(BASE) + str(rng.randrange(500)) for _ in range(around))
+    for name, text in [("MIT", "Licensed under the MIT License"), ("GPL-3.0", "Released under GPLv3"), ("CC-BY-4.0", "This work is licensed under CC BY 4.0"), *licenses.TEMPLATES]:
+        found = licenses.Scanner().scan(f"{other()} {text.replace(chr(10), ' ')} {other()}")
+        assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, 0, 0)]
+
+
 def test_license_cases(spark, odd):
     out = licenses.scan_licenses(odd.withColumn("license_matches", F.lit(1)))
     assert out.count() == odd.count() and out.where("size(license_matches) > 0").count() == 0
