@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Blocks of lines that use a license's vocabulary are candidates. A block is compressed alone
+Words around a license's vocabulary, as many as the longest template can take up, are candidates;
+where they overlap they are one block, whatever the lines. A block is compressed alone
 and with each template as the raw dictionary of a Zstandard compressor; templates are ranked
 by how much smaller it gets. The best ranked are confirmed by the exact differences of wording:
 the template is placed where most of its word pairs line up, and the words that are missing
@@ -16,6 +17,7 @@ to the smaller name; repeated rows are each scanned; other columns are kept.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,8 +30,6 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import as_bytes, chunks, extended, map_batches, read, with_columns
 
-#: A block's lines have one of these, or lie between two such lines at most GAP lines apart.
-GAP = 2
 #: Templates of fewer words must match exactly; longer ones may differ in this part of their words.
 SHORT, SLACK = 16, 0.1
 #: Long templates confirmed at most for one block and round, best reduction first.
@@ -95,6 +95,8 @@ OPENINGS = ["Licensed under", "Licensed under the", "Released under", "Released
 NOTICES = [(name, f"{opening} {called}") for name, calls in CALLED.items() for called in calls for opening in OPENINGS[:-1]] + [(name, f"{OPENINGS[-1]} {name}") for name in CALLED] + [("All-Rights-Reserved", "All rights reserved")]
 
 WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: The vocabulary, also where a line break (and a comment sign) lies between its words.
+HOT = re.compile("|".join(t.replace(" ", "[^a-z0-9]+") for t in TRIGGERS))
 
 
 def words_of(text: str) -> list[str]:
@@ -109,6 +111,8 @@ def allowed(size: int) -> int:
 class Scanner:
     def __init__(self):
         self.templates = [(name, words_of(text), text) for name, text in [*TEMPLATES, *NOTICES]]
+        # words that one license takes up at most
+        self.reach = max(len(w) + allowed(len(w)) for _, w, _ in self.templates)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for _, w, _ in self.templates]
@@ -152,9 +156,10 @@ class Scanner:
         first, end, matched = same[0].b, same[-1].b + same[-1].size, sum(b.size for b in same)
         return len(wanted) - matched, end - first - matched, start + first, start + end
 
-    def _block(self, text: str) -> tuple[tuple[str, float, int, int], ...]:
-        """(license, reduction, missing, extra) of each license confirmed in a block."""
-        words, out = words_of(text), []
+    def _block(self, text: str) -> tuple[tuple[str, float, int, int, int, int], ...]:
+        """(license, reduction, missing, extra, first word, last word) of each license confirmed in a block."""
+        words, out = text.split(" "), []
+        number = list(range(len(words)))
         while words:
             best = None
             ranked = self.ranked(words)
@@ -173,23 +178,29 @@ class Scanner:
                         best = (rank, (self.templates[n][0], reduction, missing, extra), first, end)
             if best is None:
                 break
-            out.append(best[1])
-            words = words[: best[2]] + words[best[3] :]
+            out.append((*best[1], number[best[2]], number[best[3] - 1]))
+            words, number = words[: best[2]] + words[best[3] :], number[: best[2]] + number[best[3] :]
         return tuple(out)
 
     def scan(self, text: str) -> list[dict]:
         low = text.lower()
-        if not any(t in low for t in TRIGGERS):
+        if not HOT.search(low):
             return []
-        lines = text.split("\n")
-        hot = [n for n, line in enumerate(low.split("\n")) if any(t in line for t in TRIGGERS)]
-        found, start = [], None
-        for i, n in enumerate(hot):
-            start = n if start is None else start
-            if i + 1 == len(hot) or hot[i + 1] - n > GAP + 1:
-                for name, reduction, missing, extra in self.block("\n".join(lines[start : n + 1])):
-                    found.append({"license": name, "first_line": start, "last_line": n, "reduction": reduction, "missing": missing, "extra": extra})
-                start = None
+        matches = list(WORDS.finditer(low))
+        words, starts = [m.group() for m in matches], [m.start() for m in matches]
+        spans: list[list[int]] = []
+        for m in HOT.finditer(low):
+            # the words from the one the vocabulary begins in to the one it ends in, and those around
+            first, end = max(0, bisect_right(starts, m.start()) - 1 - self.reach), bisect_left(starts, m.end()) + self.reach
+            if spans and first <= spans[-1][1]:
+                spans[-1][1] = end
+            else:
+                spans.append([first, end])
+        breaks = [m.start() for m in re.finditer("\n", low)] if spans else []
+        found = []
+        for first, end in spans:
+            for name, reduction, missing, extra, a, b in self.block(" ".join(words[first:end])):
+                found.append({"license": name, "first_line": bisect_left(breaks, starts[first + a]), "last_line": bisect_left(breaks, starts[first + b]), "reduction": reduction, "missing": missing, "extra": extra})
         return found
 
 
@@ -206,7 +217,7 @@ FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.St
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with license_matches: license, block's lines (from 0), size reduction, and words missing and extra."""
+    """docs with license_matches: license, its first and last line (from 0), size reduction, and words missing and extra."""
 
     def work(batches):
         one = scanner()

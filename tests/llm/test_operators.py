@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -419,6 +420,18 @@ def test_license_inside_long_lines(around):
         assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, 0, 0)]
 
 
+@pytest.mark.parametrize("sign", ["", " * ", "# "])
+@pytest.mark.parametrize("width", [30, 78])
+def test_license_wrapped_texts(width, sign):
+    """License texts wrapped to lines, also as comments, are found on the lines they take up."""
+    for name, text in [*licenses.TEMPLATES, ("All-Rights-Reserved", "Copyright 2020 Jane Q. Roe. All rights reserved"), ("MIT", "This library is distributed under the MIT License")]:
+        lines = [f"{sign}{x}" for p in text.split("\n") for x in [*textwrap.wrap(p, width, break_long_words=False), ""]][:-1]
+        found = licenses.Scanner().scan("\n".join(["x = 1", "y = 2", *lines, "z = 3"]))
+        assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, 0, 0)], name
+        if name in dict(licenses.TEMPLATES) and len(lines) > 3:
+            assert (found[0]["first_line"], found[0]["last_line"]) == (2, len(lines) + 1)
+
+
 def test_license_cases(spark, odd):
     out = licenses.scan_licenses(odd.withColumn("license_matches", F.lit(1)))
     assert out.count() == odd.count() and out.where("size(license_matches) > 0").count() == 0
