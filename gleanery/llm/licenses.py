@@ -3,7 +3,7 @@
 Words around a license's vocabulary, as many as the longest template can take up, are candidates;
 where they overlap they are one block, whatever the lines. A block is compressed alone
 and with each template as the raw dictionary of a Zstandard compressor; templates are ranked
-by how much smaller it gets. The best ranked are confirmed by the exact differences of wording:
+by how much smaller it gets. All are confirmed by the exact differences of wording:
 the template is placed where most of its word pairs line up, and the words that are missing
 or extra between its first and last matching word are counted. Short templates must match
 word for word, long ones may differ in `SLACK` of their words. Confirmed words are taken out
@@ -32,8 +32,6 @@ from gleanery.llm.common import as_bytes, chunks, extended, map_batches, read, w
 
 #: Templates of fewer words must match exactly; longer ones may differ in this part of their words.
 SHORT, SLACK = 16, 0.1
-#: Long templates confirmed at most for one block and round, best reduction first.
-RANKED = 6
 LEVEL = 6
 CACHED_BLOCKS = 20_000
 
@@ -162,11 +160,7 @@ class Scanner:
         number = list(range(len(words)))
         while words:
             best = None
-            ranked = self.ranked(words)
-            # a notice is a few words among many, so all short templates of the block are confirmed, and the best long ones
-            long = [x for x in ranked if len(self.templates[x[1]][1]) >= SHORT][:RANKED]
-            short = [x for x in ranked if len(self.templates[x[1]][1]) < SHORT]
-            for reduction, n in long + short:
+            for reduction, n in self.ranked(words):
                 found = self.differences(words, n)
                 if found is None:
                     continue

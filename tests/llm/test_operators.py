@@ -432,6 +432,15 @@ def test_license_wrapped_texts(width, sign):
             assert (found[0]["first_line"], found[0]["last_line"]) == (2, len(lines) + 1)
 
 
+def test_license_beside_better_ranked_texts(monkeypatch):
+    """A true license is confirmed although others have greater reductions and fail the wording test."""
+    scanner = licenses.Scanner()
+    true = next(n for n, t in enumerate(scanner.templates) if t[0] == "MPL-2.0")
+    others = [n for n, t in enumerate(scanner.templates) if len(t[1]) >= licenses.SHORT and n != true]
+    monkeypatch.setattr(scanner, "ranked", lambda words: [(0.5, n) for n in others] + [(0.1, true)])
+    assert [f["license"] for f in scanner.scan(licenses._MPL)] == ["MPL-2.0"]
+
+
 def test_license_cases(spark, odd):
     out = licenses.scan_licenses(odd.withColumn("license_matches", F.lit(1)))
     assert out.count() == odd.count() and out.where("size(license_matches) > 0").count() == 0
