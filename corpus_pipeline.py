@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go, and documents that consisted of such lines (COPY_SHARE of their words)."""
-    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | (F.col("removed_share") < line_dedup.COPY_SHARE))
+    """Lines that match an earlier one go, and documents of which no word is left then; copies are the next stage's."""
+    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \x09-\x0D]"))
     columns = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
 

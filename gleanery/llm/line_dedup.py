@@ -38,8 +38,6 @@ MIN_TOKENS, PERCENT = 5, 80
 TABLE_BITS, FILTER_BITS, SEEN, FLUSH = 24, 25, 200_000, 4_000_000
 #: Tokens of this class (4 log2 of their lines: 200,000 lines) are split by length class.
 SPLIT_CLASS = 70
-#: A document of which so much is removed is itself a copy; the pipeline's stage leaves it out.
-COPY_SHARE = 0.8
 NO_ID = -(1 << 63)
 
 

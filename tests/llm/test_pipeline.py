@@ -41,6 +41,17 @@ def test_planted_cases(spark):
     assert 90_001 in seen["benchmark_decontamination"]
 
 
+def test_line_dedup_stage_keeps_own_lines(spark):
+    """A document that is mostly lines of others keeps its own, and each line stays in one document."""
+    line = lambda n: " ".join(f"w{n}x{i}" for i in range(10))
+    lines = {1: range(8), 2: [*range(8), 20, 21], 3: [20, 21, 30], 4: range(8), 5: [0, 20, 30, *range(40, 41)]}
+    rows = [(i, "\n".join(map(line, x)), "en", "a", 1) for i, x in lines.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, docs, SMALL).collect()}
+    assert {i: r["text"].split("\n") for i, r in got.items()} == {i: [line(n) for n in x] for i, x in {1: range(8), 2: [20, 21], 3: [30], 5: [40]}.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_near_duplicate_stage_keeps_one(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(1, text, "en", "a", 1), (2, text.replace("w50 ", "x "), "en", "a", 1), (3, " ".join(f"z{i}" for i in range(200)), "en", "a", 1)]
