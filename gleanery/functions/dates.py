@@ -15,12 +15,39 @@ def is_recent(date: Column, as_of: Column, max_age_days: int | None = 7) -> Colu
     return F.floor((F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(date.cast("timestamp"))) / 86400) <= max_age_days
 
 
+_TIME = r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
+
+
+def iso(c: Column) -> Column:
+    """ISO 8601 in its extended and basic forms, days by date or by week; an offset is dropped, not applied."""
+    by_date, by_week = r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))" + _TIME, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?" + _TIME
+    part = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    number = lambda pattern, *groups: F.coalesce(*[part(pattern, g) for g in groups]).cast("int")
+
+    def at(pattern: str, first: int, day: Column) -> Column:
+        h, m, s = (F.coalesce(part(pattern, first + i).cast("int"), F.lit(0)) for i in range(3))
+        micro = F.coalesce(F.rpad(part(pattern, first + 3), 6, "0").cast("int"), F.lit(0))
+        return F.when((h < 24) & (m < 60) & (s < 60), F.try_make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), h, m, (s + micro / 1e6).cast("decimal(16,6)")))
+
+    day = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", number(by_date, 1), number(by_date, 2, 4), number(by_date, 3, 5)), F.lit("yyyy-MM-dd"))
+    monday = week_start(F.format_string("%04d-W%02d", number(by_week, 1), number(by_week, 2)))
+    weekly = F.date_add(monday, F.coalesce(part(by_week, 3).cast("int"), F.lit(1)) - 1)
+    known = F.weekofyear(monday) == number(by_week, 2)
+    return F.when(c.rlike(by_date), at(by_date, 6, day)).when(c.rlike(by_week), F.when(known, at(by_week, 4, weekly)))
+
+
 def parsed(c: Column) -> Column:
-    """Four formats, then ISO; an offset is dropped, not applied."""
-    bare = F.regexp_replace(F.trim(c), r"(?:Z|[+-]\d{2}:?\d{2})$", "")
-    text = F.when(c.rlike(r"\d:\d"), bare).otherwise(F.trim(c))
-    formats = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "d/M/yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """Four fixed formats (one month first, with a time), then ISO; an offset is dropped, not applied."""
+    text = F.trim(c)
+    shapes = ((r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"), (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "M/d/yyyy H:m:s"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))
+    return F.coalesce(*[F.when(text.rlike(r), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")) for r, f in shapes], iso(text))
+
+
+def lastmod(c: Column) -> Column:
+    """Of a url in a sitemap: with a T as ISO, else a date in its first ten characters."""
+    head = F.left(c, F.lit(10))
+    day = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(head, F.lit("yyyy-M-d")).cast("timestamp_ntz"))
+    return F.when(F.contains(c, F.lit("T")), iso(c)).otherwise(day)
 
 
 def iso_week(c: Column) -> Column:

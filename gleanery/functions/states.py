@@ -23,11 +23,11 @@ def overall(sitemap: Column, rss: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
+    """By a status code or its name, in that spelling; timeouts and ssl in any case."""
+    has = lambda *terms: F.contains(message, F.lit(terms[0])) | F.contains(message, F.lit(terms[1]))
     low = F.lower(message)
-    out = None
-    for label, term in (("forbidden", "403"), ("not_found", "404"), ("rate_limited", "429"), ("timeout", "timeout"), ("ssl", "ssl")):
-        out = (F if out is None else out).when(F.contains(low, F.lit(term)), label)
-    return out.otherwise("other")
+    named = F.when(has("403", "Forbidden"), "forbidden").when(has("404", "Not Found"), "not_found").when(has("429", "Too Many"), "rate_limited")
+    return named.when(F.contains(low, F.lit("timeout")), "timeout").when(F.contains(low, F.lit("ssl")), "ssl").otherwise("other")
 
 
 def run_state(status: Column, conclusion: Column) -> Column:

@@ -9,15 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words too common to be keyword tokens.
-KEYWORD_STOPWORDS = ("the", "and", "for", "with", "from", "into", "this", "that", "are", "was", "of", "in")
+KEYWORD_STOPWORDS = ("the", "and", "for", "with", "from", "into", "of", "to", "in", "on", "a", "an")
 #: Markers of placeholder text.
-PLACEHOLDER_MARKERS = ("lorem ipsum", "dolor sit amet", "consectetur adipiscing", "sed do eiusmod")
+PLACEHOLDER_MARKERS = ("lorem ipsum dolor sit amet", "consectetur adipiscing elit", "donec neque eros", "in accumsan, ex a ultrices bibendum")
+#: Words that tell a page that blocks readers.
+BLOCK_WORDS = ("blocked", "forbidden", "captcha", "access denied", "datadome")
+#: Fixed value: names after "by".
 BYLINE = r"\b[Bb]y\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
 
 
 def normalized(c: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+    # single spaces, which are most of the white space, are not matched
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def keyword_tokens(keyword: str, stopwords: Sequence[str] = KEYWORD_STOPWORDS) -> list[str]:
@@ -33,8 +37,9 @@ def keyword_weight(keyword: str, weights: Mapping[str, float]) -> float:
 
 
 def occurrences(c: Column, keyword: str) -> Column:
-    """Whole-word occurrences; word characters are Unicode's."""
-    return F.regexp_count(c, F.lit(rf"(?U)(?<!\w){re.escape(keyword)}(?!\w)"))
+    """Whole-word occurrences; word characters are Unicode's. The literal leads, as the search then skips ahead by it."""
+    k = re.escape(keyword)
+    return F.regexp_count(c, F.lit(rf"(?U){k}(?<!\w{k})(?!\w)"))
 
 
 def combo_bonus(c: Column, combos: Sequence[tuple[Sequence[str], float]]) -> Column:
@@ -53,6 +58,10 @@ def is_placeholder(c: Column, markers: Sequence[str] = PLACEHOLDER_MARKERS) -> C
     return sum((F.contains(low, F.lit(m)).cast("int") for m in markers), F.lit(0)) >= 2
 
 
+def is_block_page(html: Column, words: Sequence[str] = BLOCK_WORDS) -> Column:
+    return contains_any(F.lower(F.coalesce(html, F.lit(""))), words)
+
+
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
     found = F.lit(False)
     for t in terms:

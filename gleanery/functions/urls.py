@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +11,31 @@ from pyspark.sql import functions as F
 TRACKING = ("gclid", "fbclid", "mc_cid", "mc_eid")
 #: Fragments of hosts and paths that are not articles (the caller may pass others).
 BLOCKED_HOSTS = ("register.", "events.", "conference.", "webinars.")
-BLOCKED_PATHS = ("/tag/", "/category/", "/author/", "/search", "/topic/", "/video/", "/podcast/", "/gallery/", "/live/", "/newsletter", "/subscribe", "/privacy", "/terms", "/register", "/webinar")
+BLOCKED_PATHS = (
+    "/tag/", "/tags/", "/category/", "/categories/", "/author/", "/authors/",
+    "/search", "/topic/", "/topics/", "/video/", "/videos/", "/podcast/",
+    "/podcasts/", "/gallery/", "/galleries/", "/live/", "/live-blog/", "/events/",
+    "/newsletter", "/subscribe", "/privacy", "/terms",
+    "/register", "/registration", "/roundtable", "/conference", "/summit",
+    "/webinar", "/event-registration",
+)
+#: Path fragments of single publications that are not articles.
+OWN_PATHS = {
+    "Institutional Investor": ("/roundtable", "/events", "/awards", "/membership", "/subscribe"),
+    "BBC": ("/live/", "/av/", "/iplayer", "/sounds", "/sport/", "/news/topics/", "/newsround/", "/reel/", "/worklife/"),
+    "The Telegraph": ("/video/", "/podcast/", "/newsletters/", "/opinion/", "/business/live/", "/football/", "/rugby/", "/travel/"),
+    "Evening Standard": ("/topic/", "/newsletters/", "/comment/", "/esmoney/", "/sport/", "/showbiz/", "/culture/"),
+}
+#: Section pages of a site, below its address.
+SECTION_SITE = "https://nationaljeweler.com"
+SECTIONS = (
+    "", "/industry", "/industry/industry-other", "/industry/independents", "/industry/events-awards", "/industry/financials",
+    "/industry/supplier-bulletin", "/industry/technology", "/industry/surveys", "/industry/policies-issues", "/industry/crime", "/industry/majors",
+    "/diamonds-gems", "/diamonds-gems/diamonds-gems-other", "/diamonds-gems/lab-grown", "/diamonds-gems/grading", "/diamonds-gems/sourcing",
+    "/style", "/style/style-other", "/style/trends", "/style/auctions", "/style/watches", "/style/collections",
+    "/opinions", "/opinions/editors", "/opinions/columnists",
+)
+SECTION_PAGES = tuple(SECTION_SITE + s for s in SECTIONS)
 
 
 def authority(u: Column) -> Column:
@@ -24,16 +48,28 @@ def host(u: Column) -> Column:
     return F.regexp_replace(F.lower(authority(full)), r"^www\.", "")
 
 
+def form_encoded(c: Column) -> Column:
+    """A decoded query part, encoded again as a form does."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalized(u: Column, drop_port: bool = False, keep_blank: bool = False) -> Column:
-    """Identity of a page: no www., tracking parameters, blank values, trailing slash or fragment."""
+    """Identity of a page: no www., tracking parameters, trailing slash or fragment, and no blank values unless kept; a root path is "/".
+
+    Query parts are decoded and encoded again, so that spellings of one value agree."""
     whole = F.regexp_replace(F.trim(F.coalesce(u, F.lit(""))), "#.*$", "")
-    scheme = F.lower(F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    scheme = F.lower(F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     scheme = F.when(scheme == "", "https").otherwise(scheme)
-    name = F.regexp_replace(F.lower(authority(whole)), r"^www\.", "")
+    rest = F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    name = F.regexp_replace(F.lower(F.regexp_extract(rest, "^//([^/?]*)", 1)), r"^www\.", "")
     name = F.regexp_replace(name, r":\d+$", "") if drop_port else name
-    path = F.regexp_replace(F.regexp_extract(whole, r"^[^:/?#]+://[^/?#]*([^?]*)", 1), "/+$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"^(?://[^/?]*)?([^?]*)", 1), ";[^/]*$", "")
+    path = F.regexp_replace(path, "/+$", "")
+    path = F.when(path == "", "/").when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    params = F.filter(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING) & (F.lit(True) if keep_blank else p.rlike("=.")))
+    params = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING) & (F.lit(True) if keep_blank else p.rlike("=.")))
+    part = lambda x: form_encoded(F.coalesce(F.try_url_decode(x), x))
+    params = F.transform(params, lambda p: F.concat(part(F.substring_index(p, "=", 1)), F.lit("="), part(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)))))
     query = F.array_join(params, "&")
     return F.when(whole == "", "").otherwise(F.concat(scheme, F.lit("://"), name, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
@@ -71,13 +107,21 @@ def base(u: Column) -> Column:
 
 
 def resolved(u: Column, against: Column) -> Column:
-    """A link against the page that has it: absolute, scheme-relative, rooted or relative to the folder."""
+    """A link against the page that has it: absolute, scheme-relative, rooted, a query alone, or relative to the folder; . and .. are followed."""
     origin = F.regexp_extract(against, r"^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(against, r"^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(F.startswith(u, F.lit("//")), F.concat(F.regexp_extract(against, "^([^:]+:)", 1), u)).when(F.startswith(u, F.lit("/")), F.concat(origin, u)).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), u))
-
-
-def is_relevant(u: Column, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, section_pages: Sequence[str] = (), blocked_paths: Sequence[str] = BLOCKED_PATHS, own_paths: Column | None = None, keywords: Sequence[str] | None = None) -> Column:
+    path = F.regexp_extract(against, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, "^(.*/)", 1)
+    joined = F.when(F.startswith(u, F.lit("/")), u).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), u))
+    place, rest = F.regexp_extract(joined, "^([^?#]*)", 1), F.regexp_extract(joined, r"^[^?#]*(.*)$", 1)
+    up = lambda done: F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))
+    parts = F.aggregate(F.split(place, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    # a last . or .. leaves its folder open
+    clean = F.when(F.contains(place, F.lit("/.")), F.concat(F.array_join(parts, "/"), F.when(place.rlike(r"/\.{1,2}$"), "/").otherwise(""))).otherwise(place)
+    whole = F.when(u == "", against).when(F.startswith(u, F.lit("#")), F.concat(F.regexp_replace(against, "#.*$", ""), u)).when(F.startswith(u, F.lit("?")), F.concat(origin, path, u)).otherwise(F.concat(origin, clean, rest))
+    return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(F.startswith(u, F.lit("//")), F.concat(F.regexp_extract(against, "^([^:]+:)", 1), u)).otherwise(whole)
+
+
+def is_relevant(u: Column, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, section_pages: Sequence[str] = SECTION_PAGES, blocked_paths: Sequence[str] = BLOCKED_PATHS, own_paths: Column | None = None, keywords: Sequence[str] | None = None) -> Column:
     """Not a blocked host, section page or path (nor one of the publication's own); with keywords, one must be in the url."""
     from gleanery.functions.text import contains_any
 
@@ -88,3 +132,11 @@ def is_relevant(u: Column, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, section
     if own_paths is not None:
         ok = ok & ~F.exists(F.coalesce(own_paths, F.array().cast("array<string>")), lambda t: F.contains(low, t))
     return ok & contains_any(low, [k.lower() for k in keywords]) if keywords is not None else ok
+
+
+def own_paths(publication: Column, paths: Mapping[str, Sequence[str]] = OWN_PATHS) -> Column:
+    """The path fragments that a publication's articles don't have; null for publications without."""
+    out = F.lit(None).cast("array<string>")
+    for name, fragments in paths.items():
+        out = F.when(publication == name, F.array(*map(F.lit, fragments))).otherwise(out)
+    return out

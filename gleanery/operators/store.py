@@ -57,8 +57,24 @@ def ragged(df: DataFrame) -> DataFrame:
     return out.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in out.columns]) != "")
 
 
-def numbered_ids(df: DataFrame, day: str, order: str) -> Column:
-    return F.concat(F.lit(f"article-{day}-"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("string"))
+def numbered_ids(number: Column, day: str) -> Column:
+    return F.concat(F.lit(f"article-{day}-"), number.cast("string"))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with its place (from 1) in an order, without bringing all rows together.
+
+    Rows are sorted by range and written with their place in their partition; each partition's first
+    number is the sum of the sizes before it, of which there is one for each partition."""
+    spark = df.sparkSession
+    path = work_path(spark, "numbered")
+    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, number).select(*df.columns, name)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

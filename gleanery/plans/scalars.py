@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from gleanery.functions import dates, states, text, urls
 from gleanery.operators import validation
-from gleanery.plans.registry import ARTICLES, CANDIDATES, METADATA, STARS, host_sql, normalized_sql, query
+from gleanery.plans.registry import ARTICLES, CANDIDATES, METADATA, SHAPED, SOURCES, STARS, by_case, by_case_sql, normalized_sql, query
+from gleanery.plans.registry import host_sql as host_sql
 from gleanery.sources import fixtures, landed
 
 AS_OF = "2024-01-20 00:00:00"
@@ -21,8 +22,11 @@ def pages(spark, sf):
     return fixtures.table(spark, sf, "pages")
 
 
-def vectors(spark, rows, ddl):
-    return spark.createDataFrame(rows, ddl)
+def shaped(spark, sf):
+    """Pages under urls of several shapes."""
+    u, i = F.col("url"), F.col("page_id") % 6
+    odd = F.when(i == 0, u).when(i == 1, F.concat(F.lit("HTTPS://WWW."), urls.host(u), F.lit("/?utm_source=x&b=1&c="))).when(i == 2, F.concat(u, F.lit("?q=a%20b+c~*&GCLID=1")))
+    return pages(spark, sf).select("page_id", odd.when(i == 3, F.regexp_replace(urls.base(u), "/$", "")).when(i == 4, F.concat(urls.host(u), F.lit("/a/"))).otherwise(F.concat(F.regexp_replace(u, "[?#].*$", ""), F.lit(";v=1"))).alias("url"))
 
 
 @query("f10_sanitize_url", r"SELECT page_id, regexp_replace(regexp_replace(x, '[\x00-\x1f\x7f]', '', 'g'), '\s+', '', 'g') AS url FROM (SELECT page_id, ' ' || url || chr(9) || ' x' AS x FROM pages)")
@@ -30,14 +34,14 @@ def sanitize(spark, sf):
     return pages(spark, sf).select("page_id", urls.sanitized(F.concat(F.lit(" "), "url", F.lit("\t x"))).alias("url"))
 
 
-@query("f11_normalize_url", f"SELECT page_id, {normalized_sql('url')} AS url FROM pages")
+@query("f11_normalize_url", f"SELECT page_id, {normalized_sql('url')} AS url FROM shaped", SHAPED)
 def normalize_url(spark, sf):
-    return pages(spark, sf).select("page_id", urls.normalized(F.col("url")).alias("url"))
+    return shaped(spark, sf).select("page_id", urls.normalized(F.col("url")).alias("url"))
 
 
-@query("f12_article_id", f"SELECT page_id, sha256({normalized_sql('url')}) AS article_id FROM pages")
+@query("f12_article_id", f"SELECT page_id, sha256({normalized_sql('url')}) AS article_id FROM shaped", SHAPED)
 def article_id(spark, sf):
-    return pages(spark, sf).select("page_id", urls.article_id(F.col("url")).alias("article_id"))
+    return shaped(spark, sf).select("page_id", urls.article_id(F.col("url")).alias("article_id"))
 
 
 @query("f13_host", f"SELECT page_id, {host_sql('url')} AS host FROM pages")
@@ -45,9 +49,9 @@ def host(spark, sf):
     return pages(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"))
 
 
-@query("f14_normalize_url_variant", f"SELECT page_id, {normalized_sql('url', True, True)} AS url FROM pages")
+@query("f14_normalize_url_variant", f"SELECT page_id, {normalized_sql('url', True, True)} AS url FROM shaped", SHAPED)
 def normalize_variant(spark, sf):
-    return pages(spark, sf).select("page_id", urls.normalized(F.col("url"), drop_port=True, keep_blank=True).alias("url"))
+    return shaped(spark, sf).select("page_id", urls.normalized(F.col("url"), drop_port=True, keep_blank=True).alias("url"))
 
 
 @query("f15_f16_publication_name", f"SELECT page_id, upper(substr(l, 1, 1)) || substr(l, 2) AS name FROM (SELECT page_id, split_part({host_sql('url')}, '.', 1) AS l FROM pages) WHERE NOT contains(l, '-') AND NOT contains(l, '_')")
@@ -61,27 +65,32 @@ def base(spark, sf):
     return pages(spark, sf).select("page_id", urls.base(F.col("url")).alias("base"))
 
 
-@query("f18_urljoin")
-def urljoin(spark, sf):
-    rows = [(1, "/a", "https://e.com/x/y"), (2, "b", "https://e.com/x/y"), (3, "//c.com/d", "https://e.com"), (4, "http://z.org", "https://e.com"), (5, "q", "https://e.com")]
-    return vectors(spark, rows, "id int, link string, page string").select("id", urls.resolved(F.col("link"), F.col("page")).alias("url"))
+ORIGIN, PATH = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)", "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+FOLDER = f"coalesce(nullif(regexp_extract({PATH}, '^(.*/)', 1), ''), '/')"
 
 
-SHAPES = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 2 THEN strftime(ts, '%Y-%m-%d') ELSE 'soon' END"
+@query("f18_urljoin", rf"SELECT page_id, CASE page_id % 7 WHEN 0 THEN {ORIGIN} || '/a' WHEN 1 THEN {ORIGIN} || {FOLDER} || 'b' WHEN 2 THEN regexp_extract(url, '^([^:]+:)', 1) || '//c.com/d' WHEN 3 THEN 'http://z.org' WHEN 4 THEN {ORIGIN} || {PATH} || '?q=1' WHEN 5 THEN {ORIGIN} || regexp_replace({FOLDER}, '[^/]+/$', '') || 'c' ELSE {ORIGIN} || {FOLDER} || 'd' END AS url FROM pages")
+def urljoin(spark, sf):
+    link = by_case(F.col("page_id") % 7, "/a", "b", "//c.com/d", "http://z.org", "?q=1", "../c", "./x/../d")
+    return pages(spark, sf).select("page_id", urls.resolved(link, F.col("url")).alias("url"))
 
 
-@query("f19_parse_date", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS parsed FROM events")
+@query("f19_parse_date", "SELECT event_id, CASE event_id % 11 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 9 THEN NULL WHEN 2 THEN date_trunc('day', ts) WHEN 7 THEN date_trunc('day', ts) WHEN 8 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('minute', ts) WHEN 10 THEN CAST(ts AS TIMESTAMP) ELSE date_trunc('second', ts) END AS parsed FROM events")
 def parse_date(spark, sf):
     e = fixtures.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    k = F.col("event_id") % 4
-    shown = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon")
-    return e.select("event_id", dates.parsed(shown).alias("parsed"))
+    show = lambda f: F.date_format("ts", f)
+    whole = F.concat(show("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    week = F.concat(dates.iso_week(F.col("ts")), F.lit("-"), (F.weekday("ts") + 1).cast("string"))
+    shapes = (show("yyyy-MM-dd HH:mm:ss"), whole, show("yyyy-MM-dd"), F.lit("soon"), show("M/d/yyyy HH:mm:ss"), show("d/M/yyyy"), show("yyyy-MM-dd'T'HH:mm"), show("yyyyMMdd"), week, F.concat(F.lit("on "), show("yyyy-MM-dd")), show("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return e.select("event_id", dates.parsed(by_case(F.col("event_id") % 11, *shapes)).alias("parsed"))
 
 
-@query("f20_f21_sitemap_dates", "SELECT * FROM (VALUES (1, DATE '2024-03-01'), (2, DATE '2023-12-01'), (3, NULL), (4, NULL)) v(id, month)")
+@query("f20_f21_sitemap_dates", "SELECT page_id, CASE WHEN page_id % 15 BETWEEN 1 AND 12 THEN make_date(2000 + page_id % 30, page_id % 15, 1) END AS month, CASE page_id % 5 WHEN 0 THEN TIMESTAMP '2024-01-05 10:30:00' WHEN 1 THEN TIMESTAMP '2024-01-05' WHEN 3 THEN TIMESTAMP '2024-01-05 10:00:00' END AS lastmod FROM pages")
 def sitemap_dates(spark, sf):
-    rows = [(1, "https://e.com/2024-3.xml"), (2, "https://e.com/2023-12.xml.gz"), (3, "https://e.com/2023-13.xml"), (4, "https://e.com/news.xml")]
-    return vectors(spark, rows, "id int, url string").select("id", dates.sitemap_month(F.col("url")).alias("month"))
+    i = F.col("page_id")
+    name = F.concat(F.lit("https://e.com/archive/"), (2000 + i % 30).cast("string"), F.lit("-"), (i % 15).cast("string"), F.when(i % 2 == 0, ".xml").otherwise(".xml.gz"))
+    shown = by_case(i % 5, "2024-01-05T10:30:00Z", "2024-01-05 and more", "May 5", "2024-01-05T10:00", "20240105")
+    return pages(spark, sf).select("page_id", dates.sitemap_month(name).alias("month"), dates.lastmod(shown).alias("lastmod"))
 
 
 @query("f22_iso_week", "SELECT event_id, strftime(ts, '%G-W%V') AS week FROM events")
@@ -138,24 +147,28 @@ def split_urls(spark, sf):
     return pages(spark, sf).select("page_id", F.array_join(text.split_list(F.concat("url", F.lit(" | "), "url", F.lit("|x"))), ",").alias("urls"))
 
 
-@query("f32_byline", "SELECT * FROM (VALUES (1, 'Jane Doe'), (2, NULL), (3, 'Ann Lee Roe'), (4, NULL)) v(id, author)")
+NAMED = r"(?:\b[Bb]y\s+)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+
+
+@query("f32_byline", rf"SELECT ord, nullif(regexp_extract(CASE ord % 4 WHEN 0 THEN 'Report by Jane Doe today. ' WHEN 1 THEN 'by jane doe ' WHEN 2 THEN 'By Ann Lee Roe, ' ELSE '' END || summary, '{NAMED}', 1), '') AS author FROM articles", ARTICLES)
 def byline(spark, sf):
-    rows = [(1, "Report by Jane Doe today"), (2, "by jane doe"), (3, "By Ann Lee Roe"), (4, "")]
-    return vectors(spark, rows, "id int, t string").select("id", text.byline(F.col("t")).alias("author"))
+    head = by_case(F.col("ord") % 4, "Report by Jane Doe today. ", "by jane doe ", "By Ann Lee Roe, ", "")
+    return fixtures.articles(spark, sf).select("ord", text.byline(F.concat(head, "summary")).alias("author"))
 
 
-@query("f33_byline_variants")
+@query("f33_byline_variants", rf"SELECT ord, coalesce(nullif(regexp_extract(t, '{NAMED}', 1), ''), nullif(regexp_extract(t, 'Author:\s*([A-Z][a-z]+)', 1), '')) AS author FROM (SELECT ord, substr(CASE ord % 3 WHEN 0 THEN 'Written by Jane Doe ' || content WHEN 1 THEN 'Author: Kim. ' || content ELSE content || ' by Late Name' END, 1, 500) AS t FROM articles)", ARTICLES)
 def byline_variants(spark, sf):
-    rows = [(1, "Written by Jane Doe"), (2, "Author: Kim"), (3, "x" * 600 + " by Late Name")]
-    patterns = [text.BYLINE, r"Author:\s*([A-Z][a-z]+)"]
-    return vectors(spark, rows, "id int, t string").select("id", text.byline_variants(F.col("t"), patterns, 500).alias("author"))
+    t = by_case(F.col("ord") % 3, F.concat(F.lit("Written by Jane Doe "), "content"), F.concat(F.lit("Author: Kim. "), "content"), F.concat("content", F.lit(" by Late Name")))
+    return fixtures.articles(spark, sf).select("ord", text.byline_variants(t, [text.BYLINE, r"Author:\s*([A-Z][a-z]+)"], 500).alias("author"))
 
 
-@query("f34_f35_author")
+@query("f34_f35_author", f"SELECT page_id, {by_case_sql('page_id % 6', 'Jane', 'Kim', 'Unknown', 'Ann Roe', 'Unknown', 'From Tool')} AS author FROM pages")
 def author(spark, sf):
-    head = '<script type="application/ld+json">'
-    rows = [(1, head + '{"author": {"name": "Jane"}}</script>', "x"), (2, head + '[{"a": 1}, {"author": {"name": "Kim"}}]</script>', ""), (3, head + '{"author": "Lee"}</script>', ""), (4, "", "by Ann Roe"), (5, head + "not json</script>", "")]
-    return vectors(spark, rows, "id int, html string, t string").select("id", text.resolved_author(text.json_ld_author(F.col("html")), F.lit(""), text.byline(F.col("t"))).alias("author"))
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    i = F.col("page_id") % 6
+    head = by_case(i, ld('{"author": {"name": "Jane"}}'), ld('[{"a": 1}, {"author": {"name": "Kim"}}]'), ld('{"author": {"name": " "}}'), "", ld("not json"), "")
+    tool = F.when(i == 5, " From Tool ").otherwise("")
+    return pages(spark, sf).select("page_id", text.resolved_author(text.json_ld_author(F.concat(head, "html")), tool, text.byline(F.when(i == 3, "by Ann Roe").otherwise(""))).alias("author"))
 
 
 @query("f36_longer_description", "SELECT ord, md5(CASE WHEN len(title) > len(summary) THEN title ELSE summary END) AS h FROM articles", ARTICLES)
@@ -163,12 +176,13 @@ def longer(spark, sf):
     return fixtures.articles(spark, sf).select("ord", F.md5(text.longer(F.col("summary"), F.col("title"))).alias("h"))
 
 
-STATE_ROWS = [(1, 200, False, 0), (2, 200, True, 0), (3, 200, False, 3), (4, 403, False, 0), (5, None, False, 0), (6, 503, False, 0), (7, 302, False, 0), (8, 404, False, 0), (9, 429, False, 0)]
+STATES = [(200, False, 0, "empty_or_filtered"), (200, True, 0, "parse_error"), (200, False, 3, "ok"), (403, False, 0, "blocked"), (None, False, 0, "request_error"), (503, False, 0, "server_error"), (302, False, 0, "http_302"), (404, False, 0, "not_found"), (429, False, 0, "rate_limited")]
 
 
-@query("f38_fetch_state", "SELECT * FROM (VALUES (1, 'empty_or_filtered'), (2, 'parse_error'), (3, 'ok'), (4, 'blocked'), (5, 'request_error'), (6, 'server_error'), (7, 'http_302'), (8, 'not_found'), (9, 'rate_limited')) v(id, state)")
+@query("f38_fetch_state", f"SELECT event_id, {by_case_sql('event_id % 9', *[x[3] for x in STATES])} AS state FROM events")
 def fetch_state(spark, sf):
-    return vectors(spark, STATE_ROWS, "id int, code int, bad boolean, found int").select("id", states.fetch_state(F.col("code"), F.col("bad"), F.col("found")).alias("state"))
+    code, bad, found = (by_case(F.col("event_id") % 9, *[x[i] for x in STATES]) for i in range(3))
+    return fixtures.table(spark, sf, "events").select("event_id", states.fetch_state(code.cast("int"), bad, found).alias("state"))
 
 
 @query("f39_r7_health", "SELECT page_id, rss, CASE WHEN site IN ('ok', 'not_configured') OR rss IN ('ok', 'not_configured') THEN 'healthy' ELSE 'needs_attention' END AS overall FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'blocked' WHEN 1 THEN 'ok' ELSE 'empty_or_filtered' END AS site, CASE WHEN page_id % 4 = 0 THEN 'not_configured' WHEN page_id % 4 > 1 AND page_id % 5 > 0 THEN 'ok' WHEN page_id % 4 > 1 THEN 'empty_or_filtered' ELSE 'blocked_or_unavailable' END AS rss FROM pages)")
@@ -180,16 +194,21 @@ def health(spark, sf):
     return p.select("page_id", rss.alias("rss"), states.overall(site, rss).alias("overall"))
 
 
-@query("f40_error_class", "SELECT * FROM (VALUES (1, 'forbidden'), (2, 'timeout'), (3, 'ssl'), (4, 'other'), (5, 'rate_limited'), (6, 'not_found')) v(id, kind)")
+ERRORS = [("HTTP 403", "forbidden"), ("Forbidden here", "forbidden"), ("forbidden", "other"), ("Not Found", "not_found"), ("404", "not_found"), ("Too Many", "rate_limited"), ("429 slow", "rate_limited"), ("Read Timeout", "timeout"), ("SSL handshake", "ssl"), ("bad ssl", "ssl"), ("boom", "other"), ("SSL 404", "not_found")]
+
+
+@query("f40_error_class", f"SELECT event_id, {by_case_sql('event_id % 12', *[x[1] for x in ERRORS])} AS kind FROM events")
 def error_class(spark, sf):
-    rows = [(1, "HTTP 403"), (2, "Read Timeout"), (3, "SSL handshake"), (4, "boom"), (5, "429 slow"), (6, "404")]
-    return vectors(spark, rows, "id int, m string").select("id", states.error_class(F.col("m")).alias("kind"))
+    return fixtures.table(spark, sf, "events").select("event_id", states.error_class(by_case(F.col("event_id") % 12, *[x[0] for x in ERRORS])).alias("kind"))
+
 
+RUN_STATES = [("waiting", None, "a", "odd", "queued", "running"), ("in_progress", None, "b", "complete", "running", "stale"), ("completed", "success", "a", "Complete ", "success", "complete"), ("completed", "failure", "a", "failed", "failed", "failed"), ("odd", None, "a", None, "idle", "running")]
 
-@query("f41_f42_f43_run_states", "SELECT * FROM (VALUES (1, 'queued', 'running'), (2, 'running', 'stale'), (3, 'success', 'complete'), (4, 'failed', 'failed'), (5, 'idle', 'running')) v(id, state, trend)")
+
+@query("f41_f42_f43_run_states", f"SELECT event_id, {by_case_sql('event_id % 5', *[x[4] for x in RUN_STATES])} AS state, {by_case_sql('event_id % 5', *[x[5] for x in RUN_STATES])} AS trend FROM events")
 def run_states(spark, sf):
-    rows = [(1, "waiting", None, "a", "odd"), (2, "in_progress", None, "b", "complete"), (3, "completed", "success", "a", "Complete "), (4, "completed", "failure", "a", "failed"), (5, "odd", None, "a", None)]
-    return vectors(spark, rows, "id int, s string, c string, run string, t string").select("id", states.run_state(F.col("s"), F.col("c")).alias("state"), states.trend_run_state(F.col("run"), F.lit("a"), F.col("t")).alias("trend"))
+    status, ended, run, trend = (by_case(F.col("event_id") % 5, *[x[i] for x in RUN_STATES]) for i in range(4))
+    return fixtures.table(spark, sf, "events").select("event_id", states.run_state(status, ended.cast("string")).alias("state"), states.trend_run_state(run, F.lit("a"), trend).alias("trend"))
 
 
 @query("f44_cooldown", "SELECT event_id, greatest(0, 1800 - event_id % 4000) AS retry_after, CAST(ceil(greatest(0, 1800 - event_id % 4000) / CAST(60 AS DOUBLE)) AS BIGINT) AS minutes FROM events")
@@ -211,12 +230,12 @@ def progress(spark, sf):
     return fixtures.table(spark, sf, "events").select("event_id", states.progress(i % 13, i % 9).alias("percent"), states.remaining(i % 200).alias("remaining"), states.keyword_band(i % 30).alias("band"), states.phase_progress(F.col("event_type"), ["view", "click", "signup"]).alias("phase"))
 
 
-@query("f48_p29_article_rows", "SELECT 'article-20240120-' || CAST(row_number() OVER (ORDER BY ord) AS VARCHAR) AS id, round(coalesce(score, 0), 2) AS score, 'Unknown' AS author, '' AS summary FROM candidates", CANDIDATES)
+@query("f48_p29_article_rows", "SELECT ord, 'article-20240120-' || CAST(row_number() OVER (ORDER BY ord) AS VARCHAR) AS id, round(coalesce(score, 0), 2) AS score, 'Unknown' AS author, '' AS summary FROM candidates", CANDIDATES)
 def article_rows(spark, sf):
     from gleanery.operators import store
 
-    c = fixtures.candidates(spark, sf)
-    return c.select(store.numbered_ids(c, "20240120", "ord").alias("id"), F.round(F.coalesce("score", F.lit(0.0)), 2).alias("score"), F.lit("Unknown").alias("author"), F.lit("").alias("summary"))
+    rows = store.numbered(fixtures.candidates(spark, sf).select("ord", "score"), "n", F.col("ord"))
+    return rows.select("ord", store.numbered_ids(F.col("n"), "20240120").alias("id"), F.round(F.coalesce("score", F.lit(0.0)), 2).alias("score"), F.lit("Unknown").alias("author"), F.lit("").alias("summary"))
 
 
 def age_sql(n: int) -> str:
@@ -229,13 +248,19 @@ def recency(spark, sf):
     return fixtures.articles(spark, sf).select("ord", dates.is_recent(d, as_of(), 7).alias("week"), dates.is_recent(d, as_of(), 14).alias("fortnight"), dates.is_recent(d, as_of(), None).alias("ever"))
 
 
-PATHS = ("/en/3", "/fr/", "?page=2", "/terms")
-RELEVANT = "NOT (" + " OR ".join(f"contains(u, '{p}')" for p in PATHS) + f") AND NOT contains({host_sql('u')}, 'blog.')"
+FRAGMENTS = ("/tags/", "/events/", "/live-blog/", "/roundtable", "/event-registration/x", "/story", "/news/topics/x", "/iplayer")
+PUBLICATIONS = ("BBC", "The Telegraph", "Other")
+BLOCKED_SQL = " OR ".join(f"contains(u, '{p}')" for p in urls.BLOCKED_PATHS)
+OWN_SQL = " OR ".join(f"(p = '{name}' AND ({' OR '.join(f"contains(u, '{x}')" for x in paths)}))" for name, paths in urls.OWN_PATHS.items())
+HOST_SQL = " OR ".join(f"contains(split_part(split_part(u, '://', 2), '/', 1), '{h}')" for h in urls.BLOCKED_HOSTS)
 
 
-@query("p3_r3_url_relevance", f"SELECT page_id FROM (SELECT page_id, regexp_replace(lower(url), '/+$', '') AS u FROM pages) WHERE {RELEVANT}")
+@query("p3_r3_url_relevance", f"SELECT page_id FROM (SELECT page_id, {by_case_sql('page_id % 3', *PUBLICATIONS)} AS p, regexp_replace(lower(CASE page_id % 11 WHEN 8 THEN '{urls.SECTION_PAGES[-1]}/' WHEN 9 THEN 'https://events.e.com/a' WHEN 10 THEN url ELSE regexp_replace(url, '[?#].*$', '') || {by_case_sql('page_id % 11', *FRAGMENTS)} END), '/+$', '') AS u FROM pages) WHERE NOT ({BLOCKED_SQL} OR {OWN_SQL} OR {HOST_SQL} OR u = '{urls.SECTION_PAGES[-1]}')")
 def url_relevance(spark, sf):
-    return pages(spark, sf).where(urls.is_relevant(F.col("url"), ("blog.",), (), PATHS)).select("page_id")
+    i, bare = F.col("page_id") % 11, F.regexp_replace("url", "[?#].*$", "")
+    u = F.when(i == 8, urls.SECTION_PAGES[-1] + "/").when(i == 9, "https://events.e.com/a").when(i == 10, F.col("url")).otherwise(F.concat(bare, by_case(i, *FRAGMENTS)))
+    publication = by_case(F.col("page_id") % 3, *PUBLICATIONS)
+    return pages(spark, sf).where(urls.is_relevant(u, own_paths=urls.own_paths(publication))).select("page_id")
 
 
 @query("p4_j14_url_relevance_variants", "SELECT page_id FROM (SELECT page_id, regexp_replace(lower(url), '/+$', '') AS u, split_part(split_part(url, '://', 2), '/', 1) AS h FROM pages) WHERE (contains(u, 'th') OR contains(u, 'spam')) AND NOT contains(u, '/de/') AND NOT (h = 'spam-farm.example.org' AND contains(u, '/en/7'))")
@@ -245,10 +270,13 @@ def url_variants(spark, sf):
     return p.where(urls.is_relevant(F.col("url"), (), (), ("/de/",), F.col("own"), ["th", "spam"])).select("page_id")
 
 
-@query("p5_p7_url_validity", "SELECT * FROM (VALUES (1, false, true), (2, true, true), (3, false, false), (4, false, true), (5, true, true), (6, true, true), (7, false, false)) v(id, fetchable, valid)")
+VALIDITY = [("http://a.com:0/", False, True), ("http://a.com:80/", True, True), ("ftp://a.com", False, False), ("http://a.com:x/", False, True), ("http://[::1]:x/", True, True), ("HTTP://a.com", True, True), (None, False, False)]
+
+
+@query("p5_p7_url_validity", f"SELECT page_id, CASE WHEN page_id % 8 = 7 THEN true ELSE {by_case_sql('page_id % 8', *[x[1] for x in VALIDITY])} END AS fetchable, CASE WHEN page_id % 8 = 7 THEN true ELSE {by_case_sql('page_id % 8', *[x[2] for x in VALIDITY])} END AS valid FROM pages")
 def validity(spark, sf):
-    rows = [(1, "http://a.com:0/"), (2, "http://a.com:80/"), (3, "ftp://a.com"), (4, "http://a.com:x/"), (5, "http://[::1]:x/"), (6, "HTTP://a.com"), (7, None)]
-    return vectors(spark, rows, "id int, u string").select("id", urls.is_fetchable(F.col("u")).alias("fetchable"), urls.is_valid(F.col("u")).alias("valid"))
+    u = F.when(F.col("page_id") % 8 == 7, F.col("url")).otherwise(by_case(F.col("page_id") % 8, *[x[0] for x in VALIDITY]))
+    return pages(spark, sf).select("page_id", urls.is_fetchable(u).alias("fetchable"), urls.is_valid(u).alias("valid"))
 
 
 @query("p6_p11_presence", "SELECT ord FROM articles WHERE len(content) >= 150 AND trim(title) <> '' AND trim(id) <> ''", ARTICLES)
@@ -256,10 +284,10 @@ def presence(spark, sf):
     return fixtures.articles(spark, sf).where((F.length("content") >= 150) & (F.trim("title") != "") & (F.trim("id") != "")).select("ord")
 
 
-@query("p9_p14_active", "SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, true, true), (4, false, false)) v(id, source, menu)")
+@query("p9_p14_active", "SELECT ord, upper(coalesce(a, 'TRUE')) = 'TRUE' AS source, upper(coalesce(a, 'FALSE')) = 'TRUE' AS menu FROM (SELECT ord, CASE WHEN ord % 5 = 0 THEN ' true' ELSE active END AS a FROM source_rows)", SOURCES)
 def active(spark, sf):
-    rows = [(1, None), (2, ""), (3, "true"), (4, " true")]
-    return vectors(spark, rows, "id int, a string").select("id", validation.is_active(F.col("a")).alias("source"), validation.is_active(F.col("a"), "FALSE").alias("menu"))
+    a = F.when(F.col("ord") % 5 == 0, " true").otherwise(F.col("active"))
+    return fixtures.source_rows(spark, sf).select("ord", validation.is_active(a).alias("source"), validation.is_active(a, "FALSE").alias("menu"))
 
 
 @query("p12_blocked_fallback", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'title' ELSE 'url' END AS title FROM events WHERE event_type = 'error' AND value >= 10")
@@ -290,35 +318,40 @@ def latest_trends(spark, sf):
     return e.join(F.broadcast(run), e["event_id"].cast("string") == F.col("run")).select("event_id")
 
 
-@query("p20_keyword_list", "SELECT * FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) v(keyword)")
+@query("p20_keyword_list", "SELECT ord, array_to_string(k, '|') AS keywords, len(k) = 0 OR (len(k) BETWEEN 5 AND 25 AND len(list_filter(k, lambda x: len(x) > 12)) = 0) AS valid FROM (SELECT ord, CASE WHEN ord % 9 = 0 THEN [] ELSE list_filter(list_transform(string_split(title, ','), lambda x: lower(trim(x))), lambda x: x <> '') END AS l, [l[i] FOR i IN range(1, len(l) + 1) IF list_position(l, l[i]) = i] AS k FROM articles)", ARTICLES)
 def keyword_list(spark, sf):
-    return spark.createDataFrame([(k,) for k in validation.keyword_list([" A", "b", "a ", "C", "d", "", "e"])], "keyword string")
+    given = F.when(F.col("ord") % 9 == 0, F.lit("")).otherwise(F.col("title"))
+    k = validation.keywords_of(F.split(given, ","))
+    return fixtures.articles(spark, sf).select("ord", F.array_join(k, "|").alias("keywords"), validation.keywords_fit(k, longest=12).alias("valid"))
 
 
-@query("p21_topic", "SELECT 'finance' AS a, 'luxury' AS b")
+@query("p21_topic", f"SELECT event_id, {by_case_sql('event_id % 4', 'luxury', 'finance', 'finance', 'finance')} AS topic, {by_case_sql('event_id % 4', True, True, False, False)} AS known FROM events")
 def topic(spark, sf):
-    return spark.createDataFrame([(validation.topic("Cars"), validation.topic(" Luxury "))], "a string, b string")
+    given = by_case(F.col("event_id") % 4, " Luxury ", "FINANCE", "cars", None)
+    return fixtures.table(spark, sf, "events").select("event_id", validation.topic_of(given).alias("topic"), validation.is_topic(given).alias("known"))
 
 
-BODY = "'<feed>' || CASE page_id % 3 WHEN 0 THEN '' ELSE '<entry>x</entry>' END || CASE page_id % 5 WHEN 0 THEN '' ELSE '</feed>' END"
-
-
-@query("p22_p24_feed_validity", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 4 = 0 THEN 'http_404' WHEN page_id % 5 = 0 THEN 'feed_parse_error' WHEN page_id % 3 = 0 THEN 'no_entries' ELSE 'ok' END AS reason FROM pages")
+@query("p22_p24_feed_validity", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 4 = 0 THEN 'http_404' WHEN page_id % 3 <> 0 THEN 'ok' WHEN page_id % 5 = 0 THEN 'feed_parse_error' ELSE 'no_entries' END AS reason FROM pages")
 def feed_validity(spark, sf):
     i = F.col("page_id")
     body = F.concat(F.lit("<feed>"), F.when(i % 3 == 0, "").otherwise("<entry>x</entry>"), F.when(i % 5 == 0, "").otherwise("</feed>"))
     return pages(spark, sf).select("page_id", validation.feed_reason(F.when(i % 7 != 0, F.col("url")), F.when(i % 4 == 0, 404).otherwise(200), body).alias("reason"))
 
 
-@query("p23_sitemap_validity", "SELECT * FROM (VALUES (1, 'ok', 24), (2, 'html_not_xml', 20), (3, 'not_sitemap_xml', 20), (4, 'xml_parse_error', 2), (5, 'http_500', 20)) v(id, reason, score)")
+MAPS = [(200, "<urlset><url></url><url></url></urlset>", "ok", 4), (200, "<!DOCTYPE html><html></html>", "html_not_xml", 0), (200, "<rss></rss>", "not_sitemap_xml", 0), (200, "<urlset><url>", "xml_parse_error", 0), (500, "", "http_500", 0), (200, "<urlset><url></urlset>", "xml_parse_error", 0), (None, None, "http_0", 0), (200, '<?xml version="1.0"?><!-- a --><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>x</loc></sitemap></sitemapindex>', "ok", 2), (200, "<urlset><url></urlset></url>", "xml_parse_error", 0), (200, "none", "xml_parse_error", 0)]
+
+
+@query("p23_sitemap_validity", f"SELECT page_id, {by_case_sql('page_id % 10', *[x[2] for x in MAPS])} AS reason, {by_case_sql('page_id % 10', *[x[3] for x in MAPS])} + CASE WHEN page_id % 10 IN (0, 7) AND page_id % 4 < 3 THEN 20 ELSE 0 END AS score FROM pages")
 def sitemap_validity(spark, sf):
-    rows = [(1, 200, "<urlset><url></url><url></url></urlset>", "https://e.com/s.xml"), (2, 200, "<!DOCTYPE html><html></html>", "https://e.com/s.xml"), (3, 200, "<rss></rss>", "https://www.e.com/s.xml"), (4, 200, "<urlset><url>", "https://f.com/s.xml"), (5, 500, "", "https://e.com/s.xml")]
-    return vectors(spark, rows, "id int, status int, body string, url string").select("id", validation.sitemap_reason(F.col("status"), F.col("body")).alias("reason"), validation.sitemap_score(F.col("body"), F.col("url"), F.lit("https://e.com/")).alias("score"))
+    status, body = (by_case(F.col("page_id") % 10, *[x[i] for x in MAPS]) for i in range(2))
+    final = F.when(F.col("page_id") % 4 < 3, F.concat(urls.base(F.col("url")), F.lit("s.xml"))).otherwise("https://elsewhere.org/s.xml")
+    return pages(spark, sf).select("page_id", validation.sitemap_reason(status, body).alias("reason"), validation.sitemap_score(status, body, final, F.col("url")).alias("score"))
 
 
-@query("p25_block_page", "SELECT page_id, contains(lower(html), 'captcha') OR contains(lower(html), 'advert') OR contains(lower(html), 'track(') AS blocked FROM pages")
+@query("p25_block_page", "SELECT page_id, " + " OR ".join(f"contains(h, '{w}')" for w in text.BLOCK_WORDS) + f" AS blocked FROM (SELECT page_id, lower(html || {by_case_sql('page_id % 8', 'Access Denied', 'CAPTCHA', 'denied', 'DataDome', 'Blocked', 'forbidden', '', 'ok')}) AS h FROM pages)")
 def block_page(spark, sf):
-    return pages(spark, sf).select("page_id", text.contains_any(F.lower("html"), ["captcha", "advert", "track("]).alias("blocked"))
+    more = by_case(F.col("page_id") % 8, "Access Denied", "CAPTCHA", "denied", "DataDome", "Blocked", "forbidden", "", "ok")
+    return pages(spark, sf).select("page_id", text.is_block_page(F.concat("html", more)).alias("blocked"))
 
 
 @query("j1_host_semi_join", "SELECT ord FROM candidates WHERE publication IN (SELECT publication FROM candidates WHERE ord % 5 = 0)", CANDIDATES)
@@ -363,10 +396,9 @@ def lead(spark, sf):
     return fixtures.articles(spark, sf).select("ord", F.md5(text.lead_summary(F.col("content"))).alias("h"))
 
 
-@query("w7_ordered_distinct", "SELECT ord, md5(array_to_string(list_distinct(string_split(title, ' ')), ' ')) IS NOT NULL AS ok, len(list_distinct(string_split(title, ' '))) AS n FROM articles", ARTICLES)
+@query("w7_ordered_distinct", "SELECT ord, array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF list_position(l, l[i]) = i], ' ') AS words FROM (SELECT ord, string_split(title, ' ') AS l FROM articles)", ARTICLES)
 def ordered_distinct(spark, sf):
-    words = F.array_distinct(F.split("title", " "))
-    return fixtures.articles(spark, sf).select("ord", F.md5(F.array_join(words, " ")).isNotNull().alias("ok"), F.size(words).cast("bigint").alias("n"))
+    return fixtures.articles(spark, sf).select("ord", F.array_join(F.array_distinct(F.split("title", " ")), " ").alias("words"))
 
 
 @query("p13_pending", "SELECT event_id FROM events WHERE event_type = 'signup'")

@@ -6,9 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gleanery.functions import dates
-from gleanery.operators import trends
-from gleanery.plans.registry import ARTICLES, MENTIONS, query
+from gleanery.functions import dates, urls
+from gleanery.operators import store, trends
+from gleanery.plans.registry import ARTICLES, MENTIONS, host_sql, query
 from gleanery.sources import fixtures
 
 START, END, SLICES = dt.date(2024, 1, 22), dt.date(2024, 1, 28), 3
@@ -98,7 +98,15 @@ def topic_sizes(spark, sf):
     return sizes.withColumn("part", F.round(F.col("n") / whole, 6)).orderBy(F.desc("n"), "topic").limit(10)
 
 
-@query("m5_topic_words")
+WORDS = r"""tokens AS (SELECT ord, topic, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}_]+'), lambda x: len(x) > 1 AND x NOT IN ('the', 'of', 'and', 'to', 'in', 'a')) AS t FROM topics),
+grams AS (SELECT ord, topic, unnest(t || [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) AS word FROM tokens),
+per AS (SELECT topic, word, count(*) AS tf, count(DISTINCT ord) AS df FROM grams GROUP BY topic, word),
+whole AS (SELECT word, sum(tf) AS f, sum(df) AS docs FROM per GROUP BY word),
+mean AS (SELECT avg(n) AS average FROM (SELECT sum(tf) AS n FROM per GROUP BY topic)),
+weighed AS (SELECT topic, word, tf * ln(1 + average / f) AS weight FROM per JOIN whole USING (word), mean WHERE docs >= 2)"""
+
+
+@query("m5_topic_words", "SELECT topic, CAST(rank AS INTEGER) AS rank, word, round(weight, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 6) DESC, word) AS rank FROM weighed) WHERE rank <= 8", TOPICS, WORDS)
 def topic_words(spark, sf):
     return trends.topic_words(topic_articles(spark, sf), "topic", "content")
 
@@ -125,7 +133,7 @@ def without_stopwords(spark, sf):
 def date_audit(spark, sf):
     e = fixtures.table(spark, sf, "events")
     day = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-M-d")
-    shown = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("on "), day)).when(F.col("event_id") % 5 == 1, F.concat(day, F.lit("T10:00:00Z"))).when(F.col("event_id") % 5 == 2, F.concat(day, F.lit(" 10:00:00"))).otherwise(day)
+    shown = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("on "), day)).when(F.col("event_id") % 5 == 1, F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd"), F.lit("T10:00:00Z"))).when(F.col("event_id") % 5 == 2, F.concat(day, F.lit(" 10:00:00"))).otherwise(day)
     return e.agg(F.count("*").alias("total"), F.count_if(dates.parsed(shown).isNotNull()).alias("ok"), F.count_if(dates.parsed(shown).isNull()).alias("failed"))
 
 
@@ -152,3 +160,51 @@ def embeddings(spark, sf):
     from gleanery.operators import models
 
     return models.embedded(fixtures.articles(spark, sf), fixtures.table(spark, sf, "embeddings"), "ord").select("ord", F.col("embedding").isNotNull().alias("embedded"))
+
+
+# two thirds of the topics have words of their own, the others share them; one topic in ten is an outlier
+ARTICLE_TRENDS = TOPICS + f""", rows_ AS (SELECT a.ord, a.publication, p.url, a.collected_at AS ts, CASE WHEN a.topic = 9 THEN -1 ELSE a.topic END AS topic FROM topics a JOIN pages p ON p.page_id = a.ord % (SELECT count(*) FROM pages)),
+listed AS (SELECT * FROM rows_ WHERE {host_sql('url')} IN (SELECT {host_sql('url')} FROM pages WHERE page_id % 5 < 4)),
+spans AS (SELECT *, -CAST(floor(CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-22') AS DOUBLE) / 604800000000) AS BIGINT) AS slice, 'word' || CAST(topic % 4 AS VARCHAR) || ' | gold' AS signature FROM listed WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-29'),
+bound AS (SELECT CASE WHEN count(*) FILTER (WHERE topic = -1) / CAST(count(*) AS DOUBLE) > 0.75 THEN 1 ELSE 2 END AS least FROM spans),
+sums AS (SELECT signature, CAST(count(*) FILTER (WHERE slice = 0) AS BIGINT) AS c, CAST(count(*) FILTER (WHERE slice > 0) AS DOUBLE) / 3 AS b, CAST(count(DISTINCT CASE WHEN slice = 0 THEN nullif(trim(publication), '') END) AS BIGINT) AS pubs FROM spans WHERE topic <> -1 GROUP BY signature),
+firsts AS (SELECT signature, string_agg(url, ' | ' ORDER BY ord) AS supporting FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY ord) AS n FROM (SELECT signature, url, min(ord) AS ord FROM spans WHERE slice = 0 AND topic <> -1 GROUP BY signature, url)) WHERE n <= 3 GROUP BY signature),
+new_rows AS (SELECT s.signature AS keyword, c AS count_current, round(b, 3) AS baseline_4wk, round((c + 1) / (b + 1) * ln(1 + c), 4) AS trend_score, pubs AS publication_count, coalesce(supporting, '') AS supporting_urls, 'trending' AS status FROM sums s LEFT JOIN firsts f ON s.signature = f.signature, bound WHERE c > 0 AND c >= least AND pubs >= 1 AND (c + 1) / (b + 1) >= MINIMUM)"""
+
+
+def run_trends(spark, sf, min_lift: float):
+    p = fixtures.table(spark, sf, "pages").select("page_id", "url")
+    pages = p.agg(F.count("*").alias("pages"))
+    a = topic_articles(spark, sf).join(F.broadcast(pages), F.lit(True)).withColumn("page_id", F.col("ord") % F.col("pages")).join(p, "page_id")
+    a = a.select("ord", "url", "publication", F.col("collected_at").alias("ts"), F.when(F.col("topic") == 9, -1).otherwise(F.col("topic")).alias("topic"))
+    words = spark.range(10).select(F.col("id").cast("int").alias("topic"), F.array(F.concat(F.lit("word"), (F.col("id") % 4).cast("string")), F.lit("the"), F.lit("gold")).alias("words"))
+    hosts = p.where("page_id % 5 < 4").select(urls.host(F.col("url")).alias("host"))
+    return trends.article_trends(a, words, LOW, DAYS, SLICES, "run-2", "2024-W04", hosts, ("the", "of"), min_lift=min_lift)
+
+
+@query("r6_article_trends", "SELECT * FROM new_rows", ARTICLE_TRENDS.replace("MINIMUM", "0.9"))
+def article_trends(spark, sf):
+    """List filter, topics merged by signature, gates and labels."""
+    return run_trends(spark, sf, 0.9).select("keyword", "count_current", "baseline_4wk", "trend_score", "publication_count", "supporting_urls", "status")
+
+
+@query("r6_no_trends", "SELECT '__NO_TRENDS__' AS keyword, CAST(0 AS BIGINT) AS count_current, CAST(0 AS DOUBLE) AS baseline_4wk, CAST(0 AS DOUBLE) AS trend_score, CAST(0 AS BIGINT) AS publication_count, '' AS supporting_urls, 'no_trends' AS status UNION ALL SELECT * FROM new_rows", ARTICLE_TRENDS.replace("MINIMUM", "1000"))
+def no_trends(spark, sf):
+    """Nothing passes: one row says so."""
+    return run_trends(spark, sf, 1000.0).select("keyword", "count_current", "baseline_4wk", "trend_score", "publication_count", "supporting_urls", "status")
+
+
+@query("r6_run_table", "SELECT 'run-1' AS trend_run_id, signature AS keyword, count_current FROM counted UNION ALL SELECT 'run-2', keyword, count_current FROM new_rows", SLICED, ARTICLE_TRENDS.replace("MINIMUM", "0.9"))
+def run_table(spark, sf):
+    """The new run's rows in place of its old ones; other runs stay."""
+    new = run_trends(spark, sf, 0.9).select("trend_run_id", "keyword", "count_current")
+    old = trends.counted(inside(spark, sf), SLICES).select(F.explode(F.array(F.lit("run-1"), F.lit("run-2"))).alias("trend_run_id"), F.col("signature").alias("keyword"), "count_current")
+    return store.replace_run(old, new, "trend_run_id")
+
+
+@query("r6_run_state", "SELECT key, CASE key WHEN 'click' THEN 'complete' ELSE value END AS value FROM (SELECT event_type AS key, arg_max(CAST(event_id AS VARCHAR), event_id) AS value FROM events GROUP BY event_type) UNION ALL SELECT 'latest_trend_rows_written', CAST(count(*) AS VARCHAR) FROM new_rows UNION ALL SELECT 'latest_trend_week_key', '2024-W04'", ARTICLE_TRENDS.replace("MINIMUM", "0.9"))
+def run_state(spark, sf):
+    """What the run leaves in the key-value table; click stands for its status."""
+    rows = run_trends(spark, sf, 0.9).agg(F.count("*").cast("string").alias("value")).select(F.lit("latest_trend_rows_written").alias("key"), "value")
+    fixed = spark.range(2).select(F.when(F.col("id") == 0, "click").otherwise("latest_trend_week_key").alias("key"), F.when(F.col("id") == 0, "complete").otherwise("2024-W04").alias("value"))
+    return store.upsert(store.last_value(fixtures.metadata(spark, sf), "key", "value"), rows.unionByName(fixed), "key", "value")

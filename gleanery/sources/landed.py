@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import dates, text, urls
+from gleanery.operators.scoring import Lexicon, relevance
 
 #: Where sitemaps and feeds usually are.
-SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/news-sitemap.xml", "/sitemap-news.xml")
-FEED_PATHS = ("/feed", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/feeds/posts/default", "/index.xml")
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/news-sitemap.xml")
+DISCOVERY_SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/news-sitemap.xml", "/sitemap_google_news.xml")
+FEED_PATHS = ("/feed", "/rss", "/rss.xml", "/atom.xml", "/feeds/posts/default", "/blog/feed", "/news/feed")
 
 
 def xml_text(body: Column) -> Column:
@@ -41,14 +45,30 @@ def feed_entries(feeds: DataFrame, as_of: Column, most: int = 20, max_age_days:
     return rows.where((F.col("title") != "") & (F.col("url") != "") & dates.is_recent(F.col("published_date"), as_of, max_age_days)).withColumn("candidate_source", F.lit("rss"))
 
 
-def sitemap_children(indexes: DataFrame, most: int = 17) -> DataFrame:
-    """Child sitemaps of index files (publication, url, body): the latest `most`, by lastmod or the month in their names."""
+def scored_entries(entries: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
+    """Entries with relevance_score and keywords_found of title and summary; those below `least` go."""
+    t = entries.withColumn("_t", text.normalized(F.concat_ws(" ", "title", "summary")))
+    rows = t.withColumn("_r", relevance(F.col("_t"), lexicon)).withColumns({"relevance_score": F.col("_r.score"), "keywords_found": F.col("_r.found")}).drop("_t", "_r")
+    return rows.where(F.col("relevance_score") >= least)
+
+
+def sitemap_candidates(roots: DataFrame, fetches: DataFrame, as_of: Column, children: int = 17, most: int | None = 150, max_age_days: int | None = 7) -> DataFrame:
+    """Candidates of landed sitemaps (publication, url, body): index files lead to the latest `children` maps, read from
+    fetches (url, body); of each map the first `most` recent urls are taken, then those that are no articles go."""
+    index = roots.where(F.contains(F.lower("body"), F.lit("<sitemapindex")))
+    found = sitemap_children(index, children, "url").select("publication", F.col("child").alias("url")).join(fetches.select("url", "body"), "url")
+    sets = roots.where(~F.contains(F.lower("body"), F.lit("<sitemapindex"))).select("publication", "url", "body").unionByName(found.select("publication", "url", "body"))
+    return sitemap_urls(sets, as_of, max_age_days, most).where(urls.is_relevant(F.col("url")))
+
+
+def sitemap_children(indexes: DataFrame, most: int = 17, group: str = "publication") -> DataFrame:
+    """Child sitemaps of index files (publication, url, body): the latest `most` of each group, by lastmod or the month in their names."""
     parts = F.regexp_extract_all(xml_text(F.col("body")), F.lit(r"(?is)<sitemap>.*?</sitemap>"), 0)
     each = indexes.select("publication", "url", F.posexplode(parts).alias("ord", "part"))
     loc = urls.resolved(_field(F.col("part"), "loc"), F.col("url"))
-    rows = each.select("publication", "ord", loc.alias("child"), dates.parsed(_field(F.col("part"), "lastmod")).alias("mod"))
+    rows = each.select("publication", "url", "ord", loc.alias("child"), dates.iso(_field(F.col("part"), "lastmod")).alias("mod"))
     rows = rows.withColumn("lastmod", F.coalesce("mod", dates.sitemap_month(F.col("child")).cast("timestamp_ntz"))).drop("mod")
-    w = Window.partitionBy("publication").orderBy(F.desc_nulls_last("lastmod"), "ord")
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last("lastmod"), "ord")
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
 
 
@@ -56,23 +76,23 @@ def sitemap_urls(maps: DataFrame, as_of: Column, max_age_days: int | None = 7, m
     """Urls of url sets (publication, url, body) with their dates, relative ones resolved; none is dropped by age where the limit is None."""
     parts = F.regexp_extract_all(xml_text(F.col("body")), F.lit(r"(?is)<url>.*?</url>"), 0)
     each = maps.select("publication", F.col("url").alias("sitemap"), F.posexplode(parts).alias("ord", "part"))
-    rows = each.select("publication", "sitemap", "ord", urls.resolved(_field(F.col("part"), "loc"), F.col("sitemap")).alias("url"), F.coalesce(dates.parsed(_field(F.col("part"), "lastmod")), as_of).alias("published_date"))
+    rows = each.select("publication", "sitemap", "ord", urls.resolved(_field(F.col("part"), "loc"), F.col("sitemap")).alias("url"), F.coalesce(dates.lastmod(_field(F.col("part"), "lastmod")), as_of).alias("published_date"))
     rows = rows.where((F.col("url") != "") & dates.is_recent(F.col("published_date"), as_of, max_age_days))
     if most is not None:  # the cap comes before any later filter
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("sitemap").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
     return rows.withColumns({"title": F.lit(""), "summary": F.lit(""), "relevance_score": F.lit(1.0), "candidate_source": F.lit("sitemap")})
 
 
-def robots_sitemaps(robots: DataFrame) -> DataFrame:
-    """Sitemap candidates of robots files (base_url, body): listed ones, then usual paths, distinct in order."""
-    listed = F.filter(F.transform(F.split("body", r"\r?\n"), lambda x: F.trim(F.regexp_extract(x, r"(?i)^\s*sitemap:\s*(\S+)", 1))), lambda x: x != "")
-    usual = F.array(*[F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit(p)) for p in SITEMAP_PATHS])
-    return robots.select("base_url", F.posexplode(F.array_distinct(F.concat(listed, usual))).alias("ord", "sitemap"))
+def robots_sitemaps(robots: DataFrame, paths: Sequence[str] = SITEMAP_PATHS, key: str | None = None) -> DataFrame:
+    """Sitemap candidates of robots files (base_url, body, and a key): listed ones, then usual paths, distinct in order."""
+    listed = F.filter(F.transform(F.split("body", r"\r?\n"), lambda x: F.trim(F.regexp_extract(x, r"(?i)^\s*sitemap:(.*)$", 1))), lambda x: x != "")
+    usual = F.array(*[F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit(p)) for p in paths])
+    return robots.select(*[key] * bool(key), "base_url", F.posexplode(F.array_distinct(F.concat(listed, usual))).alias("ord", "sitemap"))
 
 
-def preferred_sitemap(candidates: DataFrame) -> DataFrame:
+def preferred_sitemap(candidates: DataFrame, key: str = "base_url") -> DataFrame:
     """One candidate for each base: urls with "news" first, then shorter ones."""
-    w = Window.partitionBy("base_url").orderBy(F.when(F.contains(F.lower("sitemap"), F.lit("news")), 0).otherwise(1), F.length("sitemap"), "ord")
+    w = Window.partitionBy(key).orderBy(F.when(F.contains(F.lower("sitemap"), F.lit("news")), 0).otherwise(1), F.length("sitemap"), "ord")
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

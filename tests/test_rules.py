@@ -118,3 +118,88 @@ def test_summary_seam_drops_failures(spark):
 
     assert [tuple(r) for r in models.summarized(df, factory=factory).select("id", "summary").collect()] == [(1, "ONE. TWO.")]
     assert {r["id"]: r["summary"] for r in models.summarized(df).collect()} == {1: "One. Two.", 2: "bad"}
+
+
+@pytest.mark.parametrize(
+    ("shown", "want"),
+    [
+        ("01/20/2024 10:00:00", "2024-01-20 10:00:00"), ("13/2/2024", None), ("20/01/2024 10:00:00", None), ("2024-01-05T10:00", "2024-01-05 10:00:00"), ("20240105", "2024-01-05 00:00:00"),
+        ("2024-1-5", "2024-01-05 00:00:00"), (" 2024-01-05 1:2:3 ", "2024-01-05 01:02:03"), ("2024-01-05T10:00:00.25+02:00", "2024-01-05 10:00:00.25"), ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"),
+        ("2024-W01-5", "2024-01-05 00:00:00"), ("2024-W53-1", None), ("20240105T101112", "2024-01-05 10:11:12"), ("2024-02-30", None), ("2024-01-05T24:00:00", None), ("", None), ("soon", None), (None, None),
+    ],
+)
+def test_dates(spark, shown, want):
+    got = one(spark, dates.parsed(F.lit(shown).cast("string")).cast("string"))
+    assert got == want
+
+
+@pytest.mark.parametrize(("shown", "want"), [("2024-01-05T10:00:00+01:00", "2024-01-05 10:00:00"), ("2024-01-05 10:00", "2024-01-05 00:00:00"), ("5 May", None), ("20240105", None)])
+def test_lastmod(spark, shown, want):
+    assert one(spark, dates.lastmod(F.lit(shown)).cast("string")) == want
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [("https://www.a.com", "https://a.com/"), ("https://a.com/", "https://a.com/"), ("HTTP://A.com:80/x/?b=1&a=%20%2A~", "http://a.com:80/x?b=1&a=+%2A~"), ("a.com/x", "https:///a.com/x"), ("//a.com/x/;p=1?c=%zz", "https://a.com/x?c=%25zz"), ("https://a.com/?utm_source=x&GCLID=1&k", "https://a.com/")],
+)
+def test_url_identity_shapes(spark, url, want):
+    assert one(spark, urls.normalized(F.lit(url))) == want
+
+
+@pytest.mark.parametrize("link", ["/a", "b", "../c", "./d", "../../../e", "?q=1", "#f", "", "//c.com/d", "http://z.org/x", "x/../y", "..", "a/./b?c=../d"])
+@pytest.mark.parametrize("page", ["https://e.com/x/y", "https://e.com", "https://e.com/x/", "https://e.com/x/y?q#f"])
+def test_links_against_the_standard_library(spark, link, page):
+    from urllib.parse import urljoin
+
+    want = urljoin(page, link)
+    assert one(spark, urls.resolved(F.lit(link), F.lit(page))).split("#f")[0] == want.split("#f")[0]
+
+
+@pytest.mark.parametrize("path", ["/tags/a", "/events/x", "/live-blog/x", "/roundtable", "/conference", "/summit", "/registration", "/event-registration", "/galleries/x"])
+def test_paths_that_are_no_articles(spark, path):
+    assert one(spark, urls.is_relevant(F.lit("https://e.com" + path))) is False
+
+
+def test_fragments_of_single_publications(spark):
+    u = F.lit("https://www.bbc.com/worklife/x")
+    assert one(spark, urls.is_relevant(u, own_paths=urls.own_paths(F.lit("BBC")))) is False
+    assert one(spark, urls.is_relevant(u, own_paths=urls.own_paths(F.lit("Other")))) is True
+
+
+def test_fixed_words(spark):
+    assert text.keyword_tokens("This and that are on fire") == ["this", "that", "are", "fire"]
+    assert one(spark, text.is_placeholder(F.lit("Lorem ipsum dolor sit amet"))) is False
+    assert one(spark, text.is_block_page(F.lit("<p>Access Denied</p>"))) is True
+
+
+@pytest.mark.parametrize(("body", "want"), [("<urlset><url></urlset>", "xml_parse_error"), ("<urlset><url/></urlset>", "ok"), ("<rss></rss>", "not_sitemap_xml"), ("<urlset></urlset><a/>", "xml_parse_error"), ("<?xml version='1.0'?>\n<sitemapindex a='1'/>", "ok")])
+def test_sitemap_bodies(spark, body, want):
+    assert one(spark, validation.sitemap_reason(F.lit(200), F.lit(body))) == want
+
+
+def test_scoring_normalises_once(spark):
+    from gleanery.plans import QUERIES
+
+    for name in ("r1_relevance", "a7_o11_top_keywords", "w1_top_by_dynamic_cap"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and final.count("regexp_replace") <= 2, name
+
+
+def test_numbers_over_partitions(spark):
+    from gleanery.operators import store
+
+    rows = spark.range(1000).repartition(7).select((F.col("id") * 7 % 1000).alias("x"))
+    assert all(r["n"] == r["x"] + 1 for r in store.numbered(rows, "n", F.col("x")).collect())
+    assert store.numbered(rows.limit(0), "n", F.col("x")).count() == 0
+
+
+def test_failed_run_leaves_its_state(spark):
+    from gleanery.operators import batch, store
+
+    paths = [store.work_path(spark, n) for n in ("a", "s")]
+    candidates = spark.createDataFrame([], "publication string, url string, candidate_source string, first_score double, ord long, outcome string, score double")
+    with pytest.raises(Exception, match="nowhere"):
+        batch.run(spark, candidates, candidates.drop("candidate_source"), spark.createDataFrame([], "nowhere string"), *paths)
+    state = {r["key"]: r["value"] for r in store.last_value(spark.read.parquet(paths[1]), "key", "value").collect()}
+    assert state["status"] == "failed" and state["message"].startswith("Pipeline failed: ") and len(state["message"]) <= 217
