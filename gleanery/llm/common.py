@@ -57,6 +57,30 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """Staged tables of one computation, deleted together once its result is staged itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop_staged(self.spark, table)
+        self.tables = []
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(df: DataFrame, extra: Iterable[tuple[str, T.DataType]]) -> T.StructType:
     """The schema of df with new columns; a column of the same name is replaced."""
     extra = list(extra)
@@ -145,8 +169,9 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
     """(node, component): the smallest node reachable over (a, b) edges of longs, for nodes that have edges.
 
     Alternating large-star and small-star steps, staged in the shared folder after
-    each round; the number of rounds is logarithmic in the length of chains. Each
-    step pre-aggregates the smallest neighbour, so a hub does not gather in a task.
+    each round; the number of rounds is logarithmic in the length of chains. The
+    smallest neighbour is pre-aggregated; a hub's edges meet it in a join that adaptive
+    execution splits where they are many (spark.sql.adaptive.skewJoin).
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:

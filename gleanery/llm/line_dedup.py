@@ -1,24 +1,28 @@
 """Line dedup: an exact set-similarity join of lines that removes later matches.
 
-A line is the set of its distinct ASCII-lower-cased words. A line of at least MIN_TOKENS words
-is removed if an earlier one (by document id, then line number) has a Jaccard index of at least
-PERCENT / 100 with it, whether that one is itself removed or not.
+A line is the set of its distinct ASCII-lower-cased words. A line is removed if an earlier one
+(by document id, then line number) has a Jaccard index of at least PERCENT / 100 with it,
+whether that one is itself removed or not. Lines of any length take part; among lines of up
+to 3 words this is equality.
 
 Tokens are ordered by rarity (in how many lines they are, from a table of fixed size, then by
 hash). Two matching lines of n words share one of their first n - ceil(t n) + 1; those are
-indexed, without tokens that one line alone has. Within a token, the length filter, the
-positional filter and a 128-bit parity sketch of the sets (its bits that differ are never more
-than the words that differ) leave candidates, which are verified on the lines themselves.
-
-A line needs one earlier match, not all. So for each line and token the candidate with the
-fewest differing bits is kept, the best of a line is verified first, and only lines that fail
-there and have others are joined with all their candidates. Very frequent tokens are indexed
-by token and length class, so that their groups are split. Equal sets met in one task are
-decided there.
-
-Defined cases: null or empty texts have no lines and stay as they are; shorter lines are
-never removed; null ids order first; rows that repeat an id are one document, whose lines are
-told apart by number and sketch; an empty table gives an empty result; other columns are kept.
+indexed, without tokens that one line alone has. Within a token, lines of equal size and sketch
+stand for one another, and between the others the length filter, the positional filter and a
+128-bit parity sketch of the sets (its bits that differ are never more than the words that
+differ) leave candidates, which are verified on the lines themselves.
+
+A line needs one earlier match, not all. So for each line and token the KEPT candidates with the
+fewest differing bits are listed. The best of a line is verified first, then, where it fails, all
+that are listed; only lines that fail there and had more candidates than the list holds are joined
+with all of them. Very frequent tokens are indexed by token and length class, so that their groups
+are split. Equal sets met in one task are decided there.
+
+Defined cases: null or empty texts and lines without words stay as they are; texts and lines of
+any length are taken whole; of equal lines the first stays, by id, then line number; null ids
+order first; rows that repeat an id are one document, whose lines are told apart by number and
+sketch (equal rows lose the same lines); an empty table gives an empty result; other columns are
+kept, whatever their names, but n_lines, n_removed and removed_share are replaced.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import GOLDEN, Words, as_bytes, bitmap, byte_table, chunks, extended, in_bitmap, map_batches, mixed, read, staged, with_columns
+from gleanery.llm.common import GOLDEN, Scratch, Words, as_bytes, bitmap, byte_table, chunks, extended, free_name, in_bitmap, map_batches, mixed, read, staged, with_columns
 
-MIN_TOKENS, PERCENT = 5, 80
+PERCENT = 80
+#: Candidates listed for each line and token; the rest of them has an exact way of its own.
+KEPT = 4
 TABLE_BITS, FILTER_BITS, SEEN, FLUSH = 24, 25, 200_000, 4_000_000
 #: Tokens of this class (4 log2 of their lines: 200,000 lines) are split by length class.
 SPLIT_CLASS = 70
@@ -63,12 +69,8 @@ class Lines:
             parts.append((key & np.uint64((1 << 46) - 1), (key >> np.uint64(46)).astype(np.int64) + low))
         token, line = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
         first = np.flatnonzero(new)
-        size = np.bincount(line, minlength=len(first))
-        keep = size >= MIN_TOKENS
-        at = np.cumsum(keep) - 1
-        kept = keep[line]
-        self.token, self.line = token[kept], at[line[kept]]
-        self.texts, self.numbers, self.sizes = words.owner[first][keep], numbers[first][keep], size[keep]
+        self.token, self.line = token, line
+        self.texts, self.numbers, self.sizes = words.owner[first], numbers[first], np.bincount(line, minlength=len(first))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +91,19 @@ def slots_of(token: np.ndarray) -> np.ndarray:
     return (mixed(token) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def first_sketches(lines: list[bytes]) -> np.ndarray:
-    """The first word of the parity sketch of each line."""
-    words = Words(pa.array(lines, pa.binary()))
-    token = words.h & np.uint64((1 << 39) - 1)
-    order = np.lexsort((token, words.owner))
-    owner, token = words.owner[order], token[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
-    keep = new & ((token & np.uint64(64)) == 0)
-    out = np.zeros(len(lines), np.uint64)
-    np.bitwise_xor.at(out, owner[keep], np.uint64(1) << (token[keep] & np.uint64(63)))
-    return out.view(np.int64)
+def tell_of(sketch: np.ndarray, sketch2: np.ndarray) -> np.ndarray:
+    """A long that tells the lines of one document and number apart."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(sketch.view(np.uint64)) * GOLDEN + sketch2.view(np.uint64)).view(np.int64)
+
+
+def tells(lines: list[bytes]) -> np.ndarray:
+    """The tell of each line; 0 for lines without words."""
+    found = Lines(pa.array([x.replace(b"\n", b" ") for x in lines], pa.binary()))
+    out = np.zeros(len(lines), np.int64)
+    if len(found.sizes):
+        out[found.texts] = tell_of(*found.sketches())
+    return out
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -143,7 +146,7 @@ def unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, ROW, len(column), first) if len(column) else np.empty(0, ROW)
 
 
-INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, sketch2 bigint, guest boolean"
+INDEX = "token bigint, doc bigint, line int, size int, place int, sketch bigint, sketch2 bigint, guest boolean, tell bigint"
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
@@ -174,15 +177,15 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
                 if known is None or at < known:
                     seen[key] = at
                     if known:
-                        later.append((*known, int(sketches[i]), int(lines.sizes[i])))
+                        later.append((*known, int(sketches[i]), int(seconds[i])))
                 elif at != known:
                     use[i] = False
-                    later.append((*at, int(sketches[i]), int(lines.sizes[i])))
+                    later.append((*at, int(sketches[i]), int(seconds[i])))
             if len(seen) > SEEN:
                 seen.clear()
             if later and only is None:
                 rows = np.zeros(len(later), ROW)
-                rows["doc"], rows["line"], rows["sketch"], rows["size"] = zip(*later, strict=True)
+                rows["doc"], rows["line"], rows["sketch"], rows["sketch2"] = zip(*later, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.int64()), packed(rows)], names=["token", "row"])
             own, token, place, split = prefixes(lines, use)
             guest = np.zeros(len(own), bool)
@@ -204,7 +207,7 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             if only is None:
                 yield pa.RecordBatch.from_arrays([key, packed(rows)], names=["token", "row"])
             else:
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(rows[n]) for n in ROW.names[:-1]), pa.array(rows["guest"] != 0)], names=INDEX_NAMES)
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(rows[n]) for n in ROW.names[:-1]), pa.array(rows["guest"] != 0), pa.array(tell_of(rows["sketch"].copy(), rows["sketch2"].copy()))], names=INDEX_NAMES)
 
     return map_batches(docs, work, "token bigint, row binary" if only is None else INDEX)
 
@@ -222,15 +225,28 @@ def passing(n, m, i, j, s, t, s2, t2) -> np.ndarray:
     return ok
 
 
-CANDIDATES = "token bigint, doc bigint, line int, size int, sketch bigint, to_doc bigint, to_line int, apart int, others int"
+CANDIDATES = "decided boolean, doc bigint, line int, tell bigint, to_doc bigint, to_line int, to_tell bigint, apart int, more boolean, token bigint"
 CANDIDATE_NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
+#: Pairs held at once while a group is compared; beyond, all but the nearest KEPT of each row are let go.
+HELD_PAIRS = 2_000_000
+
+
+def nearest(pairs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Of (row, other, bits apart), the KEPT nearest of each row."""
+    x, y, gap = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 3
+    order = np.lexsort((gap, x))
+    x, y, gap = x[order], y[order], gap[order]
+    first = np.searchsorted(x, x)
+    keep = np.arange(len(x)) - first < KEPT
+    return [(x[keep], y[keep], gap[keep])]
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """For each line and token, an earlier line with the least differing bits, and how many others pass.
+    """For each line and token, the earlier lines with the least differing bits, and whether there are more.
 
-    Rows come sorted by token. Within a group they are put in order of size, and rows of all groups are compared
-    with those 1, 2, ... places before them, as long as the length filter lets a row's distance grow."""
+    Rows come sorted by token. Of rows of a group with equal sizes and sketches the earliest is the others' candidate
+    and alone is compared further. Those are put in order of size, and rows of all groups are compared with
+    those 1, 2, ... places before them, as long as the length filter lets a row's distance grow."""
 
     def groups(batches):
         """(tokens, rows) of whole groups, GROUP_ROWS rows or one group at least."""
@@ -254,20 +270,41 @@ def candidates(rows: DataFrame) -> DataFrame:
         if held:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
+    def standing_for(token, rows):
+        """The row that stands for each: the earliest of equal size and sketch in the group."""
+        with np.errstate(over="ignore"):
+            same = mixed(token.view(np.uint64) * GOLDEN + tell_of(rows["sketch"].copy(), rows["sketch2"].copy()).view(np.uint64) + rows["size"].astype(np.uint64))
+        order = np.argsort(same)
+        run = np.cumsum(np.concatenate(([0], same[order][1:] != same[order][:-1])))
+        several = np.flatnonzero(np.bincount(run)[run] > 1)
+        out = np.arange(len(token))
+        if len(several):
+            at, run = order[several], run[several]
+            by = np.lexsort((rows["line"][at], rows["doc"][at], run))
+            at, run = at[by], run[by]
+            first = np.searchsorted(run, run)
+            out[at] = at[first]
+        return out
+
     def work(batches):
         for token, rows in groups(batches):
+            tell = tell_of(rows["sketch"].copy(), rows["sketch2"].copy())
             if token is None:  # lines already decided
-                none, zero = pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int32))
-                yield pa.RecordBatch.from_arrays([none, *(pa.array(rows[c].copy()) for c in ("doc", "line", "size", "sketch")), none, pa.nulls(len(rows), pa.int32()), zero, zero], names=CANDIDATE_NAMES)
+                none = lambda t: pa.nulls(len(rows), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), bool)), pa.array(rows["doc"].copy()), pa.array(rows["line"].copy()), pa.array(tell), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int32()), none(pa.bool_()), none(pa.int64())], names=CANDIDATE_NAMES)
                 continue
-            order = np.lexsort((rows["size"], token))
-            token, rows = token[order], rows[order]
-            doc, line, guest = rows["doc"].copy(), rows["line"].copy(), rows["guest"] != 0
-            n, i, s, s2 = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["sketch"].copy().view(np.uint64), rows["sketch2"].copy().view(np.uint64)
-            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
-            best, apart, others = np.full(len(token), -1), np.full(len(token), 1 << 20), np.zeros(len(token), np.int64)
-            active, lag = np.arange(len(token)), 0
+            stands = standing_for(token, rows)
+            own = np.arange(len(token))
+            copies = np.flatnonzero((stands != own) & (rows["guest"] == 0) & ((rows["doc"] != rows["doc"][stands]) | (rows["line"] != rows["line"][stands])))
+            alone = np.flatnonzero(stands == own)
+            alone = alone[np.lexsort((rows["size"][alone], token[alone]))]
+            key, part = token[alone], rows[alone]
+            doc, line, guest = part["doc"].copy(), part["line"].copy(), part["guest"] != 0
+            n, i, s, s2 = part["size"].astype(np.int64), part["place"].astype(np.int64), part["sketch"].copy().view(np.uint64), part["sketch2"].copy().view(np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+            counts, pairs, held = np.zeros(len(key), np.int64), [], 0
+            active, lag = np.arange(len(key)), 0
             while True:
                 lag += 1
                 active = active[place[active] >= lag]
@@ -279,15 +316,22 @@ def candidates(rows: DataFrame) -> DataFrame:
                 at, to = active[ok], back[ok]
                 ok = ~(guest[at] & guest[to]) & ((doc[at] != doc[to]) | (line[at] != line[to]))
                 at, to = at[ok], to[ok]
+                if not len(at):
+                    continue
                 gap = apart_of(s[at], s[to], s2[at], s2[to])
                 later = (doc[at] > doc[to]) | ((doc[at] == doc[to]) & (line[at] > line[to]))
-                for x, y, g in ((at[later], to[later], gap[later]), (to[~later], at[~later], gap[~later])):  # each row once in x
-                    others[x] += 1
-                    near = g < apart[x]
-                    best[x[near]], apart[x[near]] = y[near], g[near]
-            x = np.flatnonzero(best >= 0)
-            y = best[x]
-            yield pa.RecordBatch.from_arrays([pa.array(token[x]), pa.array(doc[x]), pa.array(line[x]), pa.array(n[x].astype(np.int32)), pa.array(s[x].view(np.int64)), pa.array(doc[y]), pa.array(line[y]), pa.array(apart[x].astype(np.int32)), pa.array((others[x] - 1).astype(np.int32))], names=CANDIDATE_NAMES)
+                x, y = np.where(later, at, to), np.where(later, to, at)
+                counts += np.bincount(x, minlength=len(counts))
+                pairs.append((x, y, gap))
+                held += len(x)
+                if held > HELD_PAIRS:
+                    pairs = nearest(pairs)
+                    held = len(pairs[0][0])
+            (x, y, gap) = nearest(pairs)[0]
+            more = counts[x] > KEPT
+            x, y = np.concatenate([alone[x], copies]), np.concatenate([alone[y], stands[copies]])
+            gap, more = np.concatenate([gap, np.zeros(len(copies), np.int64)]), np.concatenate([more, np.ones(len(copies), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), pa.array(rows["doc"][x]), pa.array(rows["line"][x]), pa.array(tell[x]), pa.array(rows["doc"][y]), pa.array(rows["line"][y]), pa.array(tell[y]), pa.array(gap.astype(np.int32)), pa.array(more), pa.array(token[x])], names=CANDIDATE_NAMES)
 
     return map_batches(rows, work, CANDIDATES)
 
@@ -297,8 +341,11 @@ def line_slots(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
         return (mixed(doc.view(np.uint64) * GOLDEN + line.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, line) of the pairs (doc, line, to_doc, to_line) whose lines match."""
+LINE, OTHER = ["doc", "line", "tell"], ["to_doc", "to_line", "to_tell"]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, line, tell) of the pairs (doc, line, tell, to_doc, to_line, to_tell) whose lines match."""
 
     def slots(batches):
         for b in batches:
@@ -319,10 +366,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 if o != last:
                     last, parts = o, (texts[o] or b"").split(b"\n")
                 found.append(parts[n])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(found, pa.binary())], names=["doc", "line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(tells(found)), pa.array(found, pa.binary())], names=[*LINE, "words"])
 
-    lines = staged(map_batches(docs, some, "doc bigint, line int, words binary"), "line-texts")
-    both = pairs.join(lines, ["doc", "line"]).join(lines.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_doc", "to_line"])
+    lines = scratch.staged(map_batches(docs, some, "doc bigint, line int, tell bigint, words binary"), "line-texts")
+    both = pairs.join(lines, LINE).join(lines.select(*[F.col(c).alias(f"to_{c}") for c in [*LINE, "words"]]), OTHER)
 
     def check(batches):
         for batch in batches:
@@ -330,70 +377,86 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for a, b in zip(batch.column("words").to_pylist(), batch.column("to_words").to_pylist(), strict=True):
                 a, b = set(a.lower().split()), set(b.lower().split())
                 keep.append(100 * len(a & b) >= PERCENT * len(a | b))
-            yield batch.select(["doc", "line"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(LINE).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(both.select("doc", "line", "words", "to_words"), check, "doc bigint, line int").distinct()
+    return map_batches(both.select(*LINE, "words", "to_words"), check, "doc bigint, line int, tell bigint").distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """(doc, line, sketch) of the lines that match an earlier one; docs has id and text."""
+    """(doc, line, tell) of the lines that match an earlier one, staged; docs has id and text."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     table = spark.sparkContext.broadcast(rarity(docs))
     # rows without a token are dealt by their document: one null key would gather them in a task
     rows = indexed(docs, table)
     rows = rows.repartition(F.coalesce("token", F.xxhash64("row"))).sortWithinPartitions("token")
-    found = staged(candidates(rows), "line-candidates")
-    equal = found.where("token is null").select("doc", "line", "sketch")
-    near = found.where("token is not null")
-    best = near.groupBy("doc", "line").agg(F.min(F.struct("apart", "to_doc", "to_line")).alias("b"), F.max(F.struct("to_doc", "to_line")).alias("u"), F.min(F.struct("to_doc", "to_line")).alias("v"), F.max("others").alias("others"), F.min("sketch").alias("sketch"))
-    best = staged(best.select("doc", "line", "b.to_doc", "b.to_line", "sketch", ((F.col("others") > 0) | (F.col("u") != F.col("v"))).alias("more")), "line-pairs")
-    sure = staged(verified(docs, best), "line-matches")
-    rest = staged(best.where("more").join(sure, ["doc", "line"], "left_anti").select("doc", "line"), "line-rest")
-    removed = best.select("doc", "line", "sketch").join(sure, ["doc", "line"], "left_semi")
-    if not rest.isEmpty():
-        tokens = near.join(rest, ["doc", "line"], "left_semi").select("token")
-
-        def slots(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(slots_of(np.asarray(b.column(0)).view(np.uint64)))], names=["slot"])
-
-        only = spark.sparkContext.broadcast(bitmap(map_batches(tokens, slots, "slot bigint"), FILTER_BITS))
-        part = staged(indexed(docs, table, only).where("token is not null"), "line-index")
-        x = part.join(rest, ["doc", "line"], "left_semi")
-        y = part.select("token", *[F.col(c).alias(f"to_{c}") for c in INDEX_NAMES[1:]])
-        need = F.ceil(PERCENT * (F.col("size") + F.col("to_size")) / (100 + PERCENT))
-        earlier = F.struct("to_doc", "to_line") < F.struct("doc", "line")
-        fits = (100 * F.least("size", "to_size") >= PERCENT * F.greatest("size", "to_size")) & (1 + F.least("place", "to_place") + F.least(F.col("size") - F.col("place") - 1, F.col("to_size") - F.col("to_place") - 1) >= need)
-        close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("to_sketch"))) + F.bit_count(F.col("sketch2").bitwiseXOR(F.col("to_sketch2"))) <= F.col("size") + F.col("to_size") - 2 * need
-        pairs = x.join(y, "token").where(earlier & ~(F.col("guest") & F.col("to_guest")) & fits & close).select("doc", "line", "to_doc", "to_line", "sketch").distinct()
-        pairs = staged(pairs.join(best.select("doc", "line", "to_doc", "to_line"), ["doc", "line", "to_doc", "to_line"], "left_anti"), "line-pairs")
-        removed = removed.unionByName(pairs.select("doc", "line", "sketch").distinct().join(verified(docs, pairs), ["doc", "line"], "left_semi"))
-    return removed.unionByName(equal).distinct()
+    found = scratch.staged(candidates(rows), "line-candidates")
+    equal = found.where("decided").select(*LINE)
+    near = found.where("not decided")
+    to = F.struct(*OTHER)
+    best = near.groupBy(*LINE).agg(F.min(F.struct("apart", *OTHER)).alias("b"), (F.max(to) != F.min(to)).alias("several"), F.max("more").alias("more"))
+    best = scratch.staged(best.select(*LINE, *[F.col(f"b.{c}") for c in OTHER], "several", "more"), "line-pairs")
+    sure = scratch.staged(verified(docs, best, scratch), "line-matches")
+    removed = equal.unionByName(sure)
+    left = scratch.staged(best.where("several or more").join(sure, LINE, "left_anti"), "line-left")
+    if not left.isEmpty():
+        # all that are listed, of these lines
+        listed = near.join(left.select(*LINE), LINE, "left_semi").select(*LINE, *OTHER).distinct()
+        listed = scratch.staged(listed.join(left.select(*LINE, *OTHER), [*LINE, *OTHER], "left_anti"), "line-pairs")
+        second = scratch.staged(verified(docs, listed, scratch), "line-matches")
+        removed = removed.unionByName(second)
+        rest = scratch.staged(left.where("more").select(*LINE).join(second, LINE, "left_anti"), "line-rest")
+        if not rest.isEmpty():
+            tested = left.select(*LINE, *OTHER).unionByName(listed)
+            removed = removed.unionByName(verified(docs, remaining(docs, table, near, rest, tested, scratch), scratch))
+    out = staged(removed.distinct(), "line-removed")
+    scratch.drop()
+    return out
+
+
+def remaining(docs: DataFrame, table, near: DataFrame, rest: DataFrame, tested: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs of the lines in rest that pass the filters and were not tested."""
+
+    def slots(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(np.asarray(b.column(0)).view(np.uint64)))], names=["slot"])
+
+    tokens = near.where("more").join(rest, LINE, "left_semi").select("token")
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(map_batches(tokens, slots, "slot bigint"), FILTER_BITS))
+    part = scratch.staged(indexed(docs, table, only).where("token is not null"), "line-index")
+    x = part.join(rest, LINE, "left_semi")
+    y = part.select("token", *[F.col(c).alias(f"to_{c}") for c in INDEX_NAMES[1:]])
+    need = F.ceil(PERCENT * (F.col("size") + F.col("to_size")) / (100 + PERCENT))
+    earlier = F.struct("to_doc", "to_line") < F.struct("doc", "line")
+    fits = (100 * F.least("size", "to_size") >= PERCENT * F.greatest("size", "to_size")) & (1 + F.least("place", "to_place") + F.least(F.col("size") - F.col("place") - 1, F.col("to_size") - F.col("to_place") - 1) >= need)
+    close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("to_sketch"))) + F.bit_count(F.col("sketch2").bitwiseXOR(F.col("to_sketch2"))) <= F.col("size") + F.col("to_size") - 2 * need
+    pairs = x.join(y, "token").where(earlier & ~(F.col("guest") & F.col("to_guest")) & fits & close).select(*LINE, *OTHER).distinct()
+    return scratch.staged(pairs.join(tested, [*LINE, *OTHER], "left_anti"), "line-pairs")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col without its removed lines, and n_lines, n_removed (lines) and removed_share (of its words)."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    removed = later_matches(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")))
-    removed = staged(removed, "line-removed")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    removed = later_matches(docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
     slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(removed.select(slot("doc")), FILTER_BITS))
-    kept = docs.withColumns({"__key": key, "__slot": slot(key)})
+    key_name, slot_name, list_name = (free_name(docs, n) for n in ("__key", "__slot", "__removed"))
+    kept = docs.withColumns({key_name: key, slot_name: slot(key)})
 
     def part(hit: bool):
         """Documents that may have removed lines, which are joined with them, and the others, which are not moved."""
 
         def pick(batches):
             for batch in batches:
-                at = np.asarray(batch.column("__slot")).astype(np.int64)
+                at = np.asarray(batch.column(slot_name)).astype(np.int64)
                 yield batch.filter(pa.array(in_bitmap(wanted.value, at) == hit))
 
         return map_batches(kept, pick, kept.schema)
 
-    lists = removed.groupBy("doc").agg(F.collect_list(F.struct("line", "sketch")).alias("__removed"))
+    lists = removed.groupBy(F.col("doc").alias(key_name)).agg(F.collect_list(F.struct("line", "tell")).alias(list_name))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = part(True).join(lists, F.col("__key") == F.col("doc"), "left").select(*own, "__removed")
-    joined = joined.unionByName(part(False).select(*own, F.lit(None).cast(lists.schema["__removed"].dataType).alias("__removed")))
+    joined = part(True).join(lists, key_name, "left").select(*own, list_name)
+    joined = joined.unionByName(part(False).select(*own, F.lit(None).cast(lists.schema[list_name].dataType).alias(list_name)))
     extra = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("removed_share", T.DoubleType())]
     schema = extended(docs, extra)
 
@@ -401,8 +464,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in chunks(batches, text_col):
             raw = as_bytes(batch.column(text_col))
             split = [t.split(b"\n") if t else [] for t in raw]
-            told = [(i, r["line"], r["sketch"]) for i, rs in enumerate(batch.column("__removed").to_pylist()) for r in rs or [] if r["line"] < len(split[i])]
-            own = first_sketches([split[i][n] for i, n, _ in told])
+            told = [(i, r["line"], r["tell"]) for i, rs in enumerate(batch.column(list_name).to_pylist()) for r in rs or [] if r["line"] < len(split[i])]
+            own = tells([split[i][n] for i, n, _ in told])
             out: list[set[int]] = [set() for _ in raw]
             for (i, n, want), got in zip(told, own.tolist(), strict=True):
                 if got == want:
@@ -410,7 +473,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [b"\n".join(x for n, x in enumerate(p) if n not in o) if o else t for t, p, o in zip(raw, split, out, strict=True)]
             counts, gone = [len(p) for p in split], [len(o) for o in out]
             share = [sum(len(p[n].split()) for n in o) / max(1, sum(len(x.split()) for x in p)) if o else 0.0 for p, o in zip(split, out, strict=True)]
-            names = [n for n in batch.schema.names if n != "__removed"]
+            names = [n for n in batch.schema.names if n != list_name]
             changed = pa.array(texts, pa.binary()).cast(pa.string())
             columns = {n: changed if n == text_col else batch.column(n) for n in names}
             yield with_columns(pa.RecordBatch.from_arrays(list(columns.values()), names=names), {"n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_share": pa.array(share, pa.float64())})
@@ -430,9 +493,9 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
         kept = []
         for line in (text or "").encode().split(b"\n"):
             w = set(line.lower().split())
-            if len(w) < MIN_TOKENS or not any(100 * len(w & b) >= PERCENT * len(w | b) for b in before if 100 * min(len(w), len(b)) >= PERCENT * max(len(w), len(b))):
+            if not w or not any(100 * len(w & b) >= PERCENT * len(w | b) for b in before if 100 * min(len(w), len(b)) >= PERCENT * max(len(w), len(b))):
                 kept.append(line)
-            if len(w) >= MIN_TOKENS:
+            if w:
                 before.append(w)
         out[i] = text if text is None else b"\n".join(kept).decode()
     return out

@@ -69,10 +69,37 @@ def test_line_dedup_cases(spark, odd):
     rows = {r["doc_id"]: r for r in out.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
     assert out.count() == odd.count()
     assert rows[0]["text"] is None and rows[1]["text"] == ""
-    assert rows[4]["text"] == "" and rows[7]["text"] == "short line"  # the null id comes first
+    assert rows[4]["text"] == "" and rows[7]["text"] == "short line" and rows[14]["text"] == ""  # the null id comes first
     assert line_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines under 5 words: equality, and 4 of 5 words."""
+    rows = [(0, "a\nb c d e\nf g"), (1, "A\nb c d e x\nf h"), (2, "g f\nb c d\n\n a "), (3, "f h k")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == line_dedup.brute_force(rows) == {0: "a\nb c d e\nf g", 1: "f h", 2: "b c d\n", 3: "f h k"}
+
+
+def test_line_dedup_rows_of_one_id(spark):
+    """Two rows of one id whose lines of one number are near copies of different lines: both go, a third row stays."""
+    one, two = BASE[:10], [w + "x" for w in BASE[:10]]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (5, " ".join([*one, "n"])), (5, " ".join([*two, "n"])), (5, "something else of its own"), (5, None)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == [(1, rows[0][1]), (2, rows[1][1]), (5, ""), (5, ""), (5, ""), (5, rows[4][1])]
+
+
+def test_line_dedup_many_copies_and_partitions(spark):
+    """Copies and near copies dealt over partitions, in no order; columns with names that the operator uses itself."""
+    rng = random.Random(9)
+    rows = [(i, f"{' '.join(BASE)}\nown{i} words{i}\n{' '.join([*BASE[: rng.randrange(14, 20)], f'v{i % 7}'])}") for i in range(150)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    frame = frame.select("*", *[F.lit(1).alias(c) for c in ("doc", "__removed", "__key", "__slot", "tell", "line", "n_lines")])
+    out = line_dedup.deduplicated(frame)
+    assert set(frame.columns) <= set(out.columns) and out.where("doc = 1 and __removed = 1 and line = 1").count() == 150
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == line_dedup.brute_force(rows)
+
+
 # ---- n-gram join
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
