@@ -15,8 +15,9 @@ Documents that share a key, pass the length and position bounds and are not know
 one component are verified on their whole texts. A key's group is never expanded into all its
 pairs at once: first all members are paired with the group's most central document (the one
 with the largest part of frequent shingles) and with the smallest id, the links found are
-turned into components, and only pairs across components remain for the last round. Equal
-sets are one class from the start.
+turned into components, and only pairs across components remain for the last round. There a
+512-bit parity sketch of each set bounds the shingles that differ from below, which tells most pairs
+of a dense group that are just not alike enough. Equal sets are one class from the start.
 
 Rare shingles known to be in several documents (of a sample of twice each prefix) come after the
 others. The frequent class comes from a table of fixed size (2 ** TABLE_BITS slots) filled with what
@@ -24,8 +25,9 @@ blocks of documents hold at least twice; keys that one document alone has are dr
 bit filter of fixed size. Both change the cost only, as any global order is valid.
 
 Defined cases: texts that are null or without words have the empty set and link with nothing;
-texts of fewer than k words are one shingle; null ids order first; rows that repeat an id are
-one node; an empty table gives an empty result.
+texts of fewer than k words are one shingle; texts of any length are taken whole; equal texts are
+one component; null ids order first; rows that repeat an id are one node, whatever their texts, in
+any order; an empty table gives an empty result; `deduplicated` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, MOST_ROWS, Words, bitmap, byte_table, chunks, components, in_bitmap, map_batches, mixed, read, staged
+from gleanery.llm.common import GOLDEN, MOST_ROWS, Scratch, Words, bitmap, byte_table, chunks, components, free_name, in_bitmap, map_batches, mixed, read, staged
 
 #: Words of a shingle and percent of similarity: the contract's, and the default of stages.
 K, PERCENT = 4, 85
 STAGE_K, STAGE_PERCENT = 5, 80
 TABLE_BITS, FILTER_BITS, COMMON_BITS, SAMPLED, BLOCK_SHINGLES, COMBINED = 24, 25, 27, 2, 2_000_000, 12
 NO_ID = -(1 << 63)
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = [f"s{i}" for i in range(8)]
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -92,8 +96,19 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
         return int(s.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs for each set: each shingle flips one bit, so bits that differ are never more than shingles that do."""
+    bits = 64 * len(SKETCH)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64) if sets else np.empty(0, np.int64)
+    odd = np.bincount(owner * bits + at, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), bits), axis=1).view(np.int64)
+
+
 def scan(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document (id, n, k1, k2: 128 bits that tell its set) and rows (slot, times) of locally repeated shingles."""
+    """A row per document (id, n, k1, k2: 128 bits that tell its set, SKETCH) and rows (slot, times) of locally repeated shingles."""
+
+    names = ["id", "n", "k1", "k2", "slot", "times", *SKETCH]
 
     def work(batches):
         held, size = [], 0
@@ -103,13 +118,13 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
             often = count > 1
             slots = (values[often] >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
             none = pa.nulls(len(slots), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slots), pa.array(count[often])], names=["id", "n", "k1", "k2", "slot", "times"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slots), pa.array(count[often]), *[none] * len(SKETCH)], names=names)
 
         for batch in chunks(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
             keys = [set_key(s) for s in sets]
             rows = [batch.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names=["id", "n", "k1", "k2", "slot", "times"])
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64()), *map(pa.array, np.ascontiguousarray(sketches(sets).T))], names=names)
             seen = {}
             held += [seen.setdefault(x, s) for x, s in zip(keys, sets, strict=True) if x not in seen]
             size = sum(map(len, held))
@@ -119,7 +134,7 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return map_batches(docs, work, "id bigint, n bigint, k1 bigint, k2 bigint, slot int, times bigint")
+    return map_batches(docs, work, "id bigint, n bigint, k1 bigint, k2 bigint, slot int, times bigint, " + ", ".join(f"{c} bigint" for c in SKETCH))
 
 
 def class_table(scanned: DataFrame) -> np.ndarray:
@@ -246,9 +261,10 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for each row of docs; component is the smallest id that links reach."""
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(spark)
+    source = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     scanned = staged(scan(source, k), "ngram-scan")
-    sets = scanned.where("slot is null").select("id", "n", "k1", "k2")
+    sets = scanned.where("slot is null").drop("slot", "times")
     table = spark.sparkContext.broadcast(class_table(scanned))
     heads = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head"))
     same = sets.where("n > 0").join(heads, ["k1", "k2"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
@@ -256,7 +272,7 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     common = spark.sparkContext.broadcast(bitmap(several.select(F.shiftrightunsigned("key", 64 - COMMON_BITS)), COMMON_BITS))
     shared = keyed(source, table, common, k, percent).groupBy("key").count().where("count > 1")
     alone = spark.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("key", 64 - FILTER_BITS)), FILTER_BITS))
-    index = staged(keyed(source, table, common, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
+    index = scratch.staged(keyed(source, table, common, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
 
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -269,30 +285,36 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     leaders = index.groupBy("key").agg(F.count("*").alias("members"), F.max(member).alias("c"), F.min(F.struct("id", "n", "most", "last", "wide")).alias("l")).where("members > 1")
     met = index.join(leaders, "key")
     kept = lambda s: met.where((F.col("id") != F.col(f"{s}.id")) & may_link("n", "most", "last", "wide", f"{s}.n", f"{s}.most", f"{s}.last", f"{s}.wide")).select(F.greatest("id", f"{s}.id").alias("a"), F.least("id", f"{s}.id").alias("b"))
-    stars = staged(kept("c").unionByName(kept("l")).distinct(), "ngram-pairs")
-    links = staged(verified(source, stars, k, percent), "ngram-links")
+    stars = scratch.staged(kept("c").unionByName(kept("l")).distinct(), "ngram-pairs")
+    links = scratch.staged(verified(source, stars, k, percent), "ngram-links")
 
-    found = staged(components(spark, links), "ngram-components")
+    found = scratch.staged(components(spark, links), "ngram-components")
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = staged(grouped.join(open_keys, "key", "left_semi"), "ngram-rest")
-    cols = ("key", "id", "n", "place", "before", "kind", "wide", "most", "last", "component")
+    # the sketch of an id with one row; rows that repeat an id do without
+    known = sets.groupBy("id").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in SKETCH]).where("rows = 1").drop("rows")
+    rest = scratch.staged(grouped.join(open_keys, "key", "left_semi").join(known, "id", "left"), "ngram-rest")
+    cols = ("key", "id", "n", "place", "before", "kind", "wide", "most", "last", "component", *SKETCH)
     x, y = rest.select(*cols), rest.select("key", *[F.col(c).alias(f"{c}_y") for c in cols[1:]])
     # what stands ahead of the key in both, the key, and what follows it
     bound = F.least("before", "before_y") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_y") - F.col("place_y") - 1)
-    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y"))))
-    across = staged(across.select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}_y"))))
+    close = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_y")), F.lit(True))
+    across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y"))) & close)
+    across = scratch.staged(across.select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
     more = verified(source, across, k, percent)
 
     final = components(spark, links.unionByName(more).unionByName(same))
+    scratch.drop()
     return sets.join(final.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
 def deduplicated(docs: DataFrame, k: int = STAGE_K, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Unlinked documents stay."""
-    spare = join_components(docs, k, percent, id_col, text_col).where("component <> id").select(F.col("id").alias("__spare")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.join(spare, key == F.col("__spare"), "left_anti")
+    name = free_name(docs, "__spare")
+    spare = join_components(docs, k, percent, id_col, text_col).where("component <> id").select(F.col("id").alias(name)).distinct()
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    return docs.join(spare, key == F.col(name), "left_anti")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
