@@ -5,14 +5,18 @@ transitions between the labels of neighbouring words are learned. Forward-backwa
 every word its posterior over languages, so code-switched text is labelled word by word;
 a document gets the language with the largest share of the posterior mass of its words.
 
-Fitting uses a bounded sample of labelled rows, as documented by `TRAIN_DOCS` and
-`TRAIN_CHARS`: the rows first in the order of a hash of their id. Labels of documents
-are taken for their words; pieces of different documents are joined in part of the
-training sequences, so that the transitions see switches. Prediction covers every word
-of every whole text; a sequence is a piece of a line of at most `PIECE` words.
+Fitting uses a bounded sample of labelled rows: the `TRAIN_DOCS` rows first in the order of
+a hash of their id, and of each text `TRAIN_PIECES` pieces of `PIECE_WORDS` words that lie evenly
+over the whole of it. Labels of documents are taken for their words; pieces of different
+documents are joined in part of the training sequences, so that the transitions see switches.
+Prediction covers every word of every whole text; a sequence is a line. Lines of over `PIECE`
+words are run in parts that overlap by `OVERLAP` words on either side, whose posteriors come
+from the part in which they lie further inside.
 
 Defined cases: `und` with score 0 where the text is null or has no letter, or where no
-labelled row exists; ties go to the smaller language; repeated rows are each labelled.
+labelled row exists; ties go to the smaller language; texts of any length are taken whole;
+repeated rows are each labelled; an empty table gives an empty result; other columns are kept,
+whatever their names, but lang_pred, lang_score and lang_segments are replaced.
 """
 
 from __future__ import annotations
@@ -28,14 +32,12 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import GOLDEN, as_bytes, chunks, extended, map_batches, mixed, read, with_columns
 
-TRAIN_DOCS, TRAIN_CHARS = 2_000, 600
-DIM, PIECE, ROUNDS = 1 << 16, 128, 20
+TRAIN_DOCS, TRAIN_PIECES, PIECE_WORDS = 2_000, 5, 20
+DIM, PIECE, OVERLAP, ROUNDS = 1 << 16, 256, 32, 20
 CACHE_WORDS, TEXT_BYTES = 150_000, 1 << 20
 #: Documents below this score are rejected by the pipeline.
 KEEP_SCORE = 0.5
 LETTERLESS = re.compile(r"[^\w\n]+|[\d_]+")
-#: Scores of a word are held within this, so that a huge word does not outweigh a text.
-CLIP = 12.0
 
 
 def slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def scored(weights: np.ndarray, words: list[str]) -> np.ndarray:
     if not words:
         return np.zeros((0, weights.shape[1]), np.float32)
     flat, owner = slots(words)
-    return np.clip(np.stack([np.bincount(owner, weights[flat, y], len(words)) for y in range(weights.shape[1])], axis=1), -CLIP, CLIP)
+    return np.stack([np.bincount(owner, weights[flat, y], len(words)) for y in range(weights.shape[1])], axis=1)
 
 
 def forward_backward(emission: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -108,7 +110,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
     rng, pieces = np.random.default_rng(seed), []
     for lang, text in rows:
         words = text.lower().split()
-        pieces += [(labels.index(lang), words[i : i + 20]) for i in range(0, len(words), 20)]
+        pieces += [(labels.index(lang), words[i : i + PIECE_WORDS]) for i in range(0, len(words), PIECE_WORDS)]
     pieces = [pieces[i] for i in rng.permutation(len(pieces))]
     vocabulary: dict[str, int] = {}
     words = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, p in pieces for w in p], np.int64)
@@ -142,15 +144,30 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded sample: TRAIN_DOCS rows of TRAIN_CHARS code points, first by a hash of the id."""
-    picked = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).withColumn("h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    """The bounded sample: TRAIN_DOCS rows, first by a hash of the id, each with pieces from all over its text."""
+    picked = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
     last = [r[0] for r in picked.select("h").orderBy("h").limit(TRAIN_DOCS).collect()][-1:]  # the texts of the picked rows alone are read then
     if not last:
         return []
-    rows = picked.where(F.col("h") <= last[0]).select("h", F.col(lang_col).cast("string").alias("l"), F.substring(text_col, 1, TRAIN_CHARS).alias("t"))
+    words = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    room = F.size("w") - PIECE_WORDS
+    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda i: F.array_join(F.slice("w", F.floor(i * room / (TRAIN_PIECES - 1)).cast("int") + 1, PIECE_WORDS), " "))
+    whole = F.size("w") <= TRAIN_PIECES * PIECE_WORDS
+    rows = picked.where(F.col("h") <= last[0]).withColumn("w", words).select("h", "l", F.when(whole, F.array_join("w", " ")).otherwise(F.array_join(spread, " ")).alias("t"))
     return [(r["l"], r["t"]) for r in rows.orderBy("h", "l", "t").limit(TRAIN_DOCS).collect()]
 
 
+def parts_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences that lie one after another: the parts' bounds with their overlaps, and without."""
+    ends = np.cumsum(sizes)
+    counts = -(-sizes // PIECE)
+    line = np.repeat(np.arange(len(sizes)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = (ends - sizes)[line] + place * PIECE
+    last = np.minimum(first + PIECE, ends[line])
+    return np.maximum(first - OVERLAP, (ends - sizes)[line]), np.minimum(last + OVERLAP, ends[line]), first, last
+
+
 class Labeller:
     """Posteriors for texts; emission scores of words are kept for a bounded number of words."""
 
@@ -185,18 +202,22 @@ class Labeller:
         """Posteriors of all words of all texts, whether a word has a letter, and each word's text."""
         words: list[str] = []
         sizes, owner = [], []
-        for i, text in enumerate(texts):
+        for text in texts:
             before = len(words)
             for line in text.lower().split("\n"):
                 if line := line.split():
                     words += line
-                    sizes += [PIECE] * (len(line) // PIECE) + [len(line) % PIECE] * bool(len(line) % PIECE)
+                    sizes.append(len(line))
             owner.append(len(words) - before)
-        sizes = np.array(sizes, np.int64)
         at = self.lookup(words)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        gamma, _, _ = forward_backward(self.rows[at].astype(np.float64), starts, sizes, self.model["trans"], self.model["init"])
-        return gamma, self.letters[at], np.repeat(np.arange(len(texts)), owner)
+        low, high, first, last = parts_of(np.array(sizes, np.int64))
+        n = high - low
+        starts = np.cumsum(n) - n
+        # the words of all parts, part after part, and which of them are the part's own
+        run = np.arange(n.sum()) - np.repeat(starts - low, n)
+        own = (run >= np.repeat(first, n)) & (run < np.repeat(last, n))
+        gamma, _, _ = forward_backward(self.rows[at[run]].astype(np.float64), starts, n, self.model["trans"], self.model["init"])
+        return gamma[own], self.letters[at], np.repeat(np.arange(len(texts)), owner)
 
 
 #: The labeller of the model last used in this Python worker, so that tasks share its words.
