@@ -9,12 +9,16 @@ Defined cases: a null or empty text has no k-grams and an empty fingerprint; a t
 shorter than k is one gram; with fewer than w hashes, they make one window. Texts are
 processed in blocks that overlap, so a very long one needs bounded memory, with the
 same result. Likeness is the Jaccard index of the kept hashes, 1.0 for two empty sets.
-Documents of one id follow each other by text; null ids come first.
+Documents of one id follow each other by a hash of their text; null ids come first. Equal
+rows are alike in all results. An empty table gives an empty result; `fingerprints` keeps other
+columns, whatever their names, but fp_hashes and fp_positions are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,33 +116,60 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = K, w: int = W
     return map_batches(docs, add, schema)
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows dealt by ranges of ids (nx_part), each range ordered and followed by the row after it (nx_look).
+def with_next(docs: DataFrame, id_col: str, text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """(doc_id, text) dealt by ranges of ids (nx_part), each range ordered and followed by the row after it (nx_look).
 
-    Ranges end at ids found by percentiles, so no task holds the whole order; the row
-    that starts a range is also sent to the range before it, the first one to the last.
-    """
+    The order is by id, a hash of the text, and the text. Ranges end at ids found by percentiles; an id that several
+    percentiles meet, as it has very many rows, is split by ranges of the hash. So no task holds the whole order or one
+    id. The rows that start a range are also sent to the range before it, those of the first one to the last. Bounds
+    are looked up in blocks, so a row is compared with about twice the square root of their number."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(*columns, key.alias("nx_key"))
+    least = -(1 << 63)
+    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(least)).alias("nx_key"))
     cuts, first = keyed.agg(F.percentile_approx("nx_key", [i / n for i in range(1, n)] or [1.0], 100_000), F.min("nx_key")).first()
-    cuts = sorted({c for c in (cuts or []) if c != first}) if n > 1 else []
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("nx_key")))
+    counted = Counter(cuts or []) if n > 1 else Counter()
+    hot = {k: c for k, c in counted.items() if c > 1}
+    mark = F.when(F.col("nx_key").isin(*hot), F.xxhash64("text")).otherwise(F.lit(least)) if hot else F.lit(least).cast("long")
+    keyed = keyed.withColumn("nx_mark", mark)
+    bounds = [(k, least) for k in counted if k not in hot and k != first]
+    if hot:
+        # the least hash at or after each even step of a hot id's rows: a bound that exists
+        steps = [(k, least + ((1 << 64) * i) // (c + 1)) for k, c in hot.items() for i in range(c + 1)]
+        found = [F.min(F.when((F.col("nx_key") == k) & (F.col("nx_mark") >= m), F.col("nx_mark"))) for k, m in steps]
+        marks = keyed.where(F.col("nx_key").isin(*hot)).agg(*[x.alias(f"m{i}") for i, x in enumerate(found)]).first()
+        bounds += [(k, m) for (k, _), m in zip(steps, marks, strict=True) if m is not None]
+        start = min((m for (k, _), m in zip(steps, marks, strict=True) if k == first and m is not None), default=least)
+        bounds = [x for x in bounds if x != (first, start)]
+    else:
+        start = least
+    bounds = sorted(set(bounds))
+    me = F.struct("nx_key", "nx_mark")
+    pair = "struct<nx_key:bigint,nx_mark:bigint>"
+    literal = lambda rows: F.array(*[F.struct(F.lit(k).cast("long").alias("nx_key"), F.lit(m).cast("long").alias("nx_mark")) for k, m in rows]) if rows else F.array().cast(f"array<{pair}>")
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    before = F.size(F.filter(literal([x[0] for x in blocks]), lambda b: b <= me))
+    inner = F.try_element_at(F.array(*map(literal, blocks)), F.greatest(before, F.lit(1))) if blocks else literal([])
+    dealt = keyed.withColumn("nx_block", before).withColumn("nx_inner", F.when(before > 0, inner).otherwise(literal([])))
+    part = F.when(F.col("nx_block") == 0, 0).otherwise((F.col("nx_block") - 1) * step + F.size(F.filter("nx_inner", lambda b: b <= me)))
     row = lambda p, look: F.struct(p.cast("int").alias("nx_part"), F.lit(look).alias("nx_look"))
     nothing = F.array().cast("array<struct<nx_part:int,nx_look:boolean>>")
-    ahead = F.when(F.array_contains(bounds, F.col("nx_key")), F.array(row(part - 1, True))).otherwise(nothing)
-    wrap = F.when(F.col("nx_key") == F.lit(first), F.array(row(F.lit(len(cuts)), True))).otherwise(nothing)
-    dealt = keyed.withColumn("nx_to", F.explode(F.concat(F.array(row(part, False)), ahead, wrap))).select("nx_to.nx_part", "nx_to.nx_look", "nx_key", *columns)
-    return dealt.repartitionById(len(cuts) + 1, "nx_part").sortWithinPartitions("nx_part", "nx_look", "nx_key", *[c for c in columns if c != id_col])
+    ahead = F.when(F.array_contains("nx_inner", me), F.array(row(part - 1, True))).otherwise(nothing)
+    wrap = F.when((F.col("nx_key") == F.lit(first)) & (F.col("nx_mark") == F.lit(start)), F.array(row(F.lit(len(bounds)), True))).otherwise(nothing)
+    dealt = dealt.withColumn("nx_to", F.explode(F.concat(F.array(row(part, False)), ahead, wrap))).select("nx_to.nx_part", "nx_to.nx_look", "nx_key", "nx_mark", "doc_id", "text")
+    # rows of an id that is not split are ordered by the hash as well
+    ordered = dealt.withColumn("nx_mark", F.when(F.col("nx_mark") == least, F.xxhash64("text")).otherwise(F.col("nx_mark")))
+    return ordered.repartitionById(len(bounds) + 1, "nx_part").sortWithinPartitions("nx_part", "nx_look", "nx_key", "nx_mark", "text")
 
 
-OP5_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept bigint"
+OP5_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept bigint, positions array<bigint>"
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """For each document the fingerprints of its text and of the text edited with its successor's start."""
+    """For each document the fingerprints of its text and of the text edited with its successor's start.
+
+    positions are those of the text's kept k-grams, in code points: a match of fingerprints can be found by them."""
 
     def compare(batches):
         prev = None  # (id, text, hashes) still without its successor
@@ -149,19 +180,19 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 if look and prev is None:
                     continue
                 text = (raw or b"").decode("utf-8", "replace")
-                own = winnow(text)[0]
+                own, places = winnow(text)
                 if prev is not None:
-                    p_id, p_text, p_own = prev
+                    p_id, p_text, p_own, p_places = prev
                     half = len(p_text) // 2
                     edited = p_text[: len(p_text) - half] + text[:half]
                     e_own = p_own if edited == p_text else winnow(edited)[0]
-                    rows.append((p_id, len(p_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_of(p_own), fingerprint_of(e_own), likeness(p_own, e_own), likeness(p_own, own), len(p_own)))
-                prev = None if look else (doc_id, text, own)
+                    rows.append((p_id, len(p_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_of(p_own), fingerprint_of(e_own), likeness(p_own, e_own), likeness(p_own, own), len(p_own), p_places))
+                prev = None if look else (doc_id, text, own, places)
             if rows:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_kept"])
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_kept", "positions"])
 
-    return map_batches(with_next(docs, "doc_id", ["doc_id", "text"]), compare, OP5_SCHEMA)
+    return map_batches(with_next(docs, "doc_id"), compare, OP5_SCHEMA)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
