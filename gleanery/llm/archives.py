@@ -9,11 +9,13 @@ version, mandatory headers, lengths and digests.
 
 Of records with equal payloads of at least `MIN_REVISIT` bytes, the one with the smallest
 page id is a response and the others are revisits of it; smaller payloads are always
-responses. Defined cases: a null payload is empty; a null id sorts after all others and is
+responses. Of equal ids with equal payloads none is told apart. Defined cases: a null payload is empty; a null id sorts after all others and is
 read back as null; a null url has no target header; rows that repeat an id and its payload
 are records of the same kind; an empty table makes archives without records. What does not
 validate is returned with `error` set and no payload, and reading goes on behind it where
-the frame's end is known.
+the frame's end is known. Other columns of the pages, whatever their names, are not written. A
+page of any length is written whole and held whole by a task, and so is an archive, which
+aims at FILE_BYTES of payload and exceeds it by a page at most.
 """
 
 from __future__ import annotations

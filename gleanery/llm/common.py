@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -123,6 +124,12 @@ def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.Record
 BATCH_ROWS = 1_000
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files of finished steps stay until the driver collects its garbage: let it do so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with small batches; a worker gives its memory back after each task, as idle workers stay alive."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -201,9 +208,12 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
 RANGES = 16
 
 
-def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the slot numbers in column 0 (below 2 ** bits). Executors fill ranges of it; the driver gets 2 ** (bits - 3) bytes, whatever the rows."""
-    return filled(slots.select(F.col(slots.columns[0]).cast("long").alias("slot"), F.lit(1).alias("value")), bits, True)
+def bitmap(slots: DataFrame, bits: int, distinct: bool = True) -> np.ndarray:
+    """Packed bits of the slot numbers in column 0 (below 2 ** bits). Executors fill ranges of it; the driver gets 2 ** (bits - 3) bytes, whatever the rows.
+
+    distinct: take equal slots together first, as one may be very frequent."""
+    rows = slots.select(F.col(slots.columns[0]).cast("long").alias("slot"), F.lit(1).alias("value"))
+    return filled(rows.distinct() if distinct else rows, bits, True)
 
 
 def byte_table(rows: DataFrame, bits: int) -> np.ndarray:
@@ -225,10 +235,9 @@ def filled(rows: DataFrame, bits: int, pack: bool) -> np.ndarray:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([(np.packbits(p) if pack else p).tobytes() for p in parts.values()], pa.binary())], names=["range", "bytes"])
 
-    each = rows.distinct() if pack else rows
     whole = np.zeros((1 << bits) >> (3 if pack else 0), np.uint8)
     step = len(whole) // RANGES
-    for r in map_batches(each.repartition(RANGES, F.floor(F.col("slot") / size)), fill, "range bigint, bytes binary").collect():  # RANGES rows
+    for r in map_batches(rows.repartition(RANGES, F.floor(F.col("slot") / size)), fill, "range bigint, bytes binary").collect():  # RANGES rows
         whole[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(r["bytes"], np.uint8)
     return whole
 
@@ -257,9 +266,9 @@ class Words:
     """The white-space-separated words of a column of texts as arrays, without an object per word.
 
     h: 64-bit hashes of the lower-cased (A-Z) words; owner: the text of each word; start: its first byte in data;
-    bounds: where each text starts, and where the last ends."""
+    bounds: where each text starts, and where the last ends. values: what each byte adds to its word, 0 between words."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, values: np.ndarray = BYTE_VALUES):
         import pyarrow.compute as pc
 
         if column.null_count:
@@ -272,7 +281,7 @@ class Words:
         n = len(self.data)
         self.h, self.start = np.empty(0, np.uint64), np.empty(0, np.int64)
         if n:
-            value = BYTE_VALUES[self.data]
+            value = values[self.data]
             inside = value != 0
             begins = inside.copy()
             begins[1:] &= ~inside[:-1]
@@ -285,9 +294,10 @@ class Words:
                 # a word's sum ends where the next word starts, as white space adds nothing
                 before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
                 self.h = mixed((np.append(before[1:], total[-1]) - before) * down[self.start]) if len(self.start) else self.h
-        self.owner = np.searchsorted(self.bounds[1:], self.start, side="right")
+        self.owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(np.searchsorted(self.start, self.bounds)))
 
     def lines(self) -> np.ndarray:
         """The line (from 0) of its text that each word is in."""
         breaks = np.flatnonzero(self.data == 10)
-        return np.searchsorted(breaks, self.start) - np.searchsorted(breaks, self.bounds[:-1])[self.owner]
+        after = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(self.start, breaks), prepend=0, append=len(self.start)))
+        return after - np.searchsorted(breaks, self.bounds[:-1])[self.owner]

@@ -12,7 +12,9 @@ pages of many layouts with known article text. Every page is parsed and decoded
 Defined cases: a null or empty page has the empty text; markup that is not closed ends with
 its parent; an unknown element is inline unless its name has a hyphen; character references
 are decoded once; white space in a run becomes one space (a line break in a run too); repeated
-pages are each extracted; other columns are kept by `extract`.
+pages are each extracted; pages of any length are parsed whole; of equally probable labellings the
+one that keeps less is taken; an empty table gives an empty result; `extract` keeps other columns,
+whatever their names, but text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -475,9 +477,15 @@ def fit(sources: list[str] | None = None) -> Extractor:
     return Extractor(names, Boosted(features(pages, names), y))
 
 
+@lru_cache(maxsize=1)
+def fitted() -> Extractor:
+    """The extractor of the seeded training pages, which is fitted once for each driver."""
+    return fit()
+
+
 def extract(pages: DataFrame, extractor: Extractor | None = None, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with text_col, the article's text, and n_chars, its code points."""
-    shared = pages.sparkSession.sparkContext.broadcast(extractor or fit())
+    shared = pages.sparkSession.sparkContext.broadcast(extractor or fitted())
 
     def work(batches):
         for batch in chunks(batches, html_col, PAGE_BYTES):

@@ -11,7 +11,9 @@ of the block and the rest is scanned again, so one block may hold several licens
 
 Defined cases: a null or empty text has no license; words are compared in lower case, without
 punctuation; equal differences go to the larger reduction, then to the longer template, then
-to the smaller name; repeated rows are each scanned; other columns are kept.
+to the smaller name; texts of any length are scanned whole; repeated rows are each scanned; an
+empty table gives an empty result; other columns are kept, whatever their names, but
+license_matches is replaced.
 """
 
 from __future__ import annotations

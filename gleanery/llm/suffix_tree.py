@@ -1,305 +1,509 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Tokens are lower-cased (A-Z) words and one end per text. A state of the tree is a context
-of up to `DEPTH` preceding words. All n-grams of at least `LEAST` = 2 occurrences in all
-training texts are counted exactly, level by level, as an n-gram that is repeated has
-repeated parts; counts, probabilities and gains are distributed tables that grow with the corpus.
-
-A context is retained where its next-word distribution diverges from that of its suffix:
-count * KL(P(.|context) || P(.|suffix)) of at least `MIN_GAIN` nats; suffixes of retained
-contexts are states too. This test alone prunes. Distributions are smoothed by absolute
-discounting towards the suffix's, down to the root, which is the additively smoothed word
-distribution; a token is scored in the state of its longest suffix.
-
-A text's score is a sum over its n-grams: log10 of the left-over mass of each retained context
-it holds, and for each counted n-gram of such a context log10 of p / (left-over mass * suffix's p).
-So one join scores all of them. N-grams of at least `MIN_SHARE` of the tokens, which would be
-hot keys, are broadcast instead (1 / MIN_SHARE for each length at most); filters of fixed size
-keep most n-grams without a value out of the shuffles, which changes the cost only.
-
-Word counts are exact over all training texts. Words of at least `WORD_SHARE` of the tokens
-(so 1 / WORD_SHARE words at most) are broadcast; counts of all other words are joined, whose
-keys cannot be hot.
-
-Defined cases: a null or empty text is one end token; without training texts N and V are
-0 and every token has the root's probability 1; repeated rows are scored each on its own.
+Tokens are lower-cased (A-Z) words and one end per text, as 64-bit hashes. The tree grows from
+the root, which is the additively smoothed word distribution. A context is a candidate where it
+is itself a repeated (`LEAST` = 2 occurrences) n-gram of a candidate or a word, and its suffix is
+open: what follows the suffix costs at least MIN_GAIN nats there, so a longer context can gain as much.
+Of a candidate's distribution, smoothed by absolute discounting towards its suffix's, a next
+word is kept where its divergence test holds: count * ln(P(word|context) / P(word|suffix)) is
+at least MIN_GAIN nats. Contexts with such words are retained states; words that are not kept
+fall to the longest suffix that is retained. Thresholds are absolute, so the tree grows with the
+corpus, and the tests alone prune. A token is scored in the state of its longest suffix.
+
+N-grams are counted exactly over all training texts, level by level: blocks of tokens count
+theirs, packed lots go to buckets by suffix (where the suffix's probability waits), and the
+repeated ones to buckets by context (where its count waits, and the tests are made). A text's
+score is the sum over its words' root terms, and over its n-grams' and contexts' logarithms;
+those of n-grams of at least `MIN_SHARE` of the tokens, which would be hot keys, and counts of
+words of `WORD_SHARE` are broadcast (1 / share at most), all others are looked up in buckets.
+Filters of fixed size keep most n-grams without a value out of the shuffles, which changes the
+cost only. A bucket holds its part of the table in memory: their number is that of the session's
+shuffle partitions.
+
+Defined cases: a null or empty text is one end token; texts of any length are taken whole;
+without training texts N and V are 0 and every token has the root's probability 1; repeated rows
+are scored each on its own; a null id stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import copy
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, as_bytes, bitmap, chunks, drop_staged, in_bitmap, map_batches, mixed, read, staged, word_hashes
+from gleanery.llm.common import GOLDEN, Scratch, Words, bitmap, chunks, in_bitmap, map_batches, mixed, read, staged, sweep
 from gleanery.llm.language import held_out
 
-DEPTH, LEAST, MIN_SHARE, WORD_SHARE, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 2e-6, 1e-6, 20.0, 0.5, 0.1
-#: N-grams of a block, counted before the shuffle as numpy arrays.
-BLOCK_TOKENS, FLUSH_WORDS, TEXT_BYTES = 1_500_000, 200_000, 2 << 20
+DEPTH, LEAST, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 10.0, 0.5, 0.1
+MIN_SHARE, WORD_SHARE = 2e-6, 1e-6
+#: Tokens of a block, counted before the shuffle as numpy arrays.
+BLOCK_TOKENS, SCORED_TOKENS, TABLE_ROWS, TEXT_BYTES = 1_500_000, 500_000, 500_000, 2 << 20
 #: A filter has 2 ** FILTER_BITS bits, whatever the number of n-grams.
 FILTER_BITS = 27
-#: The end of a text is a token no word can equal, as it is white space.
-END = b"\n"
+#: The end of a text, and what tells a context's key from that of the same words as an n-gram.
+END, CONTEXT = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    words = text.lower().split() if text else []
-    words.append(END)
-    return words
+# ---- tokens and n-grams
 
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, text after text, and the sizes of the texts."""
+    words = Words(column)
+    sizes = np.bincount(words.owner, minlength=len(column)) + 1
+    h = np.full(len(words.h) + len(column), END)
+    h[np.arange(len(words.h)) + words.owner] = words.h
+    return h, sizes
 
-class Vocabulary:
-    """Broadcast words and what is known of them: places in arrays of hashes and root probabilities."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int):
-        self.places = {w: i for i, w in enumerate(words)}
-        self.hashes = np.append(word_hashes(words), np.uint64(0))
-        self.counts = np.array([*counts, 0], np.float64)
-        self.total, self.distinct = total, distinct
+def blocks(batches, size: int, *others: str) -> Iterator[tuple]:
+    """(hashes, sizes, other columns as lists) of `size` tokens, one slice of texts at least."""
+    held, n = [], 0
+    for batch in chunks(batches, "text", TEXT_BYTES):
+        h, sizes = tokens_of(batch.column("text"))
+        held.append((h, sizes, *[batch.column(c).to_pylist() for c in others]))
+        n += len(h)
+        if n > size:
+            yield joined(held)
+            held, n = [], 0
+    if held:
+        yield joined(held)
 
-    def root(self) -> np.ndarray:
-        return (self.counts + PSEUDO) / max(self.total + PSEUDO * (self.distinct + 1), PSEUDO)
 
+def joined(held: list[tuple]) -> tuple:
+    return tuple(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for part in x for v in part] for x in zip(*held, strict=True))
 
-def placed(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all tokens (-1: not in the vocabulary), sizes of the texts and their tokens."""
-    tokens = [tokens_of(t) for t in texts]
-    get = places.get
-    flat = np.fromiter((get(w, -1) for t in tokens for w in t), np.int64)
-    return flat, np.fromiter(map(len, tokens), np.int64, len(tokens)), tokens
 
+def longer(context: np.ndarray, suffix: np.ndarray, n: int) -> np.ndarray:
+    """The hash of n-grams, from those of their first and of their last n - 1 words."""
+    with np.errstate(over="ignore"):
+        return mixed(context * GOLDEN + suffix + np.uint64(n))
 
-def hashed(place: np.ndarray, tokens: list[list[bytes]], vocabulary: Vocabulary) -> np.ndarray:
-    """The hash of every token, in the vocabulary or not."""
-    h = vocabulary.hashes[place]
-    rare = np.flatnonzero(place < 0)
-    if len(rare):
-        flat = [w for t in tokens for w in t]
-        h[rare] = word_hashes([flat[i] for i in rare.tolist()])
-    return h
 
+def ngrams(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """For sizes 1 to n: the hash of the n-gram that ends at each token (of no use where it crosses texts)."""
+    out = [h]
+    for size in range(2, n + 1):
+        before = np.concatenate((h[:1], out[-1][:-1]))
+        out.append(longer(before, out[-1], size))
+    return out
 
-def ngrams(h: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 .. depth + 1: the hash of the n-gram that ends at each token, and whether it lies in one text."""
-    offset = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).clip(max=depth).astype(np.int8)
-    yield mixed(h), np.ones(len(h), bool)
-    gram = h
-    for n in range(2, depth + 2):
-        # the n-gram that ends at i: the (n-1)-gram that ends at i, with the word n - 1 places before
-        with np.errstate(over="ignore"):
-            gram = gram * GOLDEN
-            gram[n - 1 :] += h[: max(0, len(h) - n + 1)]
-            yield mixed(gram + np.uint64(n)), offset >= n - 1
 
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    """The place of each token in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def slot_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
+# ---- packed lots and sorted tables
 
-def filter_of(rows: DataFrame) -> np.ndarray:
-    return bitmap(rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS)), FILTER_BITS)
+def pack(*arrays) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
 
 
-def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted keys, found)."""
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+def unpack(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, n) of all tokens of column 0; tasks aggregate before the shuffle, in bounded memory."""
+def small(x: np.ndarray) -> np.ndarray:
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-    def count(batches):
-        part: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(part), pa.binary()), pa.array(list(part.values()), pa.int64())], names=["word", "n"])
-        for batch in chunks(batches, 0, TEXT_BYTES):
-            for t in as_bytes(batch.column(0)):
-                part.update(tokens_of(t))
-            if len(part) > FLUSH_WORDS:
-                yield out()
-                part.clear()
-        yield out()
 
-    return map_batches(texts, count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def planes(ascending: np.ndarray) -> list:
+    """Ascending longs as differences, in planes of bytes, as the upper ones are mostly zero."""
+    step = np.ascontiguousarray(np.diff(ascending, prepend=np.uint64(0)))
+    parts = [np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, i]) for i in range(8)]
+    return [x if x.any() else len(x) for x in parts]
 
 
-class Tree:
-    """What is frequent, as sorted arrays per depth d = 1 .. DEPTH: contexts and log10 of their left-over mass, n-grams
-    and log10 of p / (left-over mass * suffix's p). All else is the table cold (h, v), with a filter of its hashes."""
+def from_planes(parts: list) -> np.ndarray:
+    n = next((x if isinstance(x, int) else len(x) for x in parts), 0)
+    step = np.zeros((n, 8), np.uint8)
+    for i, x in enumerate(parts):
+        if not isinstance(x, int):
+            step[:, i] = x
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_runs(keys: np.ndarray) -> tuple[list, np.ndarray]:
+    """Sorted keys as distinct ones and their numbers."""
+    new = heads(keys)
+    return planes(keys[new]), small(np.diff(np.append(new, len(keys))))
+
+
+def heads(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.empty(0, np.int64)
 
-    def __init__(self):
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.cold: DataFrame | None = None
-        self.passes: np.ndarray | None = None
 
-    def score(self, place: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token without and with the frequent contexts and n-grams; for words outside the
-        vocabulary (whose root term is joined later) the first is 0 and the second the contexts' factor alone."""
-        base = np.log10(np.where(place >= 0, vocabulary.root()[place], 1.0))
-        deep = base.copy()
-        grams = list(ngrams(vocabulary.hashes[place] if h is None else h, sizes, len(self.contexts)))
-        for d, ((keys, rest), (pairs, gain)) in enumerate(zip(self.contexts, self.grams, strict=True), start=1):
-            at = np.flatnonzero(grams[d][1])  # the d words that end at i - 1 are the context of i
-            where, found = looked_up(keys, grams[d - 1][0][at - 1])
-            deep[at[found]] += rest[where[found]]
-            where, found = looked_up(pairs, grams[d][0][at])
-            deep[at[found]] += gain[where[found]]
-        return base, deep
+def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, the indices of its keys in ascending order)."""
+    order = np.argsort(keys)
+    bucket = (keys[order] % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    again = np.argsort(bucket, kind="stable")
+    order, bucket = order[again], bucket[again]
+    cuts = np.append(heads(bucket), len(bucket))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), order[a:b]
 
 
-def repeated(texts: DataFrame, vocabulary, n: int, passes) -> DataFrame:
-    """(h, context, suffix, c) of the n-grams that occur LEAST times; passes has the bits of the repeated (n-1)-grams."""
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, found)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+LOT = "bucket int, kind int, block bigint, blob binary"
+
+
+def lots(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "block", "blob"])
+
+
+def table_lots(table: DataFrame, value: str, buckets: int, kind: int = 0) -> DataFrame:
+    """Rows (h, value) as lots of sorted arrays in the buckets of h."""
 
     def work(batches):
-        held, size = [], 0
+        held, n = [], 0
 
         def out():
-            gram, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            values, first, count = np.unique(gram, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (values, context[first], suffix[first])] + [pa.array(count.astype(np.int64))], names=["h", "context", "suffix", "c"])
-
-        for batch in chunks(batches, 0, TEXT_BYTES):
-            place, sizes, tokens = placed(as_bytes(batch.column(0)), vocabulary.value.places)
-            *_, (shorter, _), (gram, inside) = ngrams(hashed(place, tokens, vocabulary.value), sizes, n - 1)
-            often = in_bitmap(passes.value, slot_of(shorter))
-            # the context ends one token earlier; the suffix n-gram drops the first word
-            i = np.flatnonzero(inside[1:] & often[1:] & often[:-1]) + 1
-            held.append((gram[i], shorter[i - 1], shorter[i]))
-            size += len(i)
-            if size > BLOCK_TOKENS:
+            h, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            return lots([(k, kind, 0, pack(planes(h[at]), v[at])) for k, at in dealt(h, buckets)])
+
+        for b in batches:
+            held.append((np.asarray(b.column("h")).view(np.uint64), np.asarray(b.column("v"))))
+            n += b.num_rows
+            if n > TABLE_ROWS:
                 yield out()
-                held, size = [], 0
+                held, n = [], 0
         if held:
             yield out()
 
-    rows = map_batches(texts, work, "h bigint, context bigint, suffix bigint, c bigint")
-    return staged(rows.groupBy("h").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= LEAST), "pst-ngrams")
+    return map_batches(table.select("h", F.col(value).alias("v")), work, LOT)
 
 
-def grown(texts: DataFrame, vocabulary, counts: DataFrame, depth: int) -> Tree:
-    """Count, discount, test the divergences, and keep the values of the retained contexts and their suffixes."""
-    spark, total, distinct = texts.sparkSession, vocabulary.value.total, vocabulary.value.distinct
+def in_buckets(parts: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
+    """fn(list of (kind, block, blob)) -> batches, for the lots of each bucket."""
 
-    def word_keys(batches):
+    def work(batches):
+        held, at = [], None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(word_hashes(b.column("word").to_pylist())).view(np.int64)), b.column("n")], names=["h", "c"])
-
-    words = map_batches(counts.where(F.col("n") >= LEAST), word_keys, "h bigint, c bigint")
-    below = staged(words.withColumn("p", (F.col("c") + PSEUDO) / F.lit(total + PSEUDO * (distinct + 1))), "pst-words")
-    levels, passing = [], []
-    for d in range(1, depth + 1):
-        passes = spark.sparkContext.broadcast(filter_of(below))
-        grams = repeated(texts, vocabulary, d + 1, passes)
-        passing.append(passes)
-        states = grams.groupBy("context").agg(F.sum("c").alias("s"), F.count("*").alias("k")).join(below.select(F.col("h").alias("context"), F.col("c").alias("whole")), "context")
-        states = states.select("context", "whole", (1 - (F.col("s") - DISCOUNT * F.col("k")) / F.col("whole")).alias("rest"))
-        # P(last word | suffix of the context), then P(last word | context)
-        level = grams.join(below.select(F.col("h").alias("suffix"), F.col("p").alias("lower")), "suffix").join(states, "context")
-        levels.append(staged(level.withColumn("p", (F.col("c") - DISCOUNT) / F.col("whole") + F.col("rest") * F.col("lower")), "pst-level"))
-        drop_staged(spark, grams)
-        below = levels[-1].select("h", "c", "p")
-    values, longer = None, None
-    for d in range(depth, 0, -1):
-        level = levels[d - 1]
-        kept = level.groupBy("context").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("lower"))).alias("gain")).where(F.col("gain") >= MIN_GAIN).select("context")
-        if longer is not None:  # suffixes of retained contexts
-            kept = kept.unionByName(level.join(longer.select(F.col("context").alias("h")), "h", "left_semi").select(F.col("suffix").alias("context"))).distinct()
-        longer = staged(kept, "pst-retained")
-        inside = staged(level.join(longer, "context", "left_semi"), "pst-inside")
-        own = inside.select(F.lit(d).alias("d"), F.lit(False).alias("state"), "h", (F.log10(F.col("p") / F.col("lower")) - F.log10("rest")).alias("v"), "c")
-        of = inside.groupBy("context").agg(F.first("rest").alias("rest"), F.first("whole").alias("c")).select(F.lit(d).alias("d"), F.lit(True).alias("state"), F.col("context").alias("h"), F.log10("rest").alias("v"), "c")
-        values = own.unionByName(of) if values is None else values.unionByName(own).unionByName(of)
-    tree, least = Tree(), max(LEAST, MIN_SHARE * total)
-    hot = values.where(F.col("c") >= least).toPandas()  # 1 / MIN_SHARE rows for each d and state at most
-    for d in range(1, depth + 1):
-        for state, arrays in ((True, tree.contexts), (False, tree.grams)):
-            own = hot[(hot["d"] == d) & (hot["state"] == state)]
-            h = own["h"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(h)
-            arrays.append((h[order], own["v"].to_numpy(np.float64)[order]))
-    tree.cold = staged(values.where(F.col("c") < least).groupBy("h").agg(F.sum("v").alias("v")), "pst-values")
-    tree.passes = filter_of(tree.cold)
-    for x in passing:
-        x.unpersist()
+            for bucket, kind, block, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "block", "blob")), strict=True):
+                if bucket != at and held:
+                    yield from fn(held)
+                    held = []
+                at = bucket
+                held.append((kind, block, blob))
+        if held:
+            yield from fn(held)
+
+    return map_batches(parts.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind"), work, schema)
+
+
+def sorted_table(held: list, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(blob) for k, _, blob in held if k == kind]
+    h = np.concatenate([from_planes(p[0]) for p in parts]) if parts else np.empty(0, np.uint64)
+    v = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.float64)
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
+def slot_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def filter_of(rows: DataFrame) -> np.ndarray:
+    """Bits of the hashes h, which are distinct."""
+    return bitmap(rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS)), FILTER_BITS, distinct=False)
+
+
+# ---- the tree
+
+def word_counts(texts: DataFrame, block: int) -> DataFrame:
+    """(h, c) of all tokens of column text; blocks count theirs first."""
+
+    def count(batches):
+        for h, _ in blocks(batches, block):
+            values, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
+
+    return map_batches(texts, count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def block_counts(texts: DataFrame, n: int, passes, opened, buckets: int, block: int) -> DataFrame:
+    """Lots of n-grams of repeated parts whose contexts' suffixes are open, counted by block, in buckets of their suffixes."""
+
+    def work(batches):
+        for h, sizes in blocks(batches, block):
+            grams = ngrams(h, n - 1)
+            often = in_bitmap(passes.value, slot_of(grams[-1]))
+            at = np.flatnonzero((offsets(sizes) >= n - 1) & often)
+            at = at[often[at - 1]]
+            if opened is not None:
+                at = at[in_bitmap(opened.value, slot_of(grams[-2][at - 1]))]
+            context, suffix = grams[-1][at - 1], grams[-1][at]
+            gram = longer(context, suffix, n)
+            order = np.argsort(gram)
+            first = heads(gram[order])
+            c, pick = np.diff(np.append(first, len(order))), order[first]
+            context, suffix = context[pick], suffix[pick]
+            rows = []
+            for k, i in dealt(suffix, buckets):
+                values, which = np.unique(context[i], return_inverse=True)
+                rows.append((k, 1, 0, pack(*pack_runs(suffix[i]), planes(values), small(which), small(c[i]))))
+            yield lots(rows)
+
+    return map_batches(texts, work, LOT)
+
+
+def repeated(held: list, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """In a bucket of suffixes: n-grams of LEAST occurrences with their suffix's probability, as lots in buckets of their contexts."""
+    known, lower = sorted_table(held)
+    parts = []
+    for kind, _, blob in held:
+        if kind == 1:
+            values, runs, contexts, which, c = unpack(blob)
+            parts.append((np.repeat(from_planes(values), runs), from_planes(contexts)[which], c.astype(np.int64)))
+    if not parts:
+        return
+    suffix, context, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    gram = longer(context, suffix, n)
+    order = np.argsort(gram)
+    first = heads(gram[order])
+    total, pick = np.add.reduceat(c[order], first), order[first]
+    place, there = found_in(known, suffix[pick])
+    keep = there & (total >= LEAST)
+    pick, total, p = pick[keep], total[keep], lower[place[keep]]
+    context, gram = context[pick], gram[pick]
+    yield lots([(k, 1, 0, pack(*pack_runs(context[i]), gram[i], small(total[i]), p[i])) for k, i in dealt(context, buckets)])
+
+
+LEVEL = "context boolean, h bigint, c bigint, p double, v double, open boolean"
+
+
+def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
+    """In a bucket of contexts: the divergence tests.
+
+    Rows of n-grams (h, c, p: the tree's probability where the context is open, v: the logarithm that it adds where
+    it is kept) and of contexts (h, c, v: the logarithm of the mass left over where it is retained, open)."""
+    known, counts = sorted_table(held)
+    parts = []
+    for kind, _, blob in held:
+        if kind == 1:
+            values, runs, gram, c, lower = unpack(blob)
+            parts.append((np.repeat(from_planes(values), runs), gram, c.astype(np.float64), lower))
+    if not parts:
+        return
+    context, gram, c, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(context)
+    context, gram, c, lower = context[order], gram[order], c[order], lower[order]
+    first = heads(context)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+    whole = counts[found_in(known, context[first])[0]].astype(np.float64)
+    part = (c - DISCOUNT) / whole[of]
+    rest = 1 - np.add.reduceat(part, first)
+    p = part + rest[of] * lower
+    opened = np.add.reduceat(-c * np.log(p), first) >= min_gain
+    kept = c * np.log(p / lower) >= min_gain
+    retained = np.logical_or.reduceat(kept, first)
+    rest = 1 - np.add.reduceat(np.where(kept, part, 0.0), first)
+    below = np.where(retained, rest, 1.0)[of] * lower
+    p = np.where(kept, part + below, below)
+    told = retained | opened
+    null = lambda x, shown: pa.array(x, pa.float64(), mask=~shown)
+    none = pa.nulls(len(gram), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(gram), bool)), pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64)), null(p, opened[of]), null(np.log10(p / below), kept), none], names=["context", "h", "c", "p", "v", "open"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.log10(rest[told])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), bool)), pa.array(context[first][told].view(np.int64)), pa.array(whole[told].astype(np.int64)), pa.nulls(int(told.sum()), pa.float64()), null(left, retained[told]), pa.array(opened[told])], names=["context", "h", "c", "p", "v", "open"])
+
+
+class Tree:
+    """What is frequent, as sorted arrays: words with counts, keys of n-grams and contexts with logarithms; the rest as tables.
+
+    words (h, c) and cold (h, v) are staged; passes has the bits of cold."""
+
+    def __init__(self, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
+        self.vocabulary = self.hot = (np.empty(0, np.uint64), np.empty(0, np.float64))
+        self.passes: np.ndarray | None = None
+        self.words: DataFrame | None = None
+        self.cold: DataFrame | None = None
+
+    @property
+    def floor(self) -> float:
+        return max(self.total + PSEUDO * (self.distinct + 1), PSEUDO)
+
+
+def arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (h, value), of which there are 1 / share for each level at most, as sorted arrays."""
+    frame = rows.select("h", value).toPandas()
+    h = frame["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], frame[value].to_numpy(np.float64)[order]
+
+
+def key_of(context: bool) -> F.Column:
+    """The key of a value: the hash of an n-gram, another one for a context."""
+    return F.col("h").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64)))) if context else F.col("h")
+
+
+def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE, word_share: float = WORD_SHARE, block: int = BLOCK_TOKENS) -> Tree:
+    """Count, smooth, test the divergences level by level, and keep the values of what is retained."""
+    spark = train.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = train.select(F.col(f"`{text_col}`").alias("text"))
+    words = staged(word_counts(texts, block), "pst-words")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tree = Tree(int(total), int(distinct))
+    frequent = F.col("c") >= max(float(LEAST), word_share * total)
+    tree.vocabulary, tree.words = arrays(words.where(frequent), "c"), words.where(~frequent)
+    scratch, values = Scratch(spark), []
+    grams = words.where(F.col("c") >= LEAST).withColumn("p", (F.col("c") + PSEUDO) / F.lit(tree.floor))
+    opened, out = None, None
+    for d in range(1, depth + 1) if total else ():
+        passes = spark.sparkContext.broadcast(filter_of(grams))
+        raw = block_counts(texts, d + 1, passes, opened, buckets, block).unionByName(table_lots(grams.where("p is not null"), "p", buckets))
+        by_context = in_buckets(raw, buckets, lambda held, n=d + 1: repeated(held, n, buckets), LOT)
+        level = scratch.staged(in_buckets(by_context.unionByName(table_lots(grams, "c", buckets)), buckets, lambda held: tested(held, min_gain), LEVEL), "pst-level")
+        passes.unpersist()
+        grams = level.where("not context").select("h", "c", "p")
+        for context in (False, True):
+            values.append(level.where(F.col("context") == context).where("v is not null").select(key_of(context).alias("h"), "c", "v"))
+        opened = spark.sparkContext.broadcast(filter_of(level.where("context and open")))
+        out = level
+        del raw, by_context
+        sweep(spark)
+    if out is not None:
+        every = values[0]
+        for v in values[1:]:
+            every = every.unionByName(v)
+        hot = F.col("c") >= max(LEAST, min_share * total)
+        tree.hot = arrays(every.where(hot), "v")
+        tree.cold = staged(every.where(~hot).select("h", "v"), "pst-values")
+        tree.passes = filter_of(tree.cold)
+        scratch.drop()
     return tree
 
 
-def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH):
-    """(vocabulary, tree, staged word counts) of the training texts."""
-    texts = train.select(text_col)
-    counts = staged(word_counts(texts), "pst-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counts.where(F.col("n") >= max(2.0, WORD_SHARE * total)).toPandas().sort_values("word")
-    vocabulary = Vocabulary([bytes(w) for w in often["word"]], often["n"].tolist(), int(total), int(distinct))
-    shared = train.sparkSession.sparkContext.broadcast(vocabulary)
-    tree = grown(texts, shared, counts, depth) if len(often) else Tree()
-    return vocabulary, tree, counts
+# ---- scores
+
+def logarithms(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray], coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, found) of keys among the frequent ones; coarse has bits that tell most others apart."""
+    out, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.flatnonzero(in_bitmap(coarse, (keys >> np.uint64(64 - COARSE)).astype(np.int64)))
+    place, there = found_in(hot[0], keys[at])
+    out[at[there]], found[at[there]] = hot[1][place[there]], True
+    return out, found
+
 
+COARSE = 24
+#: Kinds of lots: tables of deep values and of words, queries of both, a block's texts, sums for a block.
+DEEP, WORD, ASK_DEEP, ASK_WORD, TEXTS, SUMS = range(6)
 
-PART_SCHEMA = "row bigint, id bigint, out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint, h bigint"
 
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << COARSE, bool)
+    out[(keys >> np.uint64(64 - COARSE)).astype(np.int64)] = True
+    return np.packbits(out)
 
-def score(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+
+def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, block: int = SCORED_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    light = copy.copy(tree)
-    light.cold = None
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, light))
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast((tree.vocabulary, tree.hot, tree.passes, tree.floor))
+    total, floor = tree.total, tree.floor
+
+    def ask(batches):
+        vocabulary, hot, passes, floor = shared.value
+        known_bits, hot_bits = bits_of(vocabulary[0]), bits_of(hot[0])
+        for i, (h, sizes, ids, out) in enumerate(blocks(batches, block, "id", "out")):
+            n, number = len(sizes), (TaskContext.get().partitionId() << 32) + i  # the same if the task runs again
+            owner = np.repeat(np.arange(n), sizes)
+            c, known = logarithms(h, vocabulary, known_bits)
+            base = np.log10((c + PSEUDO) / floor)
+            deep = base.copy()
+            asked = []
+            if passes is not None:
+                place = offsets(sizes)
+                grams = ngrams(h, depth + 1)
+                for d in range(1, depth + 1):
+                    at = np.flatnonzero(place >= d)
+                    for keys in (grams[d - 1][at - 1] ^ CONTEXT, grams[d][at]):
+                        v, found = logarithms(keys, hot, hot_bits)
+                        deep[at] += v
+                        cold = np.flatnonzero(~found & in_bitmap(passes, slot_of(keys)))
+                        asked.append((keys[cold], owner[at[cold]]))
+            sums = [np.bincount(owner, x, n) for x in (base, deep)]
+            rows = [(number % buckets, TEXTS, number, pack(ids, out, sizes, np.bincount(owner, known, n).astype(np.int64), *sums))]
+            queries = [(ASK_WORD, h[~known], owner[~known])] + [(ASK_DEEP, *(np.concatenate(x) for x in zip(*asked, strict=True)))] * bool(asked)
+            for kind, keys, of in queries:
+                rows += [(k, kind, number, pack(planes(keys[j]), small(of[j]))) for k, j in dealt(keys, buckets)]
+            yield lots(rows)
+
+    def answer(held):
+        tables = {kind: sorted_table(held, kind) for kind in (DEEP, WORD)}
+        rows = []
+        for kind, block, blob in held:
+            if kind in (ASK_DEEP, ASK_WORD):
+                parts, owner = unpack(blob)
+                keys, owner = from_planes(parts), owner.astype(np.int64)
+                h, v = tables[DEEP if kind == ASK_DEEP else WORD]
+                place, found = found_in(h, keys)
+                values = v[place[found]].astype(np.float64)
+                if kind == ASK_WORD:
+                    values = np.log10(values + PSEUDO) - np.log10(PSEUDO)
+                texts, which = np.unique(owner[found], return_inverse=True)
+                if len(texts):
+                    rows.append((0, SUMS, block, pack(kind, small(texts), np.bincount(which, values), small(np.bincount(which)))))
+            elif kind == TEXTS:
+                rows.append((0, TEXTS, block, blob))
+        yield lots(rows)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def gather(batches):
+        def block_rows(held):
+            texts = [unpack(blob) for kind, blob in held if kind == TEXTS]
+            ids, out, sizes, known, base, deep = texts[0]
+            for kind, blob in held:
+                if kind == SUMS:
+                    what, at, values, times = unpack(blob)
+                    deep[at] += values
+                    if what == ASK_WORD:
+                        base[at] += values
+                        known[at] += times.astype(np.int64)
+            n = len(sizes)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(deep)], names=names)
+
+        held, at = [], None
+        for b in batches:
+            for kind, block, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "block", "blob")), strict=True):
+                if block != at and held:
+                    yield block_rows(held)
+                    held = []
+                at = block
+                held.append((kind, blob))
+        if held:
+            yield block_rows(held)
 
-    def work(batches):
-        voc, model = shared.value
-        for batch in chunks(batches, "text", TEXT_BYTES):
-            rows, ids, out = (batch.column(c).to_pylist() for c in ("row", "id", "out"))
-            place, sizes, tokens = placed(as_bytes(batch.column("text")), voc.places)
-            h = hashed(place, tokens, voc)
-            base, deep = model.score(place, sizes, voc, h)
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            sums = [np.bincount(owner, x, len(rows)) for x in (place >= 0, base, deep)]
-            none = pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), none, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=NAMES)
-            rare = Counter()
-            starts = np.cumsum(sizes) - sizes
-            for i in np.flatnonzero(place < 0).tolist():
-                o = int(owner[i])
-                rare[rows[o], tokens[o][i - starts[o]]] += 1
-            if rare:
-                n, nulls = len(rare), lambda t: pa.nulls(len(rare), t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rare], pa.int64()), *(nulls(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64()), nulls(pa.int64())], names=NAMES)
-            number = np.asarray(rows, np.int64)[owner]
-            for gram, inside in ngrams(h, sizes, len(model.contexts)) if model.passes is not None else ():
-                at = np.flatnonzero(inside)
-                at = at[in_bitmap(model.passes, slot_of(gram[at]))]
-                if len(at):
-                    nulls = lambda t: pa.nulls(len(at), t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(number[at]), *(nulls(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())), pa.array(gram[at].view(np.int64))], names=NAMES)
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("out"), F.col(text_col).alias("text"))
-    parts = staged(map_batches(keyed, work, PART_SCHEMA), "pst-parts")
-    total = vocabulary.total
-    floor = max(total + PSEUDO * (vocabulary.distinct + 1), PSEUDO)
-    rare_counts = counts.where(F.col("n") < max(2.0, WORD_SHARE * total)).select("word", F.col("n").alias("c"))
-    joined = parts.where("h is null").join(rare_counts, "word", "left")
-    term = F.col("times") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + PSEUDO) / F.lit(floor))
-    known = F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))
-    terms = joined.select("row", "id", "out", "n_tokens", known.alias("known"), F.coalesce("base", term).alias("base"), F.coalesce("score", term).alias("score"))
-    if tree.cold is not None:
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "bigint"), ("out", "boolean"), ("n_tokens", "bigint"), ("known", "bigint"), ("base", "double"))]
-        terms = terms.unionByName(parts.where("h is not null").select("row", "h").join(tree.cold, "h").groupBy("row").agg(F.sum("v").alias("score")).select("row", *none, "score"))
-    rows = terms.groupBy("row").agg(F.max("id").alias("doc_id"), F.max("out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-NAMES = [x.split()[0] for x in PART_SCHEMA.split(", ")]
+    parts = map_batches(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(held_col).alias("out"), F.col(f"`{text_col}`").alias("text")), ask, LOT)
+    for t, v, kind in ((tree.cold, "v", DEEP), (tree.words, "c", WORD)):
+        parts = parts if t is None else parts.unionByName(table_lots(t, v, buckets, kind))
+    every = in_buckets(parts, buckets, answer, LOT)
+    return map_batches(every.repartition("block").sortWithinPartitions("block"), gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
-    vocabulary, tree, counts = fit(docs.where("not held_out"))
-    return score(docs, vocabulary, tree, counts)
+    return score(docs, fit(docs.where("not held_out")))

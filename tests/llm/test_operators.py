@@ -255,68 +255,82 @@ def test_suffix_tree_base_score_and_mass(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_suffix_tree_distributions_sum_to_one(spark):
-    """In every context the probabilities of all words (and of the unknown one) sum to one."""
-    rows = [(i, " ".join(random.Random(i).choices(["a", "b", "c", "a b", "b c d"], k=60))) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    voc, tree, _ = suffix_tree.fit(docs)
-    words = list(voc.places)
-    for context in ([], ["a"], ["b"], ["a", "b"], ["c", "a", "b"], ["zz"]):
-        total = 0.0
-        for w in words:
-            place = np.array([voc.places.get(x if isinstance(x, bytes) else x.encode(), -1) for x in [*context, w]])
-            total += 10 ** tree.score(place, np.array([len(place)]), voc)[1][-1]
-        unknown = np.array([*[voc.places.get(x.encode(), -1) for x in context], -1])
-        root_unknown = 0.1 / (voc.total + 0.1 * (voc.distinct + 1))
-        total += 10 ** tree.score(unknown, np.array([len(unknown)]), voc)[1][-1] * root_unknown
-        assert math.isclose(total, 1.0, rel_tol=1e-9), context
-    assert any(len(c[0]) for c in tree.contexts)
-
-
-@pytest.mark.parametrize("share", [1e-9, 1e-2, 1.0])
-def test_suffix_tree_matches_brute_force_at_any_share(spark, monkeypatch, share):
-    """N-grams of two occurrences count, whatever part of the corpus they are: broadcast, in part or all joined."""
-    rng = random.Random(3)
-    texts = [" ".join(rng.choices(["a", "b", "c", "a b", "b c d", "b x c"], k=60) + [f"u{i % 12}", f"v{i % 12}", f"z{i}"]) for i in range(30)]
-    monkeypatch.setattr(suffix_tree, "MIN_SHARE", share)
-    monkeypatch.setattr(suffix_tree, "WORD_SHARE", share / 10)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, *suffix_tree.fit(docs)).collect()}
+def suffix_tree_by_hand(texts, min_gain):
+    """(P(word | context), words) of the tree grown by plain dictionaries."""
     tokens = [[*t.split(), "\n"] for t in texts]
     c = Counter(tuple(t[i : i + n]) for t in tokens for n in range(1, 5) for i in range(len(t) - n + 1))
-    total = sum(n for g, n in c.items() if len(g) == 1)
-    follow, gain = defaultdict(list), Counter()
+    words = [g[0] for g in c if len(g) == 1]
+    total = sum(c[w,] for w in words)
+    root = lambda w: (c[w,] + 0.1) / (total + 0.1 * (len(words) + 1))
+    follow = defaultdict(dict)
     for g, n in c.items():
         if len(g) > 1 and n > 1:
-            follow[g[:-1]].append(n)
+            follow[g[:-1]][g[-1]] = n
+    kept, rest, opened = {}, {}, {()}
 
-    def p(context, w, states=None):
+    def p(context, w):
         if not context:
-            return (c[(w,)] + 0.1) / (total + 0.1 * (sum(len(g) == 1 for g in c) + 1))
-        if context not in follow or (states is not None and context not in states):
-            return p(context[1:], w, states)
-        n, whole = c[(*context, w)], c[context]
-        rest = 1 - sum(x - 0.5 for x in follow[context]) / whole
-        return ((n - 0.5) / whole if n > 1 else 0) + rest * p(context[1:], w, states)
+            return root(w)
+        if context not in kept:
+            return p(context[1:], w)
+        part = (kept[context][w] - 0.5) / c[context] if w in kept[context] else 0.0
+        return part + rest[context] * p(context[1:], w)
+
+    counted = {(w,) for w in words}
+    for d in (1, 2, 3):
+        candidates = [x for x in follow if len(x) == d and x in counted and x[1:] in opened]
+        counted = {(*x, w) for x in candidates for w in follow[x]}
+        for x in candidates:
+            left = 1 - sum(n - 0.5 for n in follow[x].values()) / c[x]
+            own = {w: (n - 0.5) / c[x] + left * p(x[1:], w) for w, n in follow[x].items()}
+            if sum(-n * math.log(own[w]) for w, n in follow[x].items()) >= min_gain:
+                opened.add(x)
+            good = {w: n for w, n in follow[x].items() if n * math.log(own[w] / p(x[1:], w)) >= min_gain}
+            if good:
+                rest[x] = 1 - sum(n - 0.5 for n in good.values()) / c[x]
+                kept[x] = good
+    return p, words, kept, c
+
+
+def suffix_tree_texts():
+    rng = random.Random(3)
+    return [" ".join(rng.choices(["a", "b", "c", "a b", "b c d", "b x c"], k=60) + [f"u{i % 12}", f"v{i % 12}", f"z{i}"]) for i in range(30)]
 
-    for g, n in c.items():
-        if len(g) > 1 and n > 1:
-            gain[g[:-1]] += n * math.log(p(g[:-1], g[-1]) / p(g[1:-1], g[-1]))
-    states = {x[i:] for x, v in gain.items() if v >= suffix_tree.MIN_GAIN for i in range(len(x))}
-    assert any(c[x] < 5 for x in states) and any(len(x) == 3 for x in states)
-    for i, t in enumerate(tokens):
-        want = sum(math.log10(p(tuple(t[max(0, j - 3) : j]), w, states)) for j, w in enumerate(t))
+
+def test_suffix_tree_distributions_sum_to_one():
+    """In every context the probabilities of all words and of the unknown one sum to one."""
+    p, words, kept, _ = suffix_tree_by_hand(suffix_tree_texts(), 3.0)
+    assert {len(x) for x in kept} == {1, 2, 3}
+    for context in [(), ("a",), ("zz",), *kept]:
+        assert math.isclose(sum(p(context, w) for w in [*words, "never seen"]), 1.0, rel_tol=1e-9), context
+
+
+@pytest.mark.parametrize("share", [1e-9, 1e-2, 1.0])
+@pytest.mark.parametrize("block", [100, 1_500_000])
+def test_suffix_tree_matches_brute_force_at_any_share(spark, share, block):
+    """Words and n-grams of two occurrences count, whatever part of the corpus they are: broadcast, in part or all looked up."""
+    texts = suffix_tree_texts()
+    p, _, kept, c = suffix_tree_by_hand(texts, 3.0)
+    assert any(c[x] < 5 for x in kept) and any(len(x) == 3 for x in kept)
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    other = [*texts, "a b zz u1 v1 never b x c", "", "u1 v1"]
+    docs = spark.createDataFrame(list(enumerate(other)), "doc_id bigint, text string").withColumn("held_out", F.lit(True)).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, suffix_tree.fit(train, min_gain=3.0, min_share=share, word_share=share / 10, block=block), block=block).collect()}
+    for i, t in enumerate([*t.split(), "\n"] for t in other):
+        want = sum(math.log10(p(tuple(t[max(0, j - 3) : j]), w)) for j, w in enumerate(t))
         assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
 
 
 def test_suffix_tree_cases(spark, odd):
     docs = odd.withColumn("held_out", F.lit(False))
-    voc, tree, counts = suffix_tree.fit(docs)
-    got = suffix_tree.score(docs, voc, tree, counts)
+    tree = suffix_tree.fit(docs)
+    got = suffix_tree.score(docs, tree)
     rows = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == odd.count() and rows[0]["n_tokens"] == rows[1]["n_tokens"] == 1
+    assert rows[13]["score"] == rows[14]["score"] and None in rows
+    assert suffix_tree.score(docs.limit(0), tree).count() == 0
     none = suffix_tree.fit(odd.limit(0))
-    assert suffix_tree.score(docs, *none).where("n_known > 0").count() == 0
+    assert suffix_tree.score(docs, none).where("n_known > 0 or base_score <> 0").count() == 0
 
 
 # ---- archives
@@ -523,3 +537,97 @@ def test_mixing_salted_join(spark, monkeypatch):
 def test_mixing_is_native(spark):
     plan = QUERIES["op10_mixing"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# ---- cases of all operators
+
+CLASHES = ("id", "key", "n", "doc", "line", "row", "slot", "block", "h", "w", "i", "t", "nx_key", "nx_to", "component", "__spare", "mix_by", "mix_salt", "words", "value")
+
+
+@pytest.mark.parametrize(
+    ("apply", "replaced"),
+    [
+        (lambda d: language.identify(d, language.fit(d), segments=True), ("lang_pred", "lang_score")),
+        (lambda d: decontamination.annotate(d, d.select(F.col("doc_id").alias("item_id"), "text")), ("n_hit", "hit_items")),
+        (winnowing.fingerprints, ("fp_hashes",)),
+        (ngram_join.deduplicated, ()),
+        (line_dedup.deduplicated, ("n_removed",)),
+        (licenses.scan_licenses, ("license_matches",)),
+        (mixing.plan_mix, ("mix_size", "mix_copies")),
+        (mixing.mix, ()),
+        (lambda d: extraction.extract(d.withColumnRenamed("text", "html")), ("text",)),
+    ],
+)
+def test_clashing_columns_are_kept(spark, odd, apply, replaced):
+    docs = odd.select("*", *[F.lit("mine").alias(c) for c in (*CLASHES, *[r for r in replaced if r not in odd.columns])])
+    out = apply(docs)
+    rows = out.collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in CLASHES)
+    assert all(out.columns.count(c) == 1 for c in replaced) and all(r[c] != "mine" for r in rows for c in replaced)
+    assert apply(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    """They are one node to the n-gram join, follow each other for fingerprints, and stand alone elsewhere."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(9, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s"), (None, "x y", "s"), (None, "z", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    joined = {(r["id"], r["component"]) for r in ngram_join.join_components(docs).where("id > 0").collect()}
+    assert joined == {(9, 5), (5, 5), (7, 5)}
+    near = winnowing.compare_with_next(docs).collect()
+    assert Counter(r["doc_id"] for r in near) == Counter(r[0] for r in rows)
+    items = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12)))], "item_id bigint, text string")
+    hit = decontamination.annotate(docs, items).where("n_hit > 0").collect()
+    assert sorted((r["doc_id"], r["text"] == b) for r in hit) == [(5, True), (7, True)]
+    many = spark.createDataFrame([(1, f"{i} " * 3, "s") for i in range(400)] + [(2, "w " * 600, "t")], "doc_id bigint, text string, source string")
+    assert len({r["mix_copies"] for r in mixing.plan_mix(many).where("doc_id = 1").collect()}) == 2
+
+
+def test_fingerprints_follow_a_hot_id(spark):
+    """An id with most of the rows is dealt over partitions, and every row still meets its successor."""
+    rows = [(5, f"text {i} " + "q" * (i % 7)) for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"other {i}") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    dealt = winnowing.with_next(docs, "doc_id", partitions=12)
+    sizes = [r["count"] for r in dealt.groupBy("nx_part").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 120
+    got = winnowing.compare_with_next(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    ordered = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h")).orderBy("k", "h", "text").collect()
+    want = set()
+    for x, y in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        half = len(x["text"]) // 2
+        want.add((x["doc_id"], hashlib.sha256((x["text"][: len(x["text"]) - half] + y["text"][:half]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in got} == want
+
+
+def test_fingerprint_likeness_against_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark).limit(25).collect()]
+    got = {r["doc_id"]: r for r in winnowing.compare_with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    rows.sort()
+    kept = lambda t: {h for h, _ in winnowing.winnow_brute_force(t[:3000])}
+    same = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (i, a), (_, b) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        if max(len(a), len(b)) < 3000:
+            edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+            assert math.isclose(got[i]["near_edited"], same(kept(a), kept(edited))) and math.isclose(got[i]["near_next"], same(kept(a), kept(b)))
+            assert [p for _, p in winnowing.winnow_brute_force(a)] == got[i]["positions"]
+
+
+def test_long_lines_are_labelled_in_parts(monkeypatch):
+    """A line that is run in overlapping parts gets the posteriors that it has as one sequence."""
+    rows = [("en", "the house and the river " * 8), ("de", "das haus und der fluss " * 8)] * 3
+    model = language.train(rows)
+    text = " ".join((["the", "house", "fluss", "und"] * 7 + ["river", "das"] * 5)[i % 38] for i in range(900))
+    whole = lambda n: (monkeypatch.setattr(language, "PIECE", n), language.Labeller(model).label([text, "the house\ndas haus", ""]))[1]
+    one, parts = whole(10_000), whole(64)
+    assert np.allclose(one[0], parts[0], atol=1e-6) and (one[2] == parts[2]).all() and len(one[0]) == 904
+
+
+def test_large_benchmark_index_is_small():
+    """The index takes a few bytes for each byte of text, whatever the words."""
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10**7)) for _ in range(150_000)).encode()
+    items = [(i, text[i * 1000 : (i + 1) * 1000]) for i in range(len(text) // 1000)]
+    index = decontamination.WindowIndex(items, lambda words: np.ones(len(words), np.int64), 10)
+    size = sum(x.nbytes for x in (index.key, index.place, index.size, index.hash, index.begin, index.end, index.items_at, index.owner)) + len(index.data)
+    assert len(index.key) > 100_000 and size < 8 * len(text)

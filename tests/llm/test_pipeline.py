@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from gleanery.llm.queries import ORACLE_SQL, QUERIES
@@ -57,3 +58,22 @@ def test_near_duplicate_stage_keeps_one(spark):
     rows = [(1, text, "en", "a", 1), (2, text.replace("w50 ", "x "), "en", "a", 1), (3, " ".join(f"z{i}" for i in range(200)), "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == [1, 3]
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Nulls, empty texts, repeated rows and ids, and columns with names that stages use, in an empty table and a full one."""
+    words = lambda n, k: " ".join(f"house{n} river{i} the" for i in range(k))
+    rows = [(1, None, "en", None, 0), (2, "", None, "a", 0), (3, words(3, 40), "en", None, 1), (3, words(3, 40), "en", None, 1), (3, words(4, 40), "en", "a", 1), (None, words(5, 40), None, "a", 1), (7, words(7, 6000), "en", "a", 1), (8, "12 34", "en", "b", 1), (9, words(5, 40), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    extra = ("doc", "line", "key", "id", "mix_by", "mix_size", "n_hit", "lang_pred", "slot", "row", "tell", "n_lines")
+    current = docs.select("*", *[F.lit("mine").alias(c) for c in extra])
+    nothing = current.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, current, SMALL), stage(spark, nothing, SMALL)
+        assert out.columns == none.columns == current.columns and none.count() == 0
+        current = spark.createDataFrame(out.collect(), out.schema)
+        assert current.where(" or ".join(f"{c} <> 'mine'" for c in extra)).count() == 0, name
+        seen = [r["doc_id"] for r in current.collect()]
+        assert not {1, 2, 8} & set(seen)
+        if name == "line_dedup":
+            assert None in seen and 9 not in seen and 7 in seen
