@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
 documents; the last one may repeat rows.
+
+Defined cases: documents whose text is null, empty or without letters go with the language
+stage; texts of any length are taken whole; of equal texts the one with the smallest id stays
+(null ids are the smallest); rows of one id are one document to line dedup and the n-gram join,
+whose texts stay or go together there, and documents of their own elsewhere; null sources are a
+source; other columns, whatever their names, are kept by all stages, and n_chars follows the
+text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go, and documents of which no word is left then; copies are the next stage's."""
-    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \x09-\x0D]"))
-    columns = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("kept"))
+    out = line_dedup.deduplicated(rows).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \x09-\x0D]"))
+    columns = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[columns.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

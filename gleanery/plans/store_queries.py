@@ -9,7 +9,7 @@ from gleanery.functions import states, urls
 from gleanery.functions.urls import BLOCKED_PATHS as BLOCKED
 from gleanery.operators import scoring, store, validation
 from gleanery.plans.registry import ARTICLES, CANDIDATES, METADATA, OUTCOMES, SOURCES, STARS, by_case, by_case_sql, host_sql, query
-from gleanery.sources import fixtures, landed
+from gleanery.sources import catalog, fixtures, landed
 
 
 @query("s1_full_scan", "SELECT r_regionkey, r_name FROM region")
@@ -51,6 +51,17 @@ def source_list(spark, sf):
     return s.groupBy("publication").agg(F.max_by("base_url", "ord").alias("base_url"), F.min("ord").alias("first_ord"))
 
 
+@query("s19_catalog", "SELECT CASE WHEN page_id % 2 = 0 THEN 'finance' ELSE 'luxury' END AS topic, 'p' || CAST(page_id AS VARCHAR) AS publication, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || '/' AS base_url, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'second' END AS sitemap_url, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS feeds FROM pages WHERE page_id % 7 > 0")
+def source_catalog(spark, sf):
+    """A catalog file in which names come twice, some without a name."""
+    path = store.work_path(spark, "catalog")
+    p, i = fixtures.table(spark, sf, "pages"), F.col("page_id")
+    row = p.select(F.when(i % 2 == 0, "finance").otherwise("luxury").alias("topic"), F.when(i % 7 > 0, F.concat(F.lit("p"), i.cast("string"))).otherwise(" ").alias("publication"), F.regexp_extract("url", "^([^:/?#]+://[^/?#]*)", 1).alias("base_url"), F.when(i % 5 > 0, F.array("url")).alias("rss_feeds"))
+    both = row.withColumn("sitemap_url", F.lit("first")).withColumn("ord", F.lit(0)).unionByName(row.withColumn("sitemap_url", F.when(F.regexp_extract("publication", r"(\d+)", 1).cast("int") % 3 > 0, "second")).withColumn("ord", F.lit(1)))
+    store.write_json(both.coalesce(1).sortWithinPartitions("ord").drop("ord"), path)
+    return catalog.sources(spark, path).select("topic", "publication", "base_url", "sitemap_url", F.size("rss_feeds").alias("feeds"))
+
+
 @query("s21_first_kv", "SELECT key, arg_min(value, ord) AS value FROM metadata GROUP BY key", METADATA)
 def first_kv(spark, sf):
     return fixtures.metadata(spark, sf).groupBy("key").agg(F.min_by("value", "ord").alias("value"))

@@ -203,3 +203,15 @@ def test_failed_run_leaves_its_state(spark):
         batch.run(spark, candidates, candidates.drop("candidate_source"), spark.createDataFrame([], "nowhere string"), *paths)
     state = {r["key"]: r["value"] for r in store.last_value(spark.read.parquet(paths[1]), "key", "value").collect()}
     assert state["status"] == "failed" and state["message"].startswith("Pipeline failed: ") and len(state["message"]) <= 217
+
+
+def test_lexicon_from_a_file(spark, tmp_path):
+    from gleanery.sources import catalog
+
+    lines = ['{"topic": "t", "keyword": "Gold  Ring", "weight": 2.5}', '{"topic": "t", "keyword": "ruby"}', '{"topic": "u", "keyword": "x"}', '{"topic": "t", "terms": ["gold", "ruby"], "bonus": 0.8}']
+    (tmp_path / "lexicon.json").write_text("\n".join(lines))
+    lexicon = catalog.lexicon(spark, f"file://{tmp_path}/lexicon.json", "t")
+    r = one(spark, scoring.relevance(text.normalized(F.lit("A gold ring and a ruby")), lexicon))
+    assert round(r["score"], 6) == 2.5 + 1.0 + 0.35 + 0.8 and r["found"] == ["gold ring", "ruby"]
+    with pytest.raises(ValueError):
+        catalog.lexicon(spark, f"file://{tmp_path}/lexicon.json", "t", 1)
