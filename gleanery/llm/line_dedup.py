@@ -45,6 +45,8 @@ TABLE_BITS, FILTER_BITS, SEEN, FLUSH = 24, 25, 200_000, 4_000_000
 #: Tokens of this class (4 log2 of their lines: 200,000 lines) are split by length class.
 SPLIT_CLASS = 70
 NO_ID = -(1 << 63)
+#: Ids broadcast at most (8 bytes each) to pick documents; beyond, all are looked at.
+FEW_DOCS = 100_000
 
 
 class Lines:
@@ -79,11 +81,11 @@ class Lines:
         high = (self.token & np.uint64(64)) != 0
         return tuple(np.bitwise_xor.reduceat(np.where(high == side, bit, np.uint64(0)), self.starts).view(np.int64) for side in (False, True))
 
-    def keys(self) -> list[bytes]:
-        h = self.token & np.uint64((1 << 39) - 1)
+    def keys(self, sketches: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+        """192 bits of each line's set: the sketches and a sum of hashes."""
         with np.errstate(over="ignore"):
-            pair = np.stack([np.add.reduceat(mixed(h), self.starts), np.add.reduceat(mixed(h * GOLDEN + np.uint64(1)), self.starts)], axis=1)
-        return [r.tobytes() for r in pair]
+            total = np.add.reduceat(mixed(self.token & np.uint64((1 << 39) - 1)), self.starts)
+        return np.stack([total.view(np.int64), *sketches], axis=1).view("V24").ravel().tolist()
 
 
 def slots_of(token: np.ndarray) -> np.ndarray:
@@ -172,7 +174,7 @@ def indexed(docs: DataFrame, table, only=None) -> DataFrame:
             docs_of = np.asarray(batch.column("id"))[lines.texts]
             sketches, seconds = lines.sketches()
             use, later = np.ones(len(lines.sizes), bool), []
-            for i, (key, at) in enumerate(zip(lines.keys(), zip(docs_of.tolist(), lines.numbers.tolist(), strict=True), strict=True)):
+            for i, (key, at) in enumerate(zip(lines.keys((sketches, seconds)), zip(docs_of.tolist(), lines.numbers.tolist(), strict=True), strict=True)):
                 known = seen.get(key)
                 if known is None or at < known:
                     seen[key] = at
@@ -236,8 +238,7 @@ def nearest(pairs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]
     x, y, gap = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 3
     order = np.lexsort((gap, x))
     x, y, gap = x[order], y[order], gap[order]
-    first = np.searchsorted(x, x)
-    keep = np.arange(len(x)) - first < KEPT
+    keep = np.arange(len(x)) - np.searchsorted(x, x) < KEPT
     return [(x[keep], y[keep], gap[keep])]
 
 
@@ -327,7 +328,7 @@ def candidates(rows: DataFrame) -> DataFrame:
                 if held > HELD_PAIRS:
                     pairs = nearest(pairs)
                     held = len(pairs[0][0])
-            (x, y, gap) = nearest(pairs)[0]
+            x, y, gap = nearest(pairs)[0]
             more = counts[x] > KEPT
             x, y = np.concatenate([alone[x], copies]), np.concatenate([alone[y], stands[copies]])
             gap, more = np.concatenate([gap, np.zeros(len(copies), np.int64)]), np.concatenate([more, np.ones(len(copies), bool)])
@@ -344,8 +345,10 @@ def line_slots(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 LINE, OTHER = ["doc", "line", "tell"], ["to_doc", "to_line", "to_tell"]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, line, tell) of the pairs (doc, line, tell, to_doc, to_line, to_tell) whose lines match."""
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, few: bool = True) -> DataFrame:
+    """(doc, line, tell) of the pairs (doc, line, tell, to_doc, to_line, to_tell) whose lines match.
+
+    few: where no more than FEW_DOCS documents are in the pairs, the others' texts are not read by Python."""
 
     def slots(batches):
         for b in batches:
@@ -368,6 +371,9 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
                 found.append(parts[n])
             yield pa.RecordBatch.from_arrays([pa.array(ids[owner[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(tells(found)), pa.array(found, pa.binary())], names=[*LINE, "words"])
 
+    ids = pairs.select("doc").unionByName(pairs.select(F.col("to_doc").alias("doc"))).distinct().limit(FEW_DOCS + 1)
+    if few and (ids := scratch.staged(ids, "line-docs")).count() <= FEW_DOCS:
+        docs = docs.join(F.broadcast(ids), F.col("id") == F.col("doc"), "left_semi")
     lines = scratch.staged(map_batches(docs, some, "doc bigint, line int, tell bigint, words binary"), "line-texts")
     both = pairs.join(lines, LINE).join(lines.select(*[F.col(c).alias(f"to_{c}") for c in [*LINE, "words"]]), OTHER)
 
@@ -396,7 +402,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     to = F.struct(*OTHER)
     best = near.groupBy(*LINE).agg(F.min(F.struct("apart", *OTHER)).alias("b"), (F.max(to) != F.min(to)).alias("several"), F.max("more").alias("more"))
     best = scratch.staged(best.select(*LINE, *[F.col(f"b.{c}") for c in OTHER], "several", "more"), "line-pairs")
-    sure = scratch.staged(verified(docs, best, scratch), "line-matches")
+    sure = scratch.staged(verified(docs, best, scratch, False), "line-matches")
     removed = equal.unionByName(sure)
     left = scratch.staged(best.where("several or more").join(sure, LINE, "left_anti"), "line-left")
     if not left.isEmpty():
