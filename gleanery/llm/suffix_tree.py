@@ -43,7 +43,7 @@ from gleanery.llm.language import held_out
 DEPTH, LEAST, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 10.0, 0.5, 0.1
 MIN_SHARE, WORD_SHARE = 2e-6, 1e-6
 #: Tokens of a block, counted before the shuffle as numpy arrays.
-BLOCK_TOKENS, SCORED_TOKENS, TABLE_ROWS, TEXT_BYTES = 1_500_000, 500_000, 500_000, 2 << 20
+BLOCK_TOKENS, SCORED_TOKENS, TABLE_ROWS, TEXT_BYTES = 1_500_000, 500_000, 500_000, 1 << 20
 #: A filter has 2 ** FILTER_BITS bits, whatever the number of n-grams.
 FILTER_BITS = 27
 #: The end of a text, and what tells a context's key from that of the same words as an n-gram.
