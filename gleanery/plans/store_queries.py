@@ -57,7 +57,7 @@ def source_catalog(spark, sf):
     path = store.work_path(spark, "catalog")
     p, i = fixtures.table(spark, sf, "pages"), F.col("page_id")
     row = p.select(F.when(i % 2 == 0, "finance").otherwise("luxury").alias("topic"), F.when(i % 7 > 0, F.concat(F.lit("p"), i.cast("string"))).otherwise(" ").alias("publication"), F.regexp_extract("url", "^([^:/?#]+://[^/?#]*)", 1).alias("base_url"), F.when(i % 5 > 0, F.array("url")).alias("rss_feeds"))
-    both = row.withColumn("sitemap_url", F.lit("first")).withColumn("ord", F.lit(0)).unionByName(row.withColumn("sitemap_url", F.when(F.regexp_extract("publication", r"(\d+)", 1).cast("int") % 3 > 0, "second")).withColumn("ord", F.lit(1)))
+    both = row.withColumn("sitemap_url", F.lit("first")).withColumn("ord", F.lit(0)).unionByName(row.withColumn("sitemap_url", F.when(F.regexp_extract("publication", r"(\d+)", 1).try_cast("int") % 3 > 0, "second")).withColumn("ord", F.lit(1)))
     store.write_json(both.coalesce(1).sortWithinPartitions("ord").drop("ord"), path)
     return catalog.sources(spark, path).select("topic", "publication", "base_url", "sitemap_url", F.size("rss_feeds").alias("feeds"))
 
