@@ -15,7 +15,9 @@ theirs, packed lots go to buckets by suffix (where the suffix's probability wait
 repeated ones to buckets by context (where its count waits, and the tests are made). A text's
 score is the sum over its words' root terms, and over its n-grams' and contexts' logarithms;
 those of n-grams of at least `MIN_SHARE` of the tokens, which would be hot keys, and counts of
-words of `WORD_SHARE` are broadcast (1 / share at most), all others are looked up in buckets.
+words of `WORD_SHARE` are broadcast (1 / share at most), all others are looked up in buckets, in
+`ROUNDS` rounds of texts whose shuffle files go before the next. An n-gram is looked up only
+where its context may have a value, as contexts of n-grams with values are retained.
 Filters of fixed size keep most n-grams without a value out of the shuffles, which changes the
 cost only. A bucket holds its part of the table in memory: their number is that of the session's
 shuffle partitions.
@@ -44,6 +46,8 @@ DEPTH, LEAST, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 10.0, 0.5, 0.1
 MIN_SHARE, WORD_SHARE = 2e-6, 1e-6
 #: Tokens of a block, counted before the shuffle as numpy arrays.
 BLOCK_TOKENS, SCORED_TOKENS, TABLE_ROWS, TEXT_BYTES = 1_500_000, 500_000, 500_000, 1 << 20
+#: Texts are scored in so many rounds, so that the queries of one alone are on disk.
+ROUNDS = 4
 #: A filter has 2 ** FILTER_BITS bits, whatever the number of n-grams.
 FILTER_BITS = 27
 #: The end of a text, and what tells a context's key from that of the same words as an n-gram.
@@ -417,7 +421,20 @@ def bits_of(keys: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, block: int = SCORED_TOKENS) -> DataFrame:
+def lookups(h: np.ndarray, sizes: np.ndarray, hot: tuple, hot_bits: np.ndarray, passes: np.ndarray, depth: int) -> Iterator[tuple]:
+    """(tokens, keys, values that are broadcast, which keys to look up): for each depth of contexts, then of their n-grams."""
+    place, grams = offsets(sizes), ngrams(h, depth + 1)
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(place >= d)
+        for context in (True, False):
+            keys = grams[d - 1][at - 1] ^ CONTEXT if context else grams[d][at]
+            v, found = logarithms(keys, hot, hot_bits)
+            cold = ~found & in_bitmap(passes, slot_of(keys))
+            yield at, keys, v, np.flatnonzero(cold)
+            at = at[found | cold]  # without a retained context there is no value
+
+
+def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, block: int = SCORED_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -434,16 +451,9 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
             base = np.log10((c + PSEUDO) / floor)
             deep = base.copy()
             asked = []
-            if passes is not None:
-                place = offsets(sizes)
-                grams = ngrams(h, depth + 1)
-                for d in range(1, depth + 1):
-                    at = np.flatnonzero(place >= d)
-                    for keys in (grams[d - 1][at - 1] ^ CONTEXT, grams[d][at]):
-                        v, found = logarithms(keys, hot, hot_bits)
-                        deep[at] += v
-                        cold = np.flatnonzero(~found & in_bitmap(passes, slot_of(keys)))
-                        asked.append((keys[cold], owner[at[cold]]))
+            for at, keys, v, cold in lookups(h, sizes, hot, hot_bits, passes, depth) if passes is not None else ():
+                deep[at] += v
+                asked.append((keys[cold], owner[at[cold]]))
             sums = [np.bincount(owner, x, n) for x in (base, deep)]
             rows = [(number % buckets, TEXTS, number, pack(ids, out, sizes, np.bincount(owner, known, n).astype(np.int64), *sums))]
             queries = [(ASK_WORD, h[~known], owner[~known])] + [(ASK_DEEP, *(np.concatenate(x) for x in zip(*asked, strict=True)))] * bool(asked)
@@ -497,11 +507,23 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
         if held:
             yield block_rows(held)
 
-    parts = map_batches(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(held_col).alias("out"), F.col(f"`{text_col}`").alias("text")), ask, LOT)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(held_col).alias("out"), F.col(f"`{text_col}`").alias("text"))
+    scratch, scored, tables = Scratch(spark), None, None
     for t, v, kind in ((tree.cold, "v", DEEP), (tree.words, "c", WORD)):
-        parts = parts if t is None else parts.unionByName(table_lots(t, v, buckets, kind))
-    every = in_buckets(parts, buckets, answer, LOT)
-    return map_batches(every.repartition("block").sortWithinPartitions("block"), gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        if t is not None:
+            lot = table_lots(t, v, buckets, kind)
+            tables = lot if tables is None else tables.unionByName(lot)
+    tables = tables if tables is None else scratch.staged(tables, "pst-tables")
+    for r in range(rounds):
+        parts = map_batches(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r), ask, LOT)
+        every = in_buckets(parts if tables is None else parts.unionByName(tables), buckets, answer, LOT)
+        part = staged(map_batches(every.repartition("block").sortWithinPartitions("block"), gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"), "pst-scores")
+        scored = part if scored is None else scored.unionByName(part)
+        del parts, every
+        sweep(spark)
+    scratch.drop()
+    shared.destroy()
+    return scored
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,22 @@ def test_suffix_tree_matches_brute_force_at_any_share(spark, share, block):
         assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
 
 
+def test_suffix_tree_rounds_and_lookups(spark):
+    """Rounds change no score; n-grams are looked up under contexts that may have a value alone."""
+    docs = spark.createDataFrame([(i, f"a b c w{i % 5} a b d w{i % 3}", i % 4 == 0) for i in range(60)] + [(None, None, True), (None, "a b", True)], "doc_id long, text string, held_out boolean")
+    tree = suffix_tree.fit(docs.where("not held_out"), min_gain=1.0, min_share=1.0, word_share=1.0)
+    one, several = (sorted(map(tuple, suffix_tree.score(docs, tree, rounds=n).collect()), key=str) for n in (1, 3))
+    assert one == several and len(one) == 62
+    h, sizes = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([8])
+    none = (np.empty(0, np.uint64), np.empty(0, np.float64))
+    passes = np.full(1 << suffix_tree.FILTER_BITS - 3, 255, np.uint8)
+    slots = suffix_tree.slot_of(h[:-1] ^ suffix_tree.CONTEXT)
+    for s in slots[1:]:  # of contexts of a word, only the first may have a value
+        passes[s >> 3] &= 255 ^ (128 >> (s & 7))
+    found = [(at[cold], keys[cold]) for at, keys, _, cold in suffix_tree.lookups(h, sizes, none, suffix_tree.bits_of(none[0]), passes, 1)]
+    assert [x[0].tolist() for x in found] == [[1], [1]]
+
+
 def test_suffix_tree_cases(spark, odd):
     docs = odd.withColumn("held_out", F.lit(False))
     tree = suffix_tree.fit(docs)
