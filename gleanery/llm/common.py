@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,7 +210,7 @@ RANGES = 16
 
 
 def bitmap(slots: DataFrame, bits: int, distinct: bool = True) -> np.ndarray:
-    """Packed bits of the slot numbers in column 0 (below 2 ** bits). Executors fill ranges of it; the driver gets 2 ** (bits - 3) bytes, whatever the rows.
+    """Packed bits of the slot numbers in column 0 (below 2 ** bits). Executors fill ranges of it; the driver gets 2 ** (bits - 3) bytes at most, whatever the rows.
 
     distinct: take equal slots together first, as one may be very frequent."""
     rows = slots.select(F.col(slots.columns[0]).cast("long").alias("slot"), F.lit(1).alias("value"))
@@ -222,6 +223,7 @@ def byte_table(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def filled(rows: DataFrame, bits: int, pack: bool) -> np.ndarray:
+    """Ranges travel compressed: the driver's JVM holds each several times over until it collects its garbage."""
     size = (1 << bits) // RANGES
 
     def fill(batches):
@@ -233,12 +235,12 @@ def filled(rows: DataFrame, bits: int, pack: bool) -> np.ndarray:
                 part = parts.setdefault(r, np.zeros(size, bool if pack else np.uint8))
                 part[slot[own] - r * size] = value[own]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([(np.packbits(p) if pack else p).tobytes() for p in parts.values()], pa.binary())], names=["range", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([zstandard.compress(np.packbits(p) if pack else p, 1) for p in parts.values()], pa.binary())], names=["range", "bytes"])
 
     whole = np.zeros((1 << bits) >> (3 if pack else 0), np.uint8)
     step = len(whole) // RANGES
     for r in map_batches(rows.repartition(RANGES, F.floor(F.col("slot") / size)), fill, "range bigint, bytes binary").collect():  # RANGES rows
-        whole[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(r["bytes"], np.uint8)
+        whole[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(zstandard.decompress(r["bytes"]), np.uint8)
     return whole
 
 

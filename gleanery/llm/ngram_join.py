@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, MOST_ROWS, Scratch, Words, bitmap, byte_table, chunks, components, free_name, in_bitmap, map_batches, mixed, read, staged
+from gleanery.llm.common import GOLDEN, MOST_ROWS, Scratch, Words, bitmap, byte_table, chunks, components, free_name, in_bitmap, map_batches, mixed, read, staged, sweep
 
 #: Words of a shingle and percent of similarity: the contract's, and the default of stages.
 K, PERCENT = 4, 85
@@ -234,8 +234,8 @@ def keyed(docs: DataFrame, table, common, k: int, percent: int, alone=None) -> D
     return map_batches(docs, work, "key bigint" if alone is None else "key bigint, id bigint, n bigint, place int, before int, kind tinyint, wide boolean, middle int, most bigint, last bigint")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are linked. Texts of documents that may be in a pair are shuffled, no others."""
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole texts are linked, staged. Texts of documents that may be in a pair are shuffled, no others."""
     spark = docs.sparkSession
     slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS).cast("int")
     passes = spark.sparkContext.broadcast(bitmap(pairs.select(slot("a").alias("s")).unionByName(pairs.select(slot("b").alias("s"))), FILTER_BITS))
@@ -255,7 +255,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             both = zip(shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in both], pa.bool_()))
 
-    return map_batches(both.select("a", "b", "ta", "tb"), check, "a bigint, b bigint")
+    links = scratch.staged(map_batches(both.select("a", "b", "ta", "tb"), check, "a bigint, b bigint"), "ngram-links")
+    passes.destroy()
+    return links
 
 
 def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,6 +275,11 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     shared = keyed(source, table, common, k, percent).groupBy("key").count().where("count > 1")
     alone = spark.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("key", 64 - FILTER_BITS)), FILTER_BITS))
     index = scratch.staged(keyed(source, table, common, k, percent, alone).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "ngram-index")
+    # the driver holds tables and what finished steps left behind only as long as they are of use
+    for x in (table, common, alone):
+        x.destroy()
+    del several, shared
+    sweep(spark)
 
     size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -286,9 +293,11 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     met = index.join(leaders, "key")
     kept = lambda s: met.where((F.col("id") != F.col(f"{s}.id")) & may_link("n", "most", "last", "wide", f"{s}.n", f"{s}.most", f"{s}.last", f"{s}.wide")).select(F.greatest("id", f"{s}.id").alias("a"), F.least("id", f"{s}.id").alias("b"))
     stars = scratch.staged(kept("c").unionByName(kept("l")).distinct(), "ngram-pairs")
-    links = scratch.staged(verified(source, stars, k, percent), "ngram-links")
+    links = verified(source, stars, k, percent, scratch)
+    sweep(spark)
 
     found = scratch.staged(components(spark, links), "ngram-components")
+    sweep(spark)
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     # the sketch of an id with one row; rows that repeat an id do without
@@ -302,7 +311,8 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     close = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_y")), F.lit(True))
     across = x.join(y, "key").where((F.col("id") > F.col("id_y")) & (F.col("component") != F.col("component_y")) & may_link("n", "most", "last", "wide", "n_y", "most_y", "last_y", "wide_y") & ((100 + percent) * bound >= percent * (F.col("n") + F.col("n_y"))) & close)
     across = scratch.staged(across.select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
-    more = verified(source, across, k, percent)
+    more = verified(source, across, k, percent, scratch)
+    sweep(spark)
 
     final = components(spark, links.unionByName(more).unionByName(same))
     scratch.drop()

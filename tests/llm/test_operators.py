@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from gleanery.llm import archives, decontamination, extraction, language, licenses, line_dedup, mixing, ngram_join, suffix_tree, winnowing
+from gleanery.llm import archives, common, decontamination, extraction, language, licenses, line_dedup, mixing, ngram_join, suffix_tree, winnowing
 from gleanery.llm.common import components
 from gleanery.llm.queries import QUERIES
 
@@ -297,6 +297,21 @@ def suffix_tree_texts():
     return [" ".join(rng.choices(["a", "b", "c", "a b", "b c d", "b x c"], k=60) + [f"u{i % 12}", f"v{i % 12}", f"z{i}"]) for i in range(30)]
 
 
+def test_driver_gets_small_tables_and_keeps_none(spark, monkeypatch):
+    """Ranges of bits come compressed, and the n-gram join's broadcasts are gone from the driver when it returns."""
+    sent, kept = [], []
+    through = common.map_batches
+    monkeypatch.setattr(common, "map_batches", lambda *a: sent.append(through(*a)) or sent[-1])
+    bits = common.bitmap(spark.range(1000).select(F.col("id") * 1000), 24)
+    assert np.flatnonzero(np.unpackbits(bits)).tolist() == list(range(0, 1_000_000, 1000))
+    assert sent[0].agg(F.sum(F.length("bytes"))).first()[0] < len(bits) / 50
+    share = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: kept.append(share(x)) or kept[-1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i // 2, i // 2 + 60))) for i in range(8)], "doc_id long, text string")
+    assert ngram_join.join_components(docs).count() == 8
+    assert len(kept) == 5 and not any(b._jbroadcast.isValid() for b in kept)
+
+
 def test_suffix_tree_distributions_sum_to_one():
     """In every context the probabilities of all words and of the unknown one sum to one."""
     p, words, kept, _ = suffix_tree_by_hand(suffix_tree_texts(), 3.0)
