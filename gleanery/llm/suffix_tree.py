@@ -295,7 +295,7 @@ LEVEL = "context boolean, h bigint, c bigint, p double, v double, open boolean"
 
 
 def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
-    """In a bucket of contexts: the divergence tests.
+    """In a bucket of contexts: the divergence tests, for contexts that are candidates (filters let others through).
 
     Rows of n-grams (h, c, p: the tree's probability where the context is open, v: the logarithm that it adds where
     it is kept) and of contexts (h, c, v: the logarithm of the mass left over where it is retained, open)."""
@@ -308,12 +308,15 @@ def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     context, gram, c, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
+    place, there = found_in(known, context)
+    if not there.any():
+        return
+    context, gram, c, lower, whole = context[there], gram[there], c[there], lower[there], counts[place[there]].astype(np.float64)
     order = np.argsort(context)
-    context, gram, c, lower = context[order], gram[order], c[order], lower[order]
+    context, gram, c, lower, whole = context[order], gram[order], c[order], lower[order], whole[order]
     first = heads(context)
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-    whole = counts[found_in(known, context[first])[0]].astype(np.float64)
-    part = (c - DISCOUNT) / whole[of]
+    part = (c - DISCOUNT) / whole
     rest = 1 - np.add.reduceat(part, first)
     p = part + rest[of] * lower
     opened = np.add.reduceat(-c * np.log(p), first) >= min_gain
@@ -328,7 +331,7 @@ def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(gram), bool)), pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64)), null(p, opened[of]), null(np.log10(p / below), kept), none], names=["context", "h", "c", "p", "v", "open"])
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.log10(rest[told])
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), bool)), pa.array(context[first][told].view(np.int64)), pa.array(whole[told].astype(np.int64)), pa.nulls(int(told.sum()), pa.float64()), null(left, retained[told]), pa.array(opened[told])], names=["context", "h", "c", "p", "v", "open"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), bool)), pa.array(context[first][told].view(np.int64)), pa.array(whole[first][told].astype(np.int64)), pa.nulls(int(told.sum()), pa.float64()), null(left, retained[told]), pa.array(opened[told])], names=["context", "h", "c", "p", "v", "open"])
 
 
 class Tree:

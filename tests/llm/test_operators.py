@@ -336,6 +336,18 @@ def test_suffix_tree_matches_brute_force_at_any_share(spark, share, block):
         assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
 
 
+def test_suffix_tree_filters_change_no_score(spark, monkeypatch):
+    """Contexts that are not candidates get no values, even if every filter lets them through."""
+    texts = [f"x q r w{i % 4} x q r w{i % 4} y{i}" for i in range(24)]
+    p, _, kept, _ = suffix_tree_by_hand(texts, 3.0)
+    assert ("r",) in kept and ("x", "q", "r") not in kept
+    monkeypatch.setattr(suffix_tree, "filter_of", lambda *_: np.full(1 << suffix_tree.FILTER_BITS - 3, 255, np.uint8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, suffix_tree.fit(docs, min_gain=3.0)).collect()}
+    for i, t in enumerate([*t.split(), "\n"] for t in texts):
+        assert math.isclose(got[i], sum(math.log10(p(tuple(t[max(0, j - 3) : j]), w)) for j, w in enumerate(t)), rel_tol=1e-9)
+
+
 def test_suffix_tree_rounds_and_lookups(spark):
     """Rounds change no score; n-grams are looked up under contexts that may have a value alone."""
     docs = spark.createDataFrame([(i, f"a b c w{i % 5} a b d w{i % 3}", i % 4 == 0) for i in range(60)] + [(None, None, True), (None, "a b", True)], "doc_id long, text string, held_out boolean")
