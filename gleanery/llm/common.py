@@ -42,18 +42,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors. by: a folder for each value of that column."""
     path = shared_path(df.sparkSession, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
+def drop_staged(spark: SparkSession, df: DataFrame, part: str = "") -> None:
+    """Delete the files of a staged table that no later step reads, or those in folders of the name part."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.endswith(part):
+            continue
         if folder.startswith(shared_dir(spark)) or shared_dir(spark).removeprefix("file://") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
@@ -65,8 +67,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
 
-    def staged(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(staged(df, name))
+    def staged(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        self.tables.append(staged(df, name, by))
         return self.tables[-1]
 
     def drop(self) -> None:
@@ -131,6 +133,21 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends; else the driver's references to the last one keep them until another has run."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with small batches; a worker gives its memory back after each task, as idle workers stay alive."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

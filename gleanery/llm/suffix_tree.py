@@ -12,7 +12,8 @@ corpus, and the tests alone prune. A token is scored in the state of its longest
 
 N-grams are counted exactly over all training texts, level by level: blocks of tokens count
 theirs, packed lots go to buckets by suffix (where the suffix's probability waits), and the
-repeated ones to buckets by context (where its count waits, and the tests are made). A text's
+repeated ones to buckets by context (where its count waits, and the tests are made), in
+`FIT_ROUNDS` rounds of contexts a level, so that the n-grams of one alone are on disk. A text's
 score is the sum over its words' root terms, and over its n-grams' and contexts' logarithms;
 those of n-grams of at least `MIN_SHARE` of the tokens, which would be hot keys, and counts of
 words of `WORD_SHARE` are broadcast (1 / share at most), all others are looked up in buckets, in
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import GOLDEN, Scratch, Words, bitmap, chunks, in_bitmap, map_batches, mixed, read, staged, sweep
+from gleanery.llm.common import GOLDEN, RANGES, Scratch, Words, chunks, drop_staged, in_bitmap, map_batches, mixed, read, shuffles_dropped, staged, sweep
 from gleanery.llm.language import held_out
 
 DEPTH, LEAST, MIN_GAIN, DISCOUNT, PSEUDO = 3, 2, 10.0, 0.5, 0.1
@@ -47,7 +48,11 @@ MIN_SHARE, WORD_SHARE = 2e-6, 1e-6
 #: Tokens of a block, counted before the shuffle as numpy arrays.
 BLOCK_TOKENS, SCORED_TOKENS, TABLE_ROWS, TEXT_BYTES = 1_500_000, 500_000, 500_000, 1 << 20
 #: Texts are scored in so many rounds, so that the queries of one alone are on disk.
-ROUNDS = 4
+ROUNDS = 5
+#: N-grams of each level are counted in so many rounds of contexts, for the same reason; the second has most.
+FIT_ROUNDS = (2, 5, 1)
+#: Lots of a table that are taken together for the bits of a filter.
+FILTER_LOTS = 500
 #: A filter has 2 ** FILTER_BITS bits, whatever the number of n-grams.
 FILTER_BITS = 27
 #: The end of a text, and what tells a context's key from that of the same words as an n-gram.
@@ -118,6 +123,15 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def lot_keys(keys: np.ndarray, buckets: int) -> list:
+    """The ascending keys of one bucket, of which the bucket says the rest."""
+    return planes(keys // np.uint64(buckets))
+
+
+def from_lot_keys(parts: list, buckets: int, bucket: int) -> np.ndarray:
+    return from_planes(parts) * np.uint64(buckets) + np.uint64(bucket)
+
+
 def planes(ascending: np.ndarray) -> list:
     """Ascending longs as differences, in planes of bytes, as the upper ones are mostly zero."""
     step = np.ascontiguousarray(np.diff(ascending, prepend=np.uint64(0)))
@@ -134,10 +148,10 @@ def from_planes(parts: list) -> np.ndarray:
     return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pack_runs(keys: np.ndarray) -> tuple[list, np.ndarray]:
-    """Sorted keys as distinct ones and their numbers."""
+def pack_runs(keys: np.ndarray, buckets: int) -> tuple[list, np.ndarray]:
+    """Sorted keys of one bucket as distinct ones and their numbers."""
     new = heads(keys)
-    return planes(keys[new]), small(np.diff(np.append(new, len(keys))))
+    return lot_keys(keys[new], buckets), small(np.diff(np.append(new, len(keys))))
 
 
 def heads(sorted_keys: np.ndarray) -> np.ndarray:
@@ -173,50 +187,77 @@ def lots(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "block", "blob"])
 
 
-def table_lots(table: DataFrame, value: str, buckets: int, kind: int = 0) -> DataFrame:
-    """Rows (h, value) as lots of sorted arrays in the buckets of h."""
+def collected(batches, fn) -> Iterator[pa.RecordBatch]:
+    """fn(rows) for TABLE_ROWS rows or more at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n > TABLE_ROWS:
+            yield fn(pa.Table.from_batches(held))
+            held, n = [], 0
+    if held:
+        yield fn(pa.Table.from_batches(held))
+
+
+def table_lots(table: DataFrame, values: list[str], buckets: int, kind: int) -> DataFrame:
+    """Rows (h, values) as lots of sorted arrays in the buckets of h."""
+
+    def out(rows):
+        h, *v = (np.asarray(rows.column(c)) for c in ("h", *values))
+        h = h.view(np.uint64)
+        return lots([(k, kind, 0, pack(lot_keys(h[at], buckets), *(x[at] for x in v))) for k, at in dealt(h, buckets)])
+
+    return map_batches(table.select("h", *values), lambda batches: collected(batches, out), LOT)
+
+
+def redealt(table: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """Lots that hold whole keys as lots in the buckets of the keys, TABLE_ROWS of them together, so that lots stay few."""
 
     def work(batches):
         held, n = [], 0
 
         def out():
-            h, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            return lots([(k, kind, 0, pack(planes(h[at]), v[at])) for k, at in dealt(h, buckets)])
+            keys, *v = (np.concatenate(x) for x in zip(*held, strict=True))
+            return lots([(k, kind, 0, pack(lot_keys(keys[at], buckets), *(small(x[at]) if x.dtype.kind == "u" else x[at] for x in v))) for k, at in dealt(keys, buckets)])
 
         for b in batches:
-            held.append((np.asarray(b.column("h")).view(np.uint64), np.asarray(b.column("v"))))
-            n += b.num_rows
-            if n > TABLE_ROWS:
-                yield out()
-                held, n = [], 0
-        if held:
+            for blob in b.column("blob").to_pylist():
+                keys, *v = unpack(blob)
+                held.append((from_planes(keys), *v))
+                n += len(held[-1][0])
+                if n > TABLE_ROWS:
+                    yield out()
+                    held, n = [], 0
+        if n:
             yield out()
 
-    return map_batches(table.select("h", F.col(value).alias("v")), work, LOT)
+    return map_batches(table.where(F.col("kind") == kind).select("blob"), work, LOT)
 
 
 def in_buckets(parts: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
-    """fn(list of (kind, block, blob)) -> batches, for the lots of each bucket."""
+    """fn(bucket, list of (kind, block, blob)) -> batches, for the lots of each bucket."""
 
     def work(batches):
         held, at = [], None
         for b in batches:
             for bucket, kind, block, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "block", "blob")), strict=True):
                 if bucket != at and held:
-                    yield from fn(held)
+                    yield from fn(at, held)
                     held = []
                 at = bucket
                 held.append((kind, block, blob))
         if held:
-            yield from fn(held)
+            yield from fn(at, held)
 
     return map_batches(parts.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind"), work, schema)
 
 
-def sorted_table(held: list, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def sorted_table(held: list, kind: int, buckets: int, bucket: int, column: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and one of the columns of the lots of a kind."""
     parts = [unpack(blob) for k, _, blob in held if k == kind]
-    h = np.concatenate([from_planes(p[0]) for p in parts]) if parts else np.empty(0, np.uint64)
-    v = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.float64)
+    h = np.concatenate([from_lot_keys(p[0], buckets, bucket) for p in parts]) if parts else np.empty(0, np.uint64)
+    v = np.concatenate([p[column] for p in parts]) if parts else np.empty(0, np.float64)
     order = np.argsort(h)
     return h[order], v[order]
 
@@ -225,33 +266,68 @@ def slot_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def filter_of(rows: DataFrame) -> np.ndarray:
-    """Bits of the hashes h, which are distinct."""
-    return bitmap(rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS)), FILTER_BITS, distinct=False)
+def filter_of(table: DataFrame, kind: int, buckets: int) -> np.ndarray:
+    """Bits of the keys of such lots. Slots travel sorted, their bits compressed: 2 ** (FILTER_BITS - 3) bytes at most, whatever the keys."""
+    step = (1 << FILTER_BITS) // RANGES
+
+    def out(rows):
+        keys = [from_lot_keys(unpack(blob)[0], buckets, bucket) for bucket, blob in zip(rows["bucket"].to_pylist(), rows["blob"].to_pylist(), strict=True)]
+        slots = np.unique(slot_of(np.concatenate(keys))).astype(np.uint64)
+        cuts = np.searchsorted(slots, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(step))
+        return lots([(r, 0, 0, pack(planes(slots[a:b] - np.uint64(r * step)))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+    def split(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, FILTER_LOTS):
+                yield out(pa.Table.from_batches([b.slice(i, FILTER_LOTS)]))
+
+    def fill(part, held):
+        bits = np.zeros(step, bool)
+        for _, _, blob in held:
+            bits[from_planes(unpack(blob)[0]).astype(np.int64)] = True
+        yield lots([(part, 0, 0, zstandard.compress(np.packbits(bits), 1))])
+
+    whole = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    own = map_batches(table.where(F.col("kind") == kind).select("bucket", "blob"), split, LOT)
+    for r in in_buckets(own, RANGES, fill, LOT).select("bucket", "blob").collect():  # RANGES rows
+        whole[r["bucket"] * step >> 3 : (r["bucket"] + 1) * step >> 3] = np.frombuffer(zstandard.decompress(r["blob"]), np.uint8)
+    return whole
 
 
 # ---- the tree
 
-def word_counts(texts: DataFrame, block: int) -> DataFrame:
+def word_counts(texts: DataFrame, block: int, buckets: int) -> DataFrame:
     """(h, c) of all tokens of column text; blocks count theirs first."""
 
     def count(batches):
         for h, _ in blocks(batches, block):
             values, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
+            yield lots([(k, 0, 0, pack(lot_keys(values[i], buckets), small(n[i]))) for k, i in dealt(values, buckets)])
+
+    def summed(bucket, held):
+        h, n = sorted_table(held, 0, buckets, bucket)
+        first = heads(h)
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(n.astype(np.int64), first))], names=["h", "c"])
 
-    return map_batches(texts, count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return in_buckets(map_batches(texts, count, LOT), buckets, summed, "h bigint, c bigint")
+
+
+#: Kinds of lots: tables of deep values and of words, queries of both, a block's texts, sums for a block.
+DEEP, WORD, ASK_DEEP, ASK_WORD, TEXTS, SUMS = range(6)
+#: Those of a level: n-grams with counts and probabilities, open contexts, n-grams of a block or of a bucket, frequent values.
+LEVEL, OPEN, GRAMS, HOT = range(10, 14)
 
 
-def block_counts(texts: DataFrame, n: int, passes, opened, buckets: int, block: int) -> DataFrame:
-    """Lots of n-grams of repeated parts whose contexts' suffixes are open, counted by block, in buckets of their suffixes."""
+def block_counts(texts: DataFrame, n: int, passes, opened, buckets: int, block: int, rounds: int, r: int) -> DataFrame:
+    """Lots of n-grams of repeated parts whose contexts' suffixes are open, counted by block, in buckets of their suffixes: those of contexts of round r."""
 
     def work(batches):
         for h, sizes in blocks(batches, block):
             grams = ngrams(h, n - 1)
-            often = in_bitmap(passes.value, slot_of(grams[-1]))
-            at = np.flatnonzero((offsets(sizes) >= n - 1) & often)
-            at = at[often[at - 1]]
+            at = np.flatnonzero(offsets(sizes) >= n - 1)
+            at = at[grams[-1][at - 1] % np.uint64(buckets) % np.uint64(rounds) == r]
+            at = at[in_bitmap(passes.value, slot_of(grams[-1][at - 1]))]
+            at = at[in_bitmap(passes.value, slot_of(grams[-1][at]))]
             if opened is not None:
                 at = at[in_bitmap(opened.value, slot_of(grams[-2][at - 1]))]
             context, suffix = grams[-1][at - 1], grams[-1][at]
@@ -263,20 +339,20 @@ def block_counts(texts: DataFrame, n: int, passes, opened, buckets: int, block:
             rows = []
             for k, i in dealt(suffix, buckets):
                 values, which = np.unique(context[i], return_inverse=True)
-                rows.append((k, 1, 0, pack(*pack_runs(suffix[i]), planes(values), small(which), small(c[i]))))
+                rows.append((k, GRAMS, 0, pack(*pack_runs(suffix[i], buckets), planes(values), small(which), small(c[i]))))
             yield lots(rows)
 
     return map_batches(texts, work, LOT)
 
 
-def repeated(held: list, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def repeated(bucket: int, held: list, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """In a bucket of suffixes: n-grams of LEAST occurrences with their suffix's probability, as lots in buckets of their contexts."""
-    known, lower = sorted_table(held)
+    known, lower = sorted_table(held, LEVEL, buckets, bucket, 2)
     parts = []
     for kind, _, blob in held:
-        if kind == 1:
+        if kind == GRAMS:
             values, runs, contexts, which, c = unpack(blob)
-            parts.append((np.repeat(from_planes(values), runs), from_planes(contexts)[which], c.astype(np.int64)))
+            parts.append((np.repeat(from_lot_keys(values, buckets, bucket), runs), from_planes(contexts)[which], c.astype(np.int64)))
     if not parts:
         return
     suffix, context, c = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -285,33 +361,33 @@ def repeated(held: list, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     first = heads(gram[order])
     total, pick = np.add.reduceat(c[order], first), order[first]
     place, there = found_in(known, suffix[pick])
-    keep = there & (total >= LEAST)
-    pick, total, p = pick[keep], total[keep], lower[place[keep]]
+    p = lower[place] if len(known) else np.empty(len(place))
+    keep = there & (total >= LEAST) & (p > 0)
+    pick, total, p = pick[keep], total[keep], p[keep]
     context, gram = context[pick], gram[pick]
-    yield lots([(k, 1, 0, pack(*pack_runs(context[i]), gram[i], small(total[i]), p[i])) for k, i in dealt(context, buckets)])
+    yield lots([(k, GRAMS, 0, pack(*pack_runs(context[i], buckets), gram[i], small(total[i]), p[i])) for k, i in dealt(context, buckets)])
 
 
-LEVEL = "context boolean, h bigint, c bigint, p double, v double, open boolean"
-
-
-def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
+def tested(bucket: int, held: list, min_gain: float, hot: float, last: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     """In a bucket of contexts: the divergence tests, for contexts that are candidates (filters let others through).
 
-    Rows of n-grams (h, c, p: the tree's probability where the context is open, v: the logarithm that it adds where
-    it is kept) and of contexts (h, c, v: the logarithm of the mass left over where it is retained, open)."""
-    known, counts = sorted_table(held)
+    Lots, not dealt yet, of the values, those of `hot` occurrences apart: of an n-gram that is kept the logarithm that
+    it adds, of a context that is retained that of the mass left over. For a level that is not the last, also lots of
+    n-grams' counts and their probabilities in the tree (0 where the context is not open), and the open contexts."""
+    known, counts = sorted_table(held, LEVEL, buckets, bucket)
     parts = []
     for kind, _, blob in held:
-        if kind == 1:
+        if kind == GRAMS:
             values, runs, gram, c, lower = unpack(blob)
-            parts.append((np.repeat(from_planes(values), runs), gram, c.astype(np.float64), lower))
+            parts.append((np.repeat(from_lot_keys(values, buckets, bucket), runs), gram, c.astype(np.float64), lower))
     if not parts:
         return
     context, gram, c, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
     place, there = found_in(known, context)
-    if not there.any():
+    whole = counts[place[there]].astype(np.float64) if len(known) else np.empty(0)
+    context, gram, c, lower = context[there], gram[there], c[there], lower[there]
+    if not len(context):
         return
-    context, gram, c, lower, whole = context[there], gram[there], c[there], lower[there], counts[place[there]].astype(np.float64)
     order = np.argsort(context)
     context, gram, c, lower, whole = context[order], gram[order], c[order], lower[order], whole[order]
     first = heads(context)
@@ -325,22 +401,29 @@ def tested(held: list, min_gain: float) -> Iterator[pa.RecordBatch]:
     rest = 1 - np.add.reduceat(np.where(kept, part, 0.0), first)
     below = np.where(retained, rest, 1.0)[of] * lower
     p = np.where(kept, part + below, below)
-    told = retained | opened
-    null = lambda x, shown: pa.array(x, pa.float64(), mask=~shown)
-    none = pa.nulls(len(gram), pa.bool_())
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(gram), bool)), pa.array(gram.view(np.int64)), pa.array(c.astype(np.int64)), null(p, opened[of]), null(np.log10(p / below), kept), none], names=["context", "h", "c", "p", "v", "open"])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.log10(rest[told])
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), bool)), pa.array(context[first][told].view(np.int64)), pa.array(whole[first][told].astype(np.int64)), pa.nulls(int(told.sum()), pa.float64()), null(left, retained[told]), pa.array(opened[told])], names=["context", "h", "c", "p", "v", "open"])
+    keys = np.concatenate((gram[kept], context[first][retained] ^ CONTEXT))
+    v = np.concatenate((np.log10(p[kept] / below[kept]), np.log10(rest[retained])))
+    often = np.concatenate((c[kept], whole[first][retained])) >= hot
+    rows = [(0, HOT, 0, pack(keys[often], v[often]))] if often.any() else []
+    keys, v = keys[~often], v[~often]
+    at = np.argsort(keys)
+    rows.append((bucket, DEEP, 0, pack(planes(keys[at]), v[at])))
+    if not last:
+        p = np.where(opened[of], p, 0.0)
+        at = np.argsort(gram)
+        rows.append((bucket, LEVEL, 0, pack(planes(gram[at]), small(c[at].astype(np.int64)), p[at])))
+        if opened.any():
+            rows.append((bucket, OPEN, 0, pack(lot_keys(context[first][opened], buckets))))
+    yield lots(rows)
 
 
 class Tree:
     """What is frequent, as sorted arrays: words with counts, keys of n-grams and contexts with logarithms; the rest as tables.
 
-    words (h, c) and cold (h, v) are staged; passes has the bits of cold."""
+    words (h, c) and cold (lots of values in so many buckets) are staged; passes has the bits of cold."""
 
-    def __init__(self, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+    def __init__(self, total: int, distinct: int, buckets: int):
+        self.total, self.distinct, self.buckets = total, distinct, buckets
         self.vocabulary = self.hot = (np.empty(0, np.uint64), np.empty(0, np.float64))
         self.passes: np.ndarray | None = None
         self.words: DataFrame | None = None
@@ -359,45 +442,51 @@ def arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], frame[value].to_numpy(np.float64)[order]
 
 
-def key_of(context: bool) -> F.Column:
-    """The key of a value: the hash of an n-gram, another one for a context."""
-    return F.col("h").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64)))) if context else F.col("h")
-
-
-def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE, word_share: float = WORD_SHARE, block: int = BLOCK_TOKENS) -> Tree:
+def fit(train: DataFrame, text_col: str = "text", depth: int = DEPTH, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE, word_share: float = WORD_SHARE, block: int = BLOCK_TOKENS, rounds: tuple[int, ...] = FIT_ROUNDS) -> Tree:
     """Count, smooth, test the divergences level by level, and keep the values of what is retained."""
     spark = train.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = train.select(F.col(f"`{text_col}`").alias("text"))
-    words = staged(word_counts(texts, block), "pst-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = Tree(int(total), int(distinct))
-    frequent = F.col("c") >= max(float(LEAST), word_share * total)
-    tree.vocabulary, tree.words = arrays(words.where(frequent), "c"), words.where(~frequent)
-    scratch, values = Scratch(spark), []
-    grams = words.where(F.col("c") >= LEAST).withColumn("p", (F.col("c") + PSEUDO) / F.lit(tree.floor))
-    opened, out = None, None
-    for d in range(1, depth + 1) if total else ():
-        passes = spark.sparkContext.broadcast(filter_of(grams))
-        raw = block_counts(texts, d + 1, passes, opened, buckets, block).unionByName(table_lots(grams.where("p is not null"), "p", buckets))
-        by_context = in_buckets(raw, buckets, lambda held, n=d + 1: repeated(held, n, buckets), LOT)
-        level = scratch.staged(in_buckets(by_context.unionByName(table_lots(grams, "c", buckets)), buckets, lambda held: tested(held, min_gain), LEVEL), "pst-level")
-        passes.unpersist()
-        grams = level.where("not context").select("h", "c", "p")
-        for context in (False, True):
-            values.append(level.where(F.col("context") == context).where("v is not null").select(key_of(context).alias("h"), "c", "v"))
-        opened = spark.sparkContext.broadcast(filter_of(level.where("context and open")))
-        out = level
-        del raw, by_context
-        sweep(spark)
-    if out is not None:
-        every = values[0]
-        for v in values[1:]:
-            every = every.unionByName(v)
-        hot = F.col("c") >= max(LEAST, min_share * total)
-        tree.hot = arrays(every.where(hot), "v")
-        tree.cold = staged(every.where(~hot).select("h", "v"), "pst-values")
-        tree.passes = filter_of(tree.cold)
+    with shuffles_dropped(spark):
+        words = staged(word_counts(texts, block, buckets), "pst-words")
+        total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        tree = Tree(int(total), int(distinct), buckets)
+        frequent = F.col("c") >= max(float(LEAST), word_share * total)
+        tree.vocabulary, tree.words = arrays(words.where(frequent), "c"), words.where(~frequent)
+        if not total or not depth:
+            return tree
+        often = words.where(F.col("c") >= LEAST).withColumn("p", (F.col("c") + PSEUDO) / F.lit(tree.floor))
+        level, scratch = staged(table_lots(often, ["c", "p"], buckets, LEVEL), "pst-level"), Scratch(spark)
+        opened, every, hot = None, None, max(LEAST, min_share * total)
+        for d in range(1, depth + 1):
+            passes, parts = spark.sparkContext.broadcast(filter_of(level, LEVEL, buckets)), None
+            n = rounds[min(d, len(rounds)) - 1]
+            for r in range(n):
+                raw = block_counts(texts, d + 1, passes, opened, buckets, block, n, r).unionByName(level.where(F.col("kind") == LEVEL))
+                by_context = in_buckets(raw, buckets, lambda b, held, size=d + 1: repeated(b, held, size, buckets), LOT)
+                counts = level.where((F.col("kind") == LEVEL) & (F.col("bucket") % n == r))
+                tests = in_buckets(by_context.unionByName(counts), buckets, lambda b, held, last=d == depth: tested(b, held, min_gain, hot, last, buckets), LOT)
+                part = scratch.staged(tests.withColumn("value", F.col("kind").isin(DEEP, HOT)), "pst-level", by="value")
+                parts = part if parts is None else parts.unionByName(part)
+                del raw, by_context, counts, tests
+                sweep(spark)
+            passes.destroy()
+            if opened is not None:
+                opened.destroy()
+            drop_staged(spark, level)
+            found = parts.where("value").drop("value")
+            every = found if every is None else every.unionByName(found)
+            if d < depth:
+                level = staged(redealt(parts.where("not value"), LEVEL, buckets), "pst-level")
+                opened = spark.sparkContext.broadcast(filter_of(parts.where("not value"), OPEN, buckets))
+                drop_staged(spark, parts, "value=false")
+        frequents = [unpack(r["blob"]) for r in every.where(F.col("kind") == HOT).select("blob").collect()]
+        if frequents:
+            h, v = (np.concatenate(x) for x in zip(*frequents, strict=True))
+            order = np.argsort(h)
+            tree.hot = h[order], v[order]
+        tree.cold = staged(redealt(every, DEEP, buckets), "pst-values")
+        tree.passes = filter_of(tree.cold, DEEP, buckets)
         scratch.drop()
     return tree
 
@@ -414,8 +503,6 @@ def logarithms(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray], coarse: np.
 
 
 COARSE = 24
-#: Kinds of lots: tables of deep values and of words, queries of both, a block's texts, sums for a block.
-DEEP, WORD, ASK_DEEP, ASK_WORD, TEXTS, SUMS = range(6)
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -440,7 +527,7 @@ def lookups(h: np.ndarray, sizes: np.ndarray, hot: tuple, hot_bits: np.ndarray,
 def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, block: int = SCORED_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tree.buckets
     shared = spark.sparkContext.broadcast((tree.vocabulary, tree.hot, tree.passes, tree.floor))
     total, floor = tree.total, tree.floor
 
@@ -461,16 +548,16 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
             rows = [(number % buckets, TEXTS, number, pack(ids, out, sizes, np.bincount(owner, known, n).astype(np.int64), *sums))]
             queries = [(ASK_WORD, h[~known], owner[~known])] + [(ASK_DEEP, *(np.concatenate(x) for x in zip(*asked, strict=True)))] * bool(asked)
             for kind, keys, of in queries:
-                rows += [(k, kind, number, pack(planes(keys[j]), small(of[j]))) for k, j in dealt(keys, buckets)]
+                rows += [(k, kind, number, pack(lot_keys(keys[j], buckets), small(of[j]))) for k, j in dealt(keys, buckets)]
             yield lots(rows)
 
-    def answer(held):
-        tables = {kind: sorted_table(held, kind) for kind in (DEEP, WORD)}
+    def answer(bucket, held):
+        tables = {kind: sorted_table(held, kind, buckets, bucket) for kind in (DEEP, WORD)}
         rows = []
         for kind, block, blob in held:
             if kind in (ASK_DEEP, ASK_WORD):
                 parts, owner = unpack(blob)
-                keys, owner = from_planes(parts), owner.astype(np.int64)
+                keys, owner = from_lot_keys(parts, buckets, bucket), owner.astype(np.int64)
                 h, v = tables[DEEP if kind == ASK_DEEP else WORD]
                 place, found = found_in(h, keys)
                 values = v[place[found]].astype(np.float64)
@@ -511,19 +598,18 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
             yield block_rows(held)
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(held_col).alias("out"), F.col(f"`{text_col}`").alias("text"))
-    scratch, scored, tables = Scratch(spark), None, None
-    for t, v, kind in ((tree.cold, "v", DEEP), (tree.words, "c", WORD)):
-        if t is not None:
-            lot = table_lots(t, v, buckets, kind)
-            tables = lot if tables is None else tables.unionByName(lot)
-    tables = tables if tables is None else scratch.staged(tables, "pst-tables")
-    for r in range(rounds):
-        parts = map_batches(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r), ask, LOT)
-        every = in_buckets(parts if tables is None else parts.unionByName(tables), buckets, answer, LOT)
-        part = staged(map_batches(every.repartition("block").sortWithinPartitions("block"), gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"), "pst-scores")
-        scored = part if scored is None else scored.unionByName(part)
-        del parts, every
-        sweep(spark)
+    scratch, scored, tables = Scratch(spark), None, tree.cold
+    with shuffles_dropped(spark):
+        if tree.words is not None:
+            rare = scratch.staged(table_lots(tree.words, ["c"], buckets, WORD), "pst-rare")
+            tables = rare if tables is None else tables.unionByName(rare)
+        for r in range(rounds):
+            parts = map_batches(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r), ask, LOT)
+            every = in_buckets(parts if tables is None else parts.unionByName(tables), buckets, answer, LOT)
+            part = staged(map_batches(every.repartition("block").sortWithinPartitions("block"), gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"), "pst-scores")
+            scored = part if scored is None else scored.unionByName(part)
+            del parts, every
+            sweep(spark)
     scratch.drop()
     shared.destroy()
     return scored

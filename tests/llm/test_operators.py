@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -348,6 +349,29 @@ def test_suffix_tree_filters_change_no_score(spark, monkeypatch):
         assert math.isclose(got[i], sum(math.log10(p(tuple(t[max(0, j - 3) : j]), w)) for j, w in enumerate(t)), rel_tol=1e-9)
 
 
+def test_suffix_tree_leaves_little_on_disk(spark, monkeypatch):
+    """Counting in rounds gives the same tree; shuffle files go with their query, staged tables with their level; lots don't grow with the square of the buckets."""
+    docs = spark.createDataFrame(list(enumerate(suffix_tree_texts())), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    trees = [suffix_tree.fit(docs, min_gain=3.0, rounds=n) for n in ((1,), (2, 3, 4))]
+    assert np.array_equal(trees[0].passes, trees[1].passes) and all(np.array_equal(a, b) for a, b in zip(trees[0].hot, trees[1].hot, strict=True))
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 5000, np.uint64))
+    lot = suffix_tree.lots([(k, suffix_tree.DEEP, 0, suffix_tree.pack(suffix_tree.planes(keys[k::50]), keys[k::50].astype(float))) for k in range(50)])
+    dealt = suffix_tree.redealt(spark.createDataFrame(lot.to_pandas(), suffix_tree.LOT).coalesce(1), suffix_tree.DEEP, 50).collect()
+    assert len(dealt) == 50 and sorted(r["bucket"] for r in dealt) == list(range(50))
+    back = np.concatenate([suffix_tree.from_lot_keys(suffix_tree.unpack(bytes(r["blob"]))[0], 50, r["bucket"]) for r in dealt])
+    assert np.array_equal(np.sort(back), keys)
+    made = []
+    through = common.staged
+    monkeypatch.setattr(common, "staged", lambda *a: made.append(through(*a)) or made[-1])
+    suffix_tree.fit(docs, min_gain=3.0)
+    assert len(made) > 3 and not any(Path(f.removeprefix("file:")).exists() for t in made for f in t.inputFiles())
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with common.shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
 def test_suffix_tree_rounds_and_lookups(spark):
     """Rounds change no score; n-grams are looked up under contexts that may have a value alone."""
     docs = spark.createDataFrame([(i, f"a b c w{i % 5} a b d w{i % 3}", i % 4 == 0) for i in range(60)] + [(None, None, True), (None, "a b", True)], "doc_id long, text string, held_out boolean")
